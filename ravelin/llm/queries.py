@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import url_filter, warc
+from ravelin.llm import simhash, url_filter, warc
 from ravelin.runtime import table
 
 
@@ -10,11 +10,15 @@ def op1_warc_derivatives(spark, sf_dir):
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op7_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.default_rules(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op7_simhash_near_dedup, op10_url_filter)}
 
 
 def _lit(s: str) -> str:
