@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import simhash, url_filter, warc
+from ravelin.llm import decontaminate, simhash, url_filter, warc
 from ravelin.runtime import table
 
 
@@ -14,11 +14,15 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.default_rules(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op7_simhash_near_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op7_simhash_near_dedup, op9_benchmark_decontamination, op10_url_filter)}
 
 
 def _lit(s: str) -> str:
@@ -90,4 +94,4 @@ m AS (SELECT e.url, action, rule_id, pattern, row_number() OVER (PARTITION BY e.
 SELECT u.url, coalesce(m.action, 'none') AS decision, CAST(m.rule_id AS BIGINT) AS rule_id, m.pattern FROM u LEFT JOIN m ON m.url = u.url AND m.rn = 1"""
 
 
-ORACLE_SQL = {"op1_warc_derivatives": _warc_sql(), "op10_url_filter": _url_sql()}
+ORACLE_SQL = {"op1_warc_derivatives": _warc_sql(), "op9_benchmark_decontamination": decontaminate.ORACLE_SQL, "op10_url_filter": _url_sql()}
