@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import decontaminate, simhash, toxicity, url_filter, warc
+from ravelin.llm import decontaminate, pii, simhash, toxicity, url_filter, warc
 from ravelin.runtime import table
 
 
@@ -10,6 +10,10 @@ def op1_warc_derivatives(spark, sf_dir):
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op4_pii(spark, sf_dir):
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,7 +30,7 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.default_rules(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op5_toxicity, op7_simhash_near_dedup, op9_benchmark_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op4_pii, op5_toxicity, op7_simhash_near_dedup, op9_benchmark_decontamination, op10_url_filter)}
 
 
 def _lit(s: str) -> str:
