@@ -23,7 +23,7 @@ from ravelin.llm.words import slices, tokenize
 from ravelin.runtime import prepare
 
 #: Labelled documents of either class that are used, at most: those of least hashed id. Two thirds train.
-MAX_PER_CLASS = 3000
+MAX_PER_CLASS = 2000
 WINDOW_WORDS = 16
 STEM = 4
 DICT_BYTES = 4096
@@ -87,8 +87,11 @@ def _distinctive(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np
 
 
 def _codes(texts: list[str]) -> list[np.ndarray]:
-    w, doc, _, _ = tokenize(texts, STEM)
-    return [c.ravel() for c in np.split(w, np.searchsorted(doc, np.arange(1, len(texts))))] if texts else []
+    out: list[np.ndarray] = []
+    for _, part in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["t"])]), "t", 500_000):
+        w, doc, _, _ = tokenize(part, STEM)
+        out += [c.ravel() for c in np.split(w, np.searchsorted(doc, np.arange(1, len(part))))]
+    return out
 
 
 def _keep(codes: np.ndarray, chosen: np.ndarray) -> bytes:
