@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import decontaminate, pii, simhash, toxicity, url_filter, warc
+from ravelin.llm import decontaminate, pii, sentencepiece_scan, simhash, toxicity, url_filter, warc
 from ravelin.runtime import table
 
 
@@ -18,6 +18,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_sentencepiece(spark, sf_dir):
+    return sentencepiece_scan.encode(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.default_rules(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op4_pii, op5_toxicity, op7_simhash_near_dedup, op9_benchmark_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op4_pii, op5_toxicity, op6_sentencepiece, op7_simhash_near_dedup, op9_benchmark_decontamination, op10_url_filter)}
 
 
 def _lit(s: str) -> str:
