@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import decontaminate, pii, sentencepiece_scan, simhash, toxicity, url_filter, warc
+from ravelin.llm import decontaminate, epsilon_join, licenses, pii, secrets, sentencepiece_scan, simhash, toxicity, url_filter, warc
 from ravelin.runtime import table
 
 
@@ -10,6 +10,14 @@ def op1_warc_derivatives(spark, sf_dir):
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op2_secret_scan(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_epsilon_join(spark, sf_dir):
+    return epsilon_join.epsilon_pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark, sf_dir):
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,10 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,7 +46,7 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.default_rules(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op4_pii, op5_toxicity, op6_sentencepiece, op7_simhash_near_dedup, op9_benchmark_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_secret_scan, op3_epsilon_join, op4_pii, op5_toxicity, op6_sentencepiece, op7_simhash_near_dedup, op8_license_scan, op9_benchmark_decontamination, op10_url_filter)}
 
 
 def _lit(s: str) -> str:
@@ -106,4 +118,4 @@ m AS (SELECT e.url, action, rule_id, pattern, row_number() OVER (PARTITION BY e.
 SELECT u.url, coalesce(m.action, 'none') AS decision, CAST(m.rule_id AS BIGINT) AS rule_id, m.pattern FROM u LEFT JOIN m ON m.url = u.url AND m.rn = 1"""
 
 
-ORACLE_SQL = {"op1_warc_derivatives": _warc_sql(), "op9_benchmark_decontamination": decontaminate.ORACLE_SQL, "op10_url_filter": _url_sql()}
+ORACLE_SQL = {"op1_warc_derivatives": _warc_sql(), "op3_epsilon_join": epsilon_join.ORACLE_SQL, "op9_benchmark_decontamination": decontaminate.ORACLE_SQL, "op10_url_filter": _url_sql()}
