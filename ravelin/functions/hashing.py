@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 
 def _unsigned(hex16: Column) -> Column:
@@ -47,7 +48,7 @@ def xor_words(a: Column, b: Column) -> Column:
     return F.concat(head, F.when(F.size(longer) > short, F.slice(longer, short + 1, F.size(longer))).otherwise(F.slice(longer, F.lit(1), F.lit(0))))
 
 
-@pandas_udf("bigint")
+@pandas_udf(LongType())
 def fnv1a(x: pd.Series) -> pd.Series:
     """64-bit FNV-1a over the eight little-endian bytes of a number, as a signed long."""
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 MIN_LEN, MAX_LEN = 2, 40
@@ -25,7 +26,7 @@ def terms(text: Column, stop: bool = True, stem: bool = False) -> Column:
     return F.filter(t, lambda w: (F.length(w) >= MIN_LEN) & (F.length(w) <= MAX_LEN))
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def stem_all(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [porter(w) for w in ws])
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 
 def _fold(x: Column) -> Column:
@@ -49,13 +50,13 @@ def pca_project(v: Column, mean: list[float], axes: list[list[float]]) -> Column
     return F.array(*(_fold(F.zip_with(c, F.array(*map(F.lit, a)), lambda x, y: x * y)) for a in axes))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def hash_floats(v: pd.Series) -> pd.Series:
     """SHA-256 (hex) of a vector's little-endian float32 bytes."""
     return v.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x, "<f4").tobytes()).hexdigest())
 
 
-@pandas_udf("array<bigint>")
+@pandas_udf(ArrayType(LongType()))
 def pack_floats(v: pd.Series) -> pd.Series:
     """float32 components as 64-bit little-endian words, two to a word, the last one padded with zero."""
 

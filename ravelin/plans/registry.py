@@ -1,4 +1,443 @@
-"""Registered queries of the retrieval operators and their SQL."""
+"""Registered queries of the retrieval operators, each over its whole tables, and the SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ravelin.functions import hashing, text, vectors
+from ravelin.operators import bins, evaluation, graph, knn, pir, ranking
+from ravelin.runtime import materialize, table
+from ravelin.sources import sinks
+
+K, TERM_K, THRESHOLD, CHOICES, BINS = 10, 10, 5, 1, 997
+M, CHUNK = 8, 64
+PIR_CASES = [pir.BatchParams(86404, 16, 540672), pir.BatchParams(8841823, 32, 896), pir.BatchParams(500, 16, 256)]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# inputs
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+def _run(spark, d, k=K):
+    return ranking.query_topk(_docs(spark, d), table(spark, d, "benchmark"), ["text"], k)
+
+
+def _qrels(spark, d):
+    """Judgements: a document that holds the benchmark text is relevant to it."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("_t"))
+    return _docs(spark, d).join(b, F.col("text").contains(F.col("_t"))).select(F.col("item_id").alias("qid"), "doc_id", F.lit(1).alias("rel"))
+
+
+def _rows(spark, d):
+    """Ragged rows of words: the first 1 + id modulo 64 scaled components of each vector."""
+    w = F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("bigint"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.slice(w, F.lit(1), F.pmod("vec_id", F.lit(64)).cast("int") + 1).alias("words"))
+
+
+def _exploded(df, *by):
+    return df.select(*by, F.posexplode("words").alias("pos", "word"))
+
+
+# SQL building blocks
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+_TERMS = rf"list_filter(list_transform(regexp_extract_all(regexp_replace({{}}, '[.,]+', ' ', 'g'), '\p{{{{L}}}}+'), lambda w: lower(w)), lambda w: length(w) BETWEEN {text.MIN_LEN} AND {text.MAX_LEN} AND w NOT IN ({_STOP}))"
+_terms = lambda c: _TERMS.format(c).replace("{{", "{").replace("}}", "}")
+
+
+def _bm25(docs: str = "documents", p: str = "") -> str:
+    """Tables post, df, dl, stat and w (term, doc_id, score)."""
+    return f"""
+{p}tok AS (SELECT doc_id, unnest({_terms("text")}) AS term FROM {docs}),
+{p}post AS (SELECT term, doc_id, count(*) AS tf FROM {p}tok GROUP BY ALL),
+{p}df AS (SELECT term, count(*) AS df FROM {p}post GROUP BY term),
+{p}dl AS (SELECT doc_id, sum(tf) AS dl FROM {p}post GROUP BY doc_id),
+{p}stat AS (SELECT avg(dl) AS avgdl, (SELECT count(*) FROM {docs}) AS n FROM {p}dl),
+{p}w AS (SELECT term, doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {ranking.K1 + 1} / (tf + {ranking.K1} * (1 - {ranking.B} + {ranking.B} * dl / avgdl)) AS score
+        FROM {p}post JOIN {p}df USING (term) JOIN {p}dl USING (doc_id), {p}stat)"""
+
+
+def _run_sql(p: str = "", k: int = K) -> str:
+    return f"""
+{p}q AS (SELECT item_id AS qid, unnest({_terms("text")}) AS term FROM benchmark),
+{p}qt AS (SELECT qid, term, count(*) AS qtf FROM {p}q GROUP BY ALL),
+{p}sc AS (SELECT qid, doc_id, round(sum(score * qtf), 6) AS score FROM {p}qt JOIN {p}w USING (term) GROUP BY qid, doc_id),
+{p}run AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM {p}sc QUALIFY rank <= {k})"""
+
+
+_GOLD = "gold AS (SELECT DISTINCT item_id AS qid, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
+_TERM_TOP = f"""t AS (SELECT term, hits, rank, doc_id, score FROM (
+  SELECT term, doc_id, round(score, 6) AS score, count(*) OVER (PARTITION BY term) AS hits, CAST(row_number() OVER (PARTITION BY term ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM w)
+  WHERE hits > {THRESHOLD} AND rank <= {TERM_K})"""
+
+
+def _choice_sql(term: str, i: str) -> str:
+    return rf"CAST('0x' || substr(sha256(encode({term}) || unhex(lpad(to_hex({i}), 8, '0'))), 1, 16) AS UBIGINT)"
+
+
+_BIN = lambda term, i: f"CAST({_choice_sql(term, i)} % {BINS} AS BIGINT)"
+_INDEX = f"ix AS (SELECT DISTINCT {_BIN('term', 'd')} AS bin, doc_id FROM t, (SELECT unnest(range(0, {CHOICES + 1})) AS d))"
+_PROBE = f"""pt AS (SELECT item_id AS qid, {_terms("text")} AS ts FROM benchmark),
+pr AS (SELECT qid, CAST(i AS INTEGER) AS pos, ts[i + 1] AS term, {_BIN('ts[i + 1]', str(CHOICES))} AS bin, len(ts) >= 32 AS overloaded FROM (SELECT qid, ts, unnest(range(0, len(ts))) AS i FROM pt))"""
+
+
+def _l2(a: str, b: str, n: str = "len({})") -> str:
+    i = n.format(a)
+    return f"list_reduce(list_transform(range(1, {i} + 1), lambda i: (CAST({a}[i] AS DOUBLE) - CAST({b}[i] AS DOUBLE)) * (CAST({a}[i] AS DOUBLE) - CAST({b}[i] AS DOUBLE))), lambda x, y: x + y)"
+
+
+def _knn_sql(dist: str, k: int, where: str = "true") -> str:
+    return f"""SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank, id, dist FROM (
+  SELECT a.vec_id AS qid, b.vec_id AS id, round({dist}, 6) + 0.0 AS dist FROM embeddings a, embeddings b WHERE {where}) QUALIFY rank <= {k}"""
+
+
+_L2 = _l2("a.embedding", "b.embedding")
+_DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
+_COS = f"-{_DOT.format('a.embedding', 'b.embedding')} / (sqrt({_DOT.format('a.embedding', 'a.embedding')}) * sqrt({_DOT.format('b.embedding', 'b.embedding')}))"
+_CAND = f"cand AS (SELECT qid AS src, id AS dst FROM ({_knn_sql(_L2, int(1.5 * M), 'a.vec_id <> b.vec_id')}))"
+_BOTH = "both_ways AS (SELECT src, dst FROM cand UNION ALL SELECT dst, src FROM cand), deg AS (SELECT src, count(*) AS deg FROM both_ways GROUP BY src)"
+_WORDS = "rows AS (SELECT vec_id AS idx, list_transform(embedding[1:1 + vec_id % 64], lambda x: CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT)) AS words FROM embeddings), flat AS (SELECT idx, CAST(i AS INTEGER) AS pos, words[i + 1] AS word FROM (SELECT idx, words, unnest(range(0, len(words))) AS i FROM rows))"
+
+
+# vectors
+
+
+@query(_knn_sql(_L2, K))
+def knn_l2(spark, d):
+    v = _vectors(spark, d)
+    return knn.knn(v, v, K)
+
+
+@query(_knn_sql(_COS, K))
+def knn_cosine(spark, d):
+    v = _vectors(spark, d)
+    return knn.knn(v, v, K, "cosine")
+
+
+@query(f"""
+WITH c AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i),
+m AS (SELECT label, list(m ORDER BY i) AS m FROM c GROUP BY label),
+x AS (SELECT e.label, vec_id, round({_l2("embedding", "m.m")}, 6) AS dist FROM embeddings e JOIN m ON e.label = m.label)
+SELECT label, vec_id AS id, dist FROM x QUALIFY row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) = 1""")
+def medoid_by_label(spark, d):
+    return knn.medoids(_vectors(spark, d), "label")
+
+
+@query(f"""
+WITH run AS ({_knn_sql(_l2("a.embedding", "b.embedding", "16"), K)}), truth AS ({_knn_sql(_L2, K)})
+SELECT truth.qid, count(run.id) / {float(K)} AS recall FROM truth LEFT JOIN run ON run.qid = truth.qid AND run.id = truth.id GROUP BY truth.qid""")
+def recall_at_k(spark, d):
+    v = _vectors(spark, d)
+    short = v.select("id", F.slice("vec", 1, 16).alias("vec"))
+    as_run = lambda x: x.select("qid", "rank", F.col("id").alias("doc_id"))
+    return evaluation.recall_at_k(as_run(knn.knn(short, short, K)), as_run(knn.knn(v, v, K)), K)
+
+
+@query("SELECT vec_id, max(vec_id) OVER (PARTITION BY embedding) + 1000000 AS doc_id FROM embeddings")
+def duplicate_vector_lookup(spark, d):
+    """Vectors found again by their hash in a table that holds each twice: the greater id wins."""
+    v = _vectors(spark, d)
+    twice = v.select("id", "vec").union(v.select((F.col("id") + 1000000).alias("id"), "vec"))
+    found = v.select(F.col("id").alias("vec_id"), vectors.hash_floats("vec").alias("_h"))
+    return found.join(bins.lookup(twice), F.col("_h") == F.col("h")).select("vec_id", "doc_id")
+
+
+@query(f"SELECT vec_id, CAST((list_sum(list_transform(embedding, lambda x: CAST(abs(CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT)) AS HUGEINT) * abs(CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT))))) % {2**32} AS BIGINT) AS ip FROM embeddings")
+def inner_product(spark, d):
+    w = F.transform("embedding", lambda x: F.abs(F.round(x.cast("double") * 1e6).cast("bigint")))
+    return table(spark, d, "embeddings").select("vec_id", vectors.inner_product_u32(w, w).alias("ip"))
+
+
+@query("SELECT vec_id AS id, CAST((len(embedding) + 1) // 2 AS INTEGER) AS n_words, TRUE AS same FROM embeddings")
+def vector_pack_round_trip(spark, d):
+    """Words of each packed vector and whether unpacking gives the same floats."""
+    v = _vectors(spark, d).select("id", "vec", vectors.pack_floats("vec").alias("words"))
+
+    def compare(it):
+        for b in it:
+            same = [bool(np.array_equal(vectors.unpack_words(np.asarray(w), len(x))[0], np.asarray(x, np.float32))) for w, x in zip(b["words"], b["vec"])]
+            yield pd.DataFrame({"id": b["id"], "n_words": b["words"].map(len), "same": same})
+
+    return v.mapInPandas(compare, "id bigint, n_words int, same boolean")
+
+
+# text
+
+
+@query(f"SELECT doc_id, CAST(len(ts) AS INTEGER) AS n_terms, CAST(len(list_distinct(ts)) AS INTEGER) AS n_distinct FROM (SELECT doc_id, {_terms('text')} AS ts FROM documents)")
+def analyzer_terms(spark, d):
+    t = text.terms(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.size(t).alias("n_terms"), F.size(F.array_distinct(t)).alias("n_distinct"))
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_terms('text')})) AS term FROM documents) GROUP BY term")
+def vocab_df(spark, d):
+    return ranking.vocabulary(_docs(spark, d), ["text"])
+
+
+@query()
+def stemmed_vocab(spark, d):
+    return ranking.vocabulary(_docs(spark, d), ["text"], stem=True)
+
+
+@query(f"WITH {_bm25()}, {_TERM_TOP} SELECT term, hits, rank, doc_id, score FROM t")
+def bm25_term_topk(spark, d):
+    return ranking.term_topk(_docs(spark, d), ["text"], TERM_K, THRESHOLD)
+
+
+@query(f"WITH {_bm25()}, {_run_sql()} SELECT qid, rank, doc_id, score FROM run")
+def bm25_query_topk(spark, d):
+    return _run(spark, d)
+
+
+@query(f"WITH {_bm25()}, {_run_sql()} SELECT d.doc_id, lang, source FROM documents d WHERE doc_id IN (SELECT doc_id FROM run)")
+def semi_join_corpus(spark, d):
+    return evaluation.semi_corpus(_docs(spark, d), _run(spark, d)).select("doc_id", "lang", "source")
+
+
+@query(f"WITH {_bm25()}, {_run_sql()} SELECT CAST(qid AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS doc_id, rank FROM run")
+def run_to_tsv(spark, d):
+    a = sinks.answers(_run(spark, d))
+    return a.select(F.col("qid").cast("string").alias("qid"), F.posexplode("doc_ids").alias("_p", "doc_id")).select("qid", "doc_id", (F.col("_p") + 1).alias("rank"))
+
+
+@query("""
+SELECT doc_id, octet_length(encode(text)) AS word0, CAST(CASE WHEN strlen(text) = 0 THEN 0 ELSE
+  CAST(CAST('0x' || substr(rpad(hex(encode(text)), 16, '0'), 1, 15) AS BIGINT) AS HUGEINT) * 16 + CAST('0x' || substr(rpad(hex(encode(text)), 16, '0'), 16, 1) AS BIGINT) -
+  CASE WHEN substr(rpad(hex(encode(text)), 16, '0'), 1, 1) IN ('8','9','A','B','C','D','E','F') THEN 18446744073709551616 ELSE 0 END END AS BIGINT) AS word1
+FROM documents""")
+def string_grid(spark, d):
+    """Length word and first packed word of every text."""
+    g = hashing.to_grid(F.col("text"), 4)
+    return _docs(spark, d).select("doc_id", g[0].alias("word0"), g[1].alias("word1"))
+
+
+# metrics
+
+
+@query(f"WITH {_bm25()}, {_run_sql()}, {_GOLD}, gq AS (SELECT DISTINCT qid FROM gold) SELECT gq.qid, coalesce(1.0 / CAST(min(run.rank) AS DOUBLE), 0.0) AS rr FROM gq LEFT JOIN (SELECT r.* FROM run r JOIN gold g ON r.qid = g.qid AND r.doc_id = g.doc_id) run ON run.qid = gq.qid GROUP BY gq.qid")
+def mrr_at_k(spark, d):
+    return evaluation.mrr_at_k(_run(spark, d), _qrels(spark, d), K)
+
+
+@query(f"WITH {_bm25()}, {_run_sql()}, {_GOLD} SELECT g.qid, count(r.doc_id) / CAST(count(*) AS DOUBLE) AS recall FROM gold g LEFT JOIN run r ON r.qid = g.qid AND r.doc_id = g.doc_id GROUP BY g.qid")
+def set_recall(spark, d):
+    return evaluation.set_recall(_run(spark, d), _qrels(spark, d))
+
+
+@query(f"""
+WITH {_bm25()}, {_run_sql()}, {_GOLD}, v AS (SELECT g.qid, count(r.doc_id) / CAST(count(*) AS DOUBLE) AS recall FROM gold g LEFT JOIN run r ON r.qid = g.qid AND r.doc_id = g.doc_id GROUP BY g.qid)
+SELECT round(avg(recall), 9) AS mean, round(quantile_cont(recall, 0.5), 9) AS median, round(quantile_cont(recall, 0.9), 9) AS p90 FROM v""")
+def metric_quantiles(spark, d):
+    q = evaluation.quantiles(evaluation.set_recall(_run(spark, d), _qrels(spark, d)), "recall")
+    return q.select(*(F.round(c, 9).alias(c) for c in q.columns))
+
+
+@query(f"""
+WITH {_bm25()}, {_run_sql()}, n AS (SELECT count(*) AS n FROM embeddings),
+s AS (SELECT qid, rank, doc_id, round({_DOT.format('q.embedding', 'e.embedding')} / (sqrt({_DOT.format('q.embedding', 'q.embedding')}) * sqrt({_DOT.format('e.embedding', 'e.embedding')})), 6) AS sim
+      FROM run JOIN embeddings q ON q.vec_id = qid LEFT JOIN embeddings e ON e.vec_id = doc_id)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC NULLS LAST, rank, doc_id) AS INTEGER) AS rank, doc_id, sim FROM s""")
+def rerank_cosine(spark, d):
+    """BM25 answers in order of cosine; documents beyond the vectors come last."""
+    v = _vectors(spark, d).select("id", "vec")
+    return evaluation.rerank_cosine(_run(spark, d), v, v)
+
+
+# bins
+
+
+@query(f"SELECT term, {_BIN('term', '0')} AS bin0, {_BIN('term', '1')} AS bin1 FROM (SELECT DISTINCT unnest({_terms('text')}) AS term FROM documents)")
+def token_bins(spark, d):
+    v = ranking.vocabulary(_docs(spark, d), ["text"])
+    return v.select("term", *(hashing.bin_of(F.col("term"), F.lit(i), BINS).alias(f"bin{i}") for i in (0, 1)))
+
+
+def _index(spark, d):
+    return bins.build(_docs(spark, d), ["text"], TERM_K, THRESHOLD, CHOICES, BINS)
+
+
+@query(f"WITH {_bm25()}, {_TERM_TOP}, {_INDEX} SELECT bin, doc_id FROM ix")
+def bin_index(spark, d):
+    return _index(spark, d)
+
+
+@query(f"WITH {_bm25()}, {_TERM_TOP}, {_INDEX}, n AS (SELECT bin, count(*) AS n FROM ix GROUP BY bin) SELECT CAST({BINS} AS BIGINT) AS total, CAST({BINS} - count(*) AS BIGINT) AS empty, count(*) AS non_empty, coalesce(max(n), 0) AS max_size FROM n")
+def bin_stats(spark, d):
+    return bins.stats(_index(spark, d), BINS)
+
+
+@query(f"WITH {_bm25()}, {_TERM_TOP}, {_INDEX}, {_PROBE} SELECT DISTINCT pr.qid, ix.bin, doc_id FROM pr JOIN ix ON pr.bin = ix.bin")
+def bin_probe(spark, d):
+    return bins.answer(bins.probe(table(spark, d, "benchmark"), CHOICES, BINS), _index(spark, d))
+
+
+@query(f"WITH {_PROBE} SELECT qid, pos, term, bin, overloaded FROM pr")
+def bin_lookups(spark, d):
+    return bins.probe(table(spark, d, "benchmark"), CHOICES, BINS)
+
+
+@query(f"""
+WITH {_bm25()}, {_TERM_TOP}, {_INDEX}, {_PROBE}, hit AS (SELECT DISTINCT doc_id FROM pr JOIN ix ON pr.bin = ix.bin),
+small AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM hit)), {_bm25("small", "z")}, {_run_sql("z")} SELECT qid, rank, doc_id, score FROM zrun""")
+def bin_probe_rerank(spark, d):
+    """BM25 over only the documents that the probed bins hold."""
+    hit = materialize(bin_probe(spark, d), "answers")
+    return ranking.query_topk(evaluation.semi_corpus(_docs(spark, d), hit), table(spark, d, "benchmark"), ["text"], K)
+
+
+@query("SELECT label AS bin, vec_id AS doc_id FROM embeddings")
+def bin_materialise_decode(spark, d):
+    """Vectors of the bins (labels here) packed, and their ids recovered by hash."""
+    v = _vectors(spark, d)
+    index = v.select(F.col("label").alias("bin"), F.col("id").alias("doc_id"))
+    n = v.count()
+    return bins.decode(bins.materialise(index, v.select("id", "vec"), n), bins.lookup(v.select("id", "vec"))).select("bin", "doc_id")
+
+
+# graph
+
+
+@query(f"WITH {_CAND} SELECT src, dst FROM cand")
+def graph_candidates(spark, d):
+    return graph.candidates(_vectors(spark, d), M)
+
+
+@query(f"WITH {_CAND}, {_BOTH} SELECT src AS id, deg FROM deg")
+def graph_degree(spark, d):
+    return graph.degrees(graph.both_ways(graph_candidates(spark, d)))
+
+
+@query(f"WITH {_CAND}, n AS (SELECT vec_id, count(dst) AS n FROM embeddings LEFT JOIN cand ON dst = vec_id GROUP BY vec_id) SELECT min(n) AS min_in, max(n) AS max_in FROM n")
+def graph_in_degree(spark, d):
+    return graph.in_degree_range(graph_candidates(spark, d), _vectors(spark, d))
+
+
+@query(f"""
+WITH {_CAND}, {_BOTH} SELECT DISTINCT b.src, dst FROM both_ways b JOIN deg ON deg.src = b.src
+WHERE CAST('0x' || substr(sha256(b.src || '|' || dst || '|0'), 1, 13) AS BIGINT) / {float(2**52)} < least({1.5 * M} / deg, 1.0)""")
+def graph_edge_sample(spark, d):
+    return graph.sample(graph.both_ways(graph_candidates(spark, d)), M)
+
+
+@query()
+def graph_build(spark, d):
+    return graph.build(_vectors(spark, d), M)
+
+
+@query()
+def graph_search(spark, d):
+    v = _vectors(spark, d).select("id", "vec")
+    return graph.search(v, v, materialize(graph.build(v, M), "graph"), K, steps=6, width=4)
+
+
+# private lookups
+
+
+@query("SELECT vec_id AS idx, vec_id // 63 AS part, vec_id % 63 AS \"off\" FROM embeddings")
+def pir_partition_layout(spark, d):
+    return pir.layout(_rows(spark, d).select("idx"), 63)
+
+
+_PARAMS = f"""
+WITH RECURSIVE c(n, batch, eb) AS (VALUES {", ".join(f"({b.rows}, {b.batch}, {b.entry_bytes})" for b in PIR_CASES)}),
+p AS (SELECT *, batch // 2 AS parts, CAST(ceil(n / (batch // 2)) AS BIGINT) AS pr FROM c),
+k AS (SELECT *, CAST(power(2, ceil(log2(2 * sqrt(pr)))) AS BIGINT) AS chunk FROM p),
+s AS (SELECT *, CAST(ceil(ceil(pr / chunk) / 4) * 4 AS BIGINT) AS st, CAST(floor(sqrt(pr) * ln(pr)) AS BIGINT) AS mq FROM k),
+f AS (SELECT *, CAST(ceil(ln(2) * 41) AS BIGINT) * chunk AS hints, 3 * (mq // st) AS pc FROM s)"""
+
+
+@query(f"{_PARAMS} SELECT CAST(n AS BIGINT) AS n, CAST(batch AS BIGINT) AS batch, CAST(eb AS BIGINT) AS entry_bytes, CAST(parts AS BIGINT) AS partitions, pr AS part_rows, chunk, st AS set_size, mq AS max_queries, hints, pc AS per_chunk, mq // 2 AS support FROM f")
+def pir_params(spark, d):
+    return pir.params_table(spark, PIR_CASES).drop("comm_bytes", "storage_bytes")
+
+
+@query(f"{_PARAMS} SELECT CAST(n AS BIGINT) AS n, CAST(batch AS BIGINT) AS batch, CAST(parts * 2 * (4 * st + eb) AS BIGINT) AS comm_bytes, CAST(parts AS BIGINT) * (hints * (16 + eb) + st * pc * (16 + 2 * eb)) AS storage_bytes FROM f")
+def pir_cost(spark, d):
+    return pir.params_table(spark, PIR_CASES).select("n", "batch", "comm_bytes", "storage_bytes")
+
+
+@query(f"WITH {_WORDS} SELECT idx // 63 AS part, pos, bit_xor(word) AS word FROM flat GROUP BY ALL")
+def xor_parity_by_partition(spark, d):
+    return _exploded(pir.xor_rows(pir.layout(_rows(spark, d), 63), ["part"]), "part")
+
+
+@query(f"""
+WITH {_WORDS}, n AS (SELECT count(*) AS n FROM rows), st AS (SELECT unnest(range(0, CAST(ceil(n / {CHUNK}) AS BIGINT))) AS c FROM n),
+s AS (SELECT idx AS qid, (idx * 31 + c * 7) % {CHUNK} + c * {CHUNK} AS place FROM rows, st)
+SELECT qid, pos, bit_xor(word) AS word FROM s JOIN flat ON flat.idx = place GROUP BY qid, pos""")
+def xor_chunk_parity(spark, d):
+    """One parity for every row number, of a row of each chunk."""
+    rows = _rows(spark, d)
+    n = rows.count()
+    sets = rows.select(F.col("idx").alias("qid"), F.transform(F.sequence(F.lit(0), F.lit(-(-n // CHUNK) - 1)), lambda c: F.pmod(F.col("idx") * 31 + c * 7, F.lit(CHUNK))).alias("offsets"))
+    return _exploded(pir.server_parity(rows, sets, CHUNK, n), "qid")
+
+
+@query("""
+WITH q AS (SELECT o_orderkey // 32 AS batch, (o_custkey % 500) // 63 AS part FROM orders), n AS (SELECT batch, part, count(*) AS n FROM q GROUP BY ALL), m AS (SELECT batch, max(n) AS padded FROM n GROUP BY batch)
+SELECT m.batch, g.part, coalesce(n.n, 0) AS n, padded FROM m CROSS JOIN (SELECT unnest(range(0, 8)) AS part) g LEFT JOIN n ON n.batch = m.batch AND n.part = g.part""")
+def batch_pad_plan(spark, d):
+    q = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 32).cast("bigint").alias("batch"), F.pmod("o_custkey", F.lit(500)).alias("idx"))
+    return pir.batch_plan(q, 63, 8)
+
+
+@query(f"WITH {_WORDS} SELECT o_orderkey AS pos, idx, words[1] AS word FROM orders JOIN rows ON idx = o_custkey % (SELECT count(*) FROM rows)")
+def plain_lookup(spark, d):
+    rows = _rows(spark, d)
+    n = rows.count()
+    want = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.pmod("o_custkey", F.lit(n)).alias("idx"))
+    return pir.plain_lookup(rows, want, n, n).select("pos", "idx", F.col("words")[0].alias("word"))
+
+
+@query()
+def pir_hint_parities(spark, d):
+    """Parities of 64 keyed hints over all rows."""
+    rows = _rows(spark, d)
+    n = rows.count()
+    p = pir.Params(n, 512)
+    hints = spark.range(64).select(F.col("id").alias("hint"), F.col("id").alias("tag"), F.unhex(F.lit("000102030405060708090a0b0c0d0e0f")).alias("key"))
+    return _exploded(pir.hint_parities(rows, hints, p.chunk, p.set_size, n), "hint")
+
+
+@query()
+def pir_client(spark, d):
+    """(idx, word): every row fetched privately, partition by partition, each by a client of its own."""
+    x = _vectors(spark, d).withColumn("words", vectors.pack_floats("vec")).select(F.col("id").alias("idx"), "words")
+    parts = pir.layout(x, 63)
+
+    def fetch(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("off")
+        rows = np.stack(g["words"].to_numpy()).astype(np.int64).view(np.uint64)
+        c, out = pir.Client(rows, pir.Params(max(2, len(rows)), rows.shape[1] * 8)), []
+        for i in range(len(rows)):
+            try:
+                out.append(c.query(i)[0])
+            except pir.BudgetError:
+                c.preprocess()
+                out.append(c.query(i)[0])
+        return pd.DataFrame({"idx": g["idx"].to_numpy(), "word": np.array(out, np.uint64).view(np.int64)})
+
+    return parts.groupBy("part").applyInPandas(fetch, "idx bigint, word bigint")
