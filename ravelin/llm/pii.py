@@ -28,7 +28,10 @@ _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za
 _IP = re.compile(r"(?<![\w.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?![\w]|\.\d)", re.A)
 _SSN = re.compile(r"(?<![\w-])(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])", re.A)
 _PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w])|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,10}\)?){1,5}(?!\w)", re.A)
-_NUMBER = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){11,18}(?![\w]|[.-]\d)", re.A)
+_NUMBER = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w]|[.-]\d)", re.A)
+_GROUP = re.compile(r"\d+")
+#: A short group with a digit right before: the number is the rest of something longer.
+_CONTINUED = re.compile(r"(?<!\w)\w{0,5}\d[ -]$", re.A)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)", re.A)
 _USER = re.compile(r"[^\s/@:\"'<>]+(?::[^\s/@\"'<>]*)?@(?=[A-Za-z0-9.-])")
 _IDENT = re.compile(r"[\s:#=.]{0,4}(?:no|nr|number|id)?[\s:#=.]{0,4}([A-Z0-9][A-Z0-9-]{5,19})(?!\w)", re.A | re.I)
@@ -90,10 +93,13 @@ def _digits_at(text: str, i: int) -> tuple[str, int, int] | None:
             n = sum(c.isdigit() for c in m.group())
             if 8 <= n <= 15 and ("(" in m.group() or "+" in m.group() or n == 10) and not (back == 0 and text[max(0, p - 1) : p] in ("+", "(")):
                 return "phone", m.start(), m.end()
-    if m := _NUMBER.match(text, s):
-        d = re.sub(r"\D", "", m.group())
-        if 13 <= len(d) <= 19 and d[0] in "23456" and luhn(d):
-            return "card", m.start(), m.end()
+    if (m := _NUMBER.match(text, s)) and not _CONTINUED.search(text, max(0, s - 9), s):
+        # the longest run of whole groups that validates
+        groups = [g.end() for g in _GROUP.finditer(text, s, m.end())]
+        for end in reversed(groups):
+            d = re.sub(r"\D", "", text[s:end])
+            if 13 <= len(d) <= 19 and d[0] in "23456" and luhn(d):
+                return "card", s, end
     return None
 
 
