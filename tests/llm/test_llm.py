@@ -1,0 +1,449 @@
+import base64
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ravelin.llm import decontaminate, epsilon_join, licenses, pii, queries, secrets, sentencepiece_scan, simhash, toxicity, url_filter, warc
+from ravelin.llm.words import tokenize
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _id string, _text int, rank int, ids string, doc string, score int"
+
+
+def odd_docs(spark, *texts):
+    """Null ids and texts, empty and very long texts, repeated rows, and columns whose names clash with internal and result columns."""
+    long = "lorem ipsum dolor sit amet " * 40_000
+    rows = [(1, None), (None, "some text here"), (2, ""), (3, ""), (4, long), (4, long), (5, "!!! ???"), *((100 + i, t) for i, t in enumerate(texts))]
+    return spark.createDataFrame([(i, t, None, "s", None, "x", 1, 2, "i", None, 3) for i, t in rows], DOCS)
+
+
+def docs_of(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(spark, sf, same_as_sql, name):
+    same_as_sql(queries.QUERIES[name](spark, sf), queries.ORACLE_SQL[name])
+
+
+def test_all_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_tokenize():
+    texts = ["", "Ab, c1-é", "日本語x", "İstanbul", "a" * 50]
+    h, d, s, e = tokenize(texts)
+    assert [(int(i), texts[i][a:b]) for i, a, b in zip(d, s, e)] == [(1, "Ab"), (1, "c1"), (1, "é"), (2, "日"), (2, "本"), (2, "語"), (2, "x"), (3, "İstanbul"), (4, "a" * 50)]
+    assert tokenize(["AB"])[0][0] == tokenize(["x ab"])[0][1]
+
+
+# 1
+
+
+def test_warc(spark):
+    html = "<html lang=fr><head><title> T </title></head><body><nav>n</nav><p>A&amp;B</p><!-- c --><script>x<1</script>C<br>D &lt;</body></html>"
+    r = spark.createDataFrame([("<a>", "u", None, "HTTP/1.1 200 OK\r\nX: y\r\n", html, "k"), ("<b>", None, "d", None, None, "k"), ("<c>", "u", "d", "h", "", "k"), ("<c>", "u", "d", "h", "", "k")],
+                              "record_id string, target_uri string, warc_date string, http_header string, payload string, block string")
+    out = warc.derivatives(r).collect()
+    text = {x.refers_to: x for x in out if x.warc_type == "conversion"}
+    assert text["<a>"].block == "A&B\nC\nD <" and text["<c>"].block == "" and "<b>" not in text
+    assert len(out) == 7
+    a = text["<a>"]
+    assert a.source_digest == "sha1:" + base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+    assert a.source_header == "HTTP/1.1 200 OK\r\nX: y\r\n" and a.content_length == len(a.block)
+    meta = next(x for x in out if x.refers_to == "<a>" and x.warc_type == "metadata")
+    assert "title: T\r\n" in meta.block and "language: fr\r\n" in meta.block and "httpStatus: 200\r\n" in meta.block
+    assert warc.derivatives(r.limit(0)).count() == 0
+    rec = warc.to_warc_text(warc.derivatives(r.limit(1))).first().record
+    assert rec.startswith("WARC/1.1\r\n") and "WARC-Refers-To: <a>\r\n" in rec
+
+
+# 2
+
+
+@pytest.mark.parametrize(
+    "code, want",
+    [
+        ('a = "abc123XYZ"\napi_key = a + "def456"', [("api_key", "abc123XYZdef456")]),
+        ("password: hunter2SuperLong9", [("password", "hunter2SuperLong9")]),
+        ('{"client_secret": "Zx81kd9Qw0eR7tY2"}', [("client_secret", "Zx81kd9Qw0eR7tY2")]),
+        ("const authToken: string = `a8f9b7c6d5e4f3a2b1c0`;", [("authToken", "a8f9b7c6d5e4f3a2b1c0")]),
+        ("$cfg['db_pass'] => 'p4ssW0rd!x'", [("db_pass", "p4ssW0rd!x")]),
+        ("AWS_SECRET_ACCESS_KEY=abcD1234efGH5678ijkl", [("AWS_SECRET_ACCESS_KEY", "abcD1234efGH5678ijkl")]),
+        ('url = "http://x.y"; x == 1; token = "changeme"; note: hello', []),
+        ('secret = x; color = "9c8b45435718dcc700c184a7"', []),
+        ("", []),
+    ],
+)
+def test_secret_syntax(code, want):
+    assert [f[:2] for f in secrets.find(code)] == want
+
+
+def test_secret_scan(spark):
+    d = docs_of(spark, "/root/testdata/sf0.01")
+    want = sorted((r.doc_id, m.start(1)) for r in d.collect() for m in re.finditer(r'(?i)token = ("[0-9a-f]{40}")', r.text))
+    assert sorted((r.doc_id, r.start) for r in secrets.scan(d).collect()) == want and want
+    odd = secrets.scan(odd_docs(spark, "", 'password = "aB3$kd92hfQ"')).collect()
+    assert [(r.doc_id, r.name) for r in odd] == [(101, "password")]
+    assert secrets.scan(d.limit(0)).count() == 0
+
+
+# 3
+
+
+def test_epsilon_join(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 12))
+    x = np.vstack([x, x[:60] + rng.normal(size=(60, 12)) * 0.05, x[:5], x[:5]])
+    rows = [(i, v.tolist(), 0, "c") for i, v in enumerate(x)]
+    rows += [(None, x[0].tolist(), 0, "c"), (900, None, 0, "c"), (901, [1.0], 0, "c"), (902, [float("nan")] * 12, 0, "c"), (903, [None] * 12, 0, "c"), (3, x[3].tolist(), 0, "c")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, _id int, id_a string")
+    for eps in (0.4, 2.5):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        want = {(i, j): round(d[i, j], 5) for i, j in itertools.combinations(range(len(x)), 2) if d[i, j] <= eps}
+        got = {(r.id_a, r.id_b): r.distance for r in epsilon_join.epsilon_pairs(df, eps, block=64).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in got)
+    assert epsilon_join.epsilon_pairs(df.limit(0)).count() == 0
+
+
+# 4
+
+
+def test_pii(spark, sf):
+    assert pii.find("mail a.b@x.co, +49 170 1234567 tel (030) 123-4567 ip 10.0.0.1. SSN: 123-45-6789 iban DE89 3704 0044 0532 0130 00 card 4111 1111 1111 1111 http://u:p@h.com account no: 12345678")[0] == ("email", 5, 13)
+    kinds = lambda t: [k for k, _, _ in pii.find(t)]
+    assert kinds("+49 170 1234567 x (030) 123-4567") == ["phone", "phone"]
+    assert kinds("DE89 3704 0044 0532 0130 00, DE89 3704 0044 0532 0130 01") == ["iban"]
+    assert kinds("4111111111111111 4111111111111112 http://u:p@h.com account no: 12345678") == ["card", "url_user", "identifier"]
+    assert kinds("a@b, @x, 1.2.3, 999.1.1.1, 1.2.3.4.5, 12:30, http://h.com, 7086638319846192") == []
+    d = docs_of(spark, sf)
+    rx = r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])"
+    luhn = lambda n: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(n))) % 10 == 0
+    want = {(r.doc_id, m.start()) for r in d.collect() for m in re.finditer(rx, r.text)}
+    cards = {(r.doc_id, m.start()) for r in d.collect() for m in re.finditer(r"(?<!\w)[2-6]\d{15}(?!\w)", r.text) if luhn(m.group())}
+    got = pii.scan(d).collect()
+    assert {(r.doc_id, r.start) for r in got} == want | cards and want and cards
+    masked = {r.doc_id: r.text for r in pii.mask(d).collect()}
+    assert all(r.value not in masked[r.doc_id] for r in got)
+    odd = odd_docs(spark, "x a@b.com y")
+    out = pii.mask(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert [r.text for r in out.where("doc_id = 1 or doc_id = 100").orderBy("doc_id").collect()] == [None, "x [EMAIL] y"]
+    assert pii.scan(odd.limit(0)).count() == 0
+
+
+# 5
+
+
+def test_toxicity_held_out():
+    rng = random.Random(0)
+    bad = ["idiotic", "scumbag", "worthless", "pathetic", "moronic"]
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    vocabulary = [word() for _ in range(3000)]
+    make = lambda toxic: " ".join(rng.choice(bad) if toxic and rng.random() < 0.04 else rng.choice(vocabulary) for _ in range(rng.randint(80, 300)))
+    m = toxicity.train([make(True) for _ in range(300)], [make(False) for _ in range(600)])
+    tc, oc = toxicity._compressor(m.toxic, m.raw[0]), toxicity._compressor(m.ordinary, m.raw[1])
+    flagged = lambda t: max(toxicity.window_scores(toxicity._codes([t])[0], tc, oc)) >= m.threshold
+    tests = [make(True) for _ in range(200)]
+    assert np.mean([flagged(t) for t in tests if any(b in t for b in bad)]) > 0.95
+    assert np.mean([flagged(make(False)) for _ in range(200)]) < 0.03
+    assert toxicity.train([], ["a"]) is None and toxicity.train([""], [""]) is None
+
+
+def test_toxicity_odd(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    odd = odd_docs(spark, "fine")
+    assert toxicity.reject_toxic(odd, labels.limit(0)).count() == odd.count()
+    assert toxicity.toxic_documents(odd, labels.limit(0)).count() == 0
+    d = docs_of(spark, sf)
+    x = d.unionByName(odd.select(*d.columns))
+    bad = [r.doc_id for r in toxicity.toxic_documents(x, labels).collect()]
+    kept = toxicity.reject_toxic(x, labels)
+    assert kept.columns == x.columns and kept.count() == x.count() - len(bad)
+    assert kept.where("text is null").count() == 1
+    null = spark.createDataFrame([(None, 1), (1, None)], "doc_id bigint, toxic int")
+    assert toxicity.reject_toxic(d, labels.select("doc_id", "toxic").union(null)).count() > 0
+
+
+# 6
+
+
+def test_sentencepiece_equals_library(spark, sf):
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_scan.MODEL)
+    d = docs_of(spark, sf).select("doc_id", "text")
+    extra = [(9001, ""), (9002, None), (None, "null id"), (9003, "  a  b\n\n c\t"), (9004, "日本語" * 900), (9005, "x" * 3000), (9006, "a b " * 900), (9006, "a b " * 900), (9007, "😀\x00é́")]
+    x = d.union(spark.createDataFrame(extra, d.schema))
+    for chunk in (500, sentencepiece_scan.CHUNK):
+        got = sentencepiece_scan.encode(x, chunk=chunk)
+        rows = got.collect()
+        text = {r.doc_id: r.text for r in x.collect()}
+        assert len(rows) == x.count()
+        for r in rows:
+            t = text[r.doc_id]
+            assert r.ids == (None if t is None else p.encode(t)) and (t is None or r.round_trip)
+        back = {r.doc_id: r.text for r in sentencepiece_scan.decode(got).collect()}
+        assert back == text
+    assert sentencepiece_scan.encode(x.limit(0)).count() == 0
+    assert sentencepiece_scan.encode(odd_docs(spark)).columns == ["doc_id", "ids", "n_tokens", "round_trip"]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 17, 64])
+def test_transfer_matrices(chunk):
+    c = sentencepiece_scan.codec(sentencepiece_scan.MODEL)
+    rng = random.Random(chunk)
+    for t in ["the quick brown fox", "thequickbrownfoxjumps", "  a   b\n\n  c", "=-=-==  ", "日本", "a" * 40, "".join(rng.choice("ab cthe\né▁") for _ in range(80))]:
+        s = " " + t.replace("▁", " ")
+        parts, ms = [], []
+        for k in range(-(-len(s) // chunk)):
+            lo, x0, x1 = max(0, k * chunk - 64), k * chunk, min(len(s), (k + 1) * chunk)
+            parts.append((s[lo : x1 + 64], x0 - lo, x1 - lo))
+            ms.append(set(c.transfer(*parts[-1], k == 0, x1 == len(s))))
+        # any bracketing gives the same product
+        left = ms[0]
+        for m in ms[1:]:
+            left = sentencepiece_scan.combine(left, m)
+        right = ms[-1]
+        for m in ms[-2::-1]:
+            right = sentencepiece_scan.combine(m, right)
+        assert left == right == {(None, (right_ := next(iter(right)))[1])} and right_[1][1] == 0
+        states = sentencepiece_scan.boundary_states(ms)
+        ids = b"".join(c.backtrace(*p, a, b) for p, a, b in zip(parts, [None, *states[:-1]], states))
+        assert np.frombuffer(ids, np.int32).tolist() == c.p.encode(t.replace("▁", " "))
+
+
+# 7
+
+
+def test_golay():
+    rng = np.random.default_rng(0)
+    x = rng.integers(1 << 23, size=3000)
+    idx, n = simhash.codeword_indices(x)
+    assert set(np.unique(n)) <= {1, 6}
+    for y in (x, x ^ (1 << rng.integers(23, size=len(x)))):
+        other, m = simhash.codeword_indices(y)
+        assert all(set(a[:i]) & set(b[:j]) for a, b, i, j in zip(idx, other, n, m))
+
+
+def union_find(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_simhash_brute_force(spark):
+    """Against all pairs of fingerprints, at sf0.01: recall of 0.9 at least, and no pair that isn't near."""
+    d = docs_of(spark, "/root/testdata/sf0.01")
+    rows = sorted((r.doc_id, r.text) for r in d.collect())
+    sig, _ = simhash.fingerprints([t for _, t in rows])
+    dist = np.zeros((len(rows), len(rows)), int)
+    for w in range(4):
+        dist += np.bitwise_count(sig[:, None, w] ^ sig[None, :, w])
+    a, b = np.nonzero(np.triu(dist <= simhash.MAX_DISTANCE, 1))
+    want = union_find(len(rows), zip(a.tolist(), b.tolist()))
+    got = {r.doc_id: r.kept_id for r in simhash.near_duplicates(d).collect()}
+    at = {i: k for k, (i, _) in enumerate(rows)}
+    assert all(want[at[x]] == want[at[y]] for x, y in got.items())
+    group = [got.get(i, i) for i, _ in rows]
+    assert np.mean([group[i] == group[j] for i, j in zip(a, b)]) >= 0.9
+    kept = simhash.near_dedup(d)
+    assert kept.columns == d.columns and kept.count() == len(rows) - len(got)
+
+
+def test_simhash_odd(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    odd = odd_docs(spark, base, base, base.upper(), "!!! ???", "something else entirely here")
+    got = sorted((r.doc_id, r.kept_id) for r in simhash.near_duplicates(odd).collect())
+    assert got == [(3, 2), (101, 100), (102, 100), (103, 5)]
+    kept = simhash.near_dedup(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id is null or text is null").count() == 2
+    assert simhash.near_dedup(odd.limit(0)).count() == 0
+
+
+def test_links_connect_like_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        base = rng.integers(2**63, size=(3, 4)).astype(np.uint64)
+        sig = base[rng.integers(3, size=40)].copy()
+        for r in sig:
+            for _ in range(int(rng.integers(0, 40))):
+                r[rng.integers(4)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+        d = np.array([[np.bitwise_count(a ^ b).sum() for b in sig] for a in sig])
+        pairs = list(zip(*np.nonzero(np.triu(d <= 46, 1))))
+        assert union_find(40, simhash.links(np.arange(40), sig, 46)) == union_find(40, pairs)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    pairs = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(40)]
+    want = union_find(160, pairs)
+    got = {r.id: r.root for r in simhash.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert [got.get(i, i) for i in range(160)] == want
+
+
+# 8
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_licenses(spark, sf):
+    d = docs_of(spark, sf)
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    want = set()
+    for r in d.collect():
+        w = words(r.text)
+        for name, t in licenses.TEMPLATES:
+            tw = words(t)
+            n = len(tw) + 2 * licenses.BAND
+            if len(set(tw) & set(w)) / len(set(tw)) >= licenses.MIN_COVERAGE and any(lcs(tw, w[i : i + n]) / len(tw) >= licenses.MIN_COVERAGE for i in range(0, max(1, len(w) - len(tw) + 1))):
+                want.add((r.doc_id, name))
+    got = licenses.scan(d).collect()
+    text = {r.doc_id: r.text for r in d.collect()}
+    assert {r.doc_id for r in got} == {i for i, _ in want} and want
+    assert {(r.doc_id, r.license) for r in got} <= want
+    assert all(text[r.doc_id][r.start : r.end].lower().split()[0] in ("this", "licensed", "released") for r in got)
+    gpl = licenses.TEMPLATES[6][1]
+    odd = licenses.scan(odd_docs(spark, "x " * 5000 + gpl.replace("can", "may") + " y" * 5000, gpl + " " + gpl)).collect()
+    assert [(r.doc_id, r.license) for r in odd] == [(100, "GPL-3.0"), (101, "GPL-3.0"), (101, "GPL-3.0")] and 0.8 < odd[0].coverage < 1
+    assert licenses.scan(d.limit(0)).count() == 0 and licenses.scan(d, []).count() == 0
+
+
+# 9
+
+
+def brute_matches(docs, items, least=decontaminate.MIN_WORDS):
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = {}
+    for i, t in docs:
+        w = words(t)
+        for k, u in items:
+            b = words(u)
+            best = None
+            for p in range(len(w)):
+                for q in range(len(b)):
+                    n = 0
+                    while p + n < len(w) and q + n < len(b) and w[p + n] == b[q + n]:
+                        n += 1
+                    if n >= min(least, len(b)) and len(b) >= decontaminate.MIN_ITEM_WORDS and (best is None or n > best[0]):
+                        best = (n, p, q)
+            if best:
+                out[i, k] = best
+    return out
+
+
+def test_suffix_arrays_brute_force(spark):
+    rng = random.Random(5)
+    make = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    items = [(i, make(rng.randint(3, 30))) for i in range(12)]
+    docs = []
+    for i in range(40):
+        t = make(rng.randint(0, 60))
+        if i % 2:
+            k, u = items[rng.randrange(12)]
+            part = u.split()
+            a = rng.randrange(max(1, len(part) - 15))
+            t += " " + " ".join(part[a : a + rng.randint(10, 30)]) + " " + make(20)
+        docs.append((i, t))
+    docs += [(50, docs[1][1]), (51, ""), (52, None), (None, items[0][1])]
+    d = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id bigint, text string, item_id int, w string")
+    b = spark.createDataFrame([*items, (99, None), (None, "a b c d a b c d a b c d a b c")], "item_id bigint, text string")
+    want = brute_matches([x for x in docs if x[0] is not None], items)
+    for size in (decontaminate.PASS_BYTES, 100):
+        got = {(r.doc_id, r.item_id): (r.match_words, r.doc_pos, r.item_pos) for r in decontaminate.matches(d, b, pass_bytes=size).collect()}
+        assert got == want
+    kept = {r.doc_id for r in decontaminate.decontaminate(d, b).collect()}
+    assert kept - {None} == {i for i, _ in docs if i is not None} - {i for i, _ in want}
+    assert decontaminate.matches(d, b.limit(0)).count() == 0 and decontaminate.matches(d.limit(0), b).count() == 0
+    odd = odd_docs(spark)
+    assert decontaminate.decontaminate(odd, b).columns == odd.columns
+
+
+# 10
+
+
+def test_url_filter(spark):
+    rules = spark.createDataFrame(
+        [(1, "a.com/", "block", 0), (2, "x.a.com/ok/", "allow", None), (3, "a.com/t", "allow", 0), (4, "a.com/t", "block", 0), (5, None, "block", 0), (1, "a.com/", "block", 0), (6, "1.2.3.4/", "block", 0), (7, "3.4/", "allow", 9)],
+        url_filter.RULE_SCHEMA,
+    )
+    want = {"http://a.com": "block", "https://u:p@X.A.com:8080/ok/z?q#f": "allow", "http://x.a.com/ok": "block", "a.com/t": "allow", "http://ba.com/": "none", "http://1.2.3.4/x": "block", "": "none", None: "none", "http://" + "s." * 300 + "a.com/" + "d/" * 50: "block"}
+    pages = spark.createDataFrame([(u, 1, "d", "k") for u in [*want, "http://a.com"]], "url string, rule_id int, decision string, _url string")
+    for size in (1, 8, 64):
+        got = url_filter.url_filter(pages, rules, prefix_hex=size).collect()
+        assert {r.url: r.decision for r in got} == want and len(got) == len(want)
+    left = url_filter.filter_pages(pages, rules)
+    assert left.columns == pages.columns and left.count() == sum(v != "block" for v in want.values())
+    assert url_filter.url_filter(pages.limit(0), rules).count() == 0
+    assert {r.decision for r in url_filter.url_filter(pages, rules.limit(0)).collect()} == {"none"}
+
+
+# pipeline
+
+
+def test_pipeline_brute_force(spark, sf):
+    """Every stage against a plain version of itself on the same input."""
+    import corpus_pipeline
+    import sentencepiece
+
+    from ravelin.runtime import materialize
+
+    docs = docs_of(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    columns = docs.columns
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        seen[name] = (docs.collect(), None)
+        docs = materialize(stage(spark, docs, sf), name)
+        seen[name] = (seen[name][0], docs.collect())
+        if name != "sentencepiece":
+            assert docs.columns == columns
+    ids = lambda rows: [r.doc_id for r in rows]
+
+    before, after = seen["toxicity"]
+    model = toxicity.fit(docs_of(spark, sf), labels)
+    tc, oc = toxicity._compressor(model.toxic, model.raw[0]), toxicity._compressor(model.ordinary, model.raw[1])
+    assert sorted(ids(after)) == sorted(r.doc_id for r in before if max(toxicity.window_scores(toxicity._codes([r.text])[0], tc, oc)) < model.threshold)
+
+    before, after = seen["near_duplicates"]
+    rows = sorted((r.doc_id, r.text) for r in before)
+    sig, _ = simhash.fingerprints([t for _, t in rows])
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if np.bitwise_count(sig[i] ^ sig[j]).sum() <= simhash.MAX_DISTANCE]
+    roots = {rows[r][0] for r in union_find(len(rows), pairs)}
+    assert roots <= set(ids(after)) and len(ids(after)) - len(roots) <= 0.1 * len(pairs)
+
+    before, after = seen["benchmark_decontamination"]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = {tuple(w[i : i + 13]) for w in (words(t) for _, t in bench) for i in range(len(w) - 12)}
+    leaks = lambda t: any(tuple(w[i : i + 13]) in grams for w in [words(t)] for i in range(len(w) - 12))
+    assert sorted(ids(after)) == sorted(r.doc_id for r in before if not leaks(r.text))
+
+    before, after = seen["pii"]
+    assert {r.doc_id: r.text for r in after} == {r.doc_id: pii.mask_text(r.text) for r in before}
+
+    before, after = seen["sentencepiece"]
+    p = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_scan.MODEL)
+    assert {r.doc_id: r.ids for r in after} == {r.doc_id: p.encode(r.text) for r in before}
+    assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, after))
