@@ -23,7 +23,7 @@ EPSILON = 0.35
 #: Leading principal dimensions of the grid.
 DIMS = 6
 BLOCK = 2048
-LEAF = 64
+LEAF = 256
 
 
 def _principal(vectors: DataFrame, dim: int, dims: int) -> np.ndarray:
@@ -55,6 +55,7 @@ def _gap(a: np.ndarray, b: np.ndarray) -> float:
 def join_sequences(ya: np.ndarray, xa: np.ndarray, yb: np.ndarray, xb: np.ndarray, eps: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of a, row of b, distance) of all pairs within eps, by recursion over intervals of both sequences; with same, each pair once."""
     slack = (eps * (1 + 1e-6) + 1e-9) ** 2
+    na, nb = (xa**2).sum(1), (xb**2).sum(1)
     todo = [(0, len(ya), 0, len(yb))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -64,10 +65,13 @@ def join_sequences(ya: np.ndarray, xa: np.ndarray, yb: np.ndarray, xb: np.ndarra
         if _gap(np.stack([pa_.min(0), pa_.max(0)]), np.stack([pb_.min(0), pb_.max(0)])) > slack:
             continue
         if a1 - a0 <= LEAF and b1 - b0 <= LEAF:
-            d = np.sqrt(((xa[a0:a1, None, :] - xb[None, b0:b1, :]) ** 2).sum(2))
-            i, j = np.nonzero(d <= eps)
-            v = d[i, j]
+            # a matrix product rules nearly all out, with room for its rounding; what is left is computed exactly
+            room = slack + 1e-9 * float(na[a0:a1].max() + nb[b0:b1].max())
+            i, j = np.nonzero(na[a0:a1, None] + nb[None, b0:b1] - 2 * (xa[a0:a1] @ xb[b0:b1].T) <= room)
             i, j = i + a0, j + b0
+            v = np.sqrt(((xa[i] - xb[j]) ** 2).sum(1))
+            near = v <= eps
+            i, j, v = i[near], j[near], v[near]
             if same:
                 keep = i < j
                 i, j, v = i[keep], j[keep], v[keep]
