@@ -2,8 +2,8 @@
 
 A text is cut into windows of words, each window is compressed with either dictionary, and the difference of the
 lengths is the window's score; a document is toxic if its highest window reaches a threshold that was calibrated on
-labelled documents held out from training. Before compression each word is written as two 8-byte codes, of the whole
-word and of its first letters, so that a match in a dictionary is a word or a stem and never a chance fragment. The
+labelled documents held out from training. Before compression each word is written as 8-byte codes of the whole word
+and of its first letters, so that a match in a dictionary is a word or a stem and never a chance fragment. The
 training text keeps only codes whose share of documents differs between the classes, so that ordinary words weigh the
 same with either dictionary.
 """
@@ -25,16 +25,17 @@ from ravelin.runtime import prepare
 #: Labelled documents of either class that are used, at most: those of least hashed id. Two thirds train.
 MAX_PER_CLASS = 2000
 WINDOW_WORDS = 16
-STEM = 4
+#: Lengths of the stems that are coded beside each whole word.
+STEMS = (4, 6)
 DICT_BYTES = 4096
 #: A word is distinctive of a class if its share of documents there is this many times that in the other class.
-RATIO = 10.0
+RATIO = 20.0
 #: Least share of a class's documents that a distinctive word is in.
 SUPPORT = 0.02
 #: And the least number of its training documents.
-LEAST_DOCS = 3
+LEAST_DOCS = 5
 #: Held-out clean documents lost count this much against toxic ones caught.
-FALSE_ALARM_COST = 5.0
+FALSE_ALARM_COST = 10.0
 
 
 @dataclass(frozen=True)
@@ -67,29 +68,30 @@ def _train(samples: list[bytes]) -> tuple[bytes, bool]:
         return b"".join(dict.fromkeys(s[i : i + 8] for s in samples for i in range(0, len(s), 8)))[:DICT_BYTES], True
 
 
-def _shares(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _shares(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, the share of documents that each is in, and their number."""
     v, n = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True)
-    often = n >= min(LEAST_DOCS, n.max())
-    return v, np.where(often, n, 0) / len(docs)
+    return v, n / len(docs), n
 
 
-def _distinctive(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _distinctive(own: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> np.ndarray:
     """Sorted codes whose share is at least SUPPORT and RATIO times the other's; if none is, the 64 of largest ratio."""
     if not len(own[0]):
         return own[0]
     at = np.searchsorted(other[0], own[0]).clip(max=max(len(other[0]) - 1, 0))
     there = np.where(other[0][at] == own[0], other[1][at], 0.0) if len(other[0]) else np.zeros(len(own[0]))
     ratio = own[1] / np.maximum(there, 1e-9)
-    good = (own[1] >= SUPPORT) & (ratio >= RATIO)
+    often = (own[1] >= SUPPORT) & (own[2] >= LEAST_DOCS)
+    good = often & (ratio >= RATIO)
     if not good.any():
-        good = np.argsort(np.where(own[1] >= SUPPORT, -ratio, 0), kind="stable")[:64]
+        good = np.argsort(np.where(often, -ratio, 0), kind="stable")[:64]
     return np.sort(own[0][good])
 
 
 def _codes(texts: list[str]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, part in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["t"])]), "t", 500_000):
-        w, doc, _, _ = tokenize(part, STEM)
+        w, doc, _, _ = tokenize(part, STEMS)
         out += [c.ravel() for c in np.split(w, np.searchsorted(doc, np.arange(1, len(part))))]
     return out
 
@@ -102,7 +104,7 @@ def _keep(codes: np.ndarray, chosen: np.ndarray) -> bytes:
 
 def window_scores(codes: np.ndarray, toxic: zs.ZstdCompressor, ordinary: zs.ZstdCompressor) -> list[int]:
     """Ordinary less toxic compressed length of each window; one window of no words for an empty text."""
-    data, step = memoryview(codes.tobytes()), 16 * WINDOW_WORDS
+    data, step = memoryview(codes.tobytes()), 8 * (1 + len(STEMS)) * WINDOW_WORDS
     parts = [data[i : i + step] for i in range(0, len(data), step)]
     return [len(ordinary.compress(p)) - len(toxic.compress(p)) for p in parts] or [0]
 

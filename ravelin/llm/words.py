@@ -46,10 +46,10 @@ def lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def tokenize(texts: list[str], prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tokenize(texts: list[str], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, index of the text, start, end), in order; starts and ends are code points within the text.
 
-    With a prefix, hashes have a second column: that of the word's first `prefix` characters.
+    With prefixes, hashes have further columns: those of the word's first characters, as many as each prefix says.
     """
     lows = [lower(t) + "\n" for t in texts]
     lens = np.fromiter(map(len, lows), np.int64, len(lows))
@@ -57,7 +57,7 @@ def tokenize(texts: list[str], prefix: int = 0) -> tuple[np.ndarray, np.ndarray,
     n = int(base[-1])
     if not n:
         z = np.zeros(0, np.int64)
-        return np.zeros((0, 2) if prefix else 0, np.uint64), z, z, z
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), z, z, z
     cps = np.frombuffer("".join(lows).encode("utf-32-le", "surrogatepass"), "<u4")
     cls = _classes()[cps]
     prev = np.concatenate((np.zeros(1, np.uint8), cls[:-1]))
@@ -71,7 +71,7 @@ def tokenize(texts: list[str], prefix: int = 0) -> tuple[np.ndarray, np.ndarray,
     t *= up[:n]
     h = np.concatenate((np.zeros(1, np.uint64), np.cumsum(t)))
     hashed = lambda ends: mix((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    words = np.stack([hashed(ends), hashed(np.minimum(ends, starts + prefix))], 1) if prefix else hashed(ends)
+    words = np.stack([hashed(ends), *(hashed(np.minimum(ends, starts + p)) for p in prefixes)], 1) if prefixes else hashed(ends)
     doc = np.searchsorted(base, starts, "right") - 1
     return words, doc, starts - base[doc], ends - base[doc]
 
