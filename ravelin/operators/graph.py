@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ravelin.functions.hashing import unit_interval
 from ravelin.functions.vectors import l2_squared
 from ravelin.operators.knn import knn
-from ravelin.runtime import materialize
+from ravelin.runtime import discard, materialize
 
 ALPHA = 1.2
 
@@ -167,7 +167,7 @@ def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: int, ste
     seeds = measured(q.select("qid").crossJoin(F.broadcast(start_set(vectors, seed))))
     near = Window.partitionBy("qid").orderBy("dist", "id")
     state = seeds.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= width).select("qid", "id", "dist", F.lit(0).alias("step"), F.lit(False).alias("done"))
-    state = materialize(state, "search")
+    state = written = materialize(state, "search")
     unexplored = Window.partitionBy("qid", "done").orderBy("dist", "id")
     for step in range(1, steps + 1):
         marked = state.withColumn("_r", F.row_number().over(unexplored)).withColumn("_go", ~F.col("done") & (F.col("_r") <= width))
@@ -176,7 +176,9 @@ def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: int, ste
         new = measured(new.join(known, (F.col("qid") == F.col("_kq")) & (F.col("id") == F.col("_ki")), "left_anti"))
         state = marked.select("qid", "id", "dist", "step", (F.col("done") | F.col("_go")).alias("done")).unionByName(new.select("qid", "id", "dist", F.lit(step).alias("step"), F.lit(False).alias("done")))
         if step % 3 == 0 or step == steps:
-            state = materialize(state, "search")
+            written, state = written, materialize(state, "search")
+            discard(written)
+            written = state
     out = state.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist", "step")
     if pad:
         slots = q.select("qid").crossJoin(F.broadcast(queries.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("rank"))))

@@ -42,7 +42,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ravelin_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a materialized DataFrame that nothing reads any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._ravelin_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_enough(df: DataFrame, column_bytes: str, limit: int = BROADCAST_BYTES) -> bool:
