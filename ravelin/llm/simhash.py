@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.words import mix, slices, tokenize
-from ravelin.runtime import materialize, prepare
+from ravelin.runtime import discard, materialize, prepare
 
 SEGMENTS, BITS = 10, 23
 #: Largest Hamming distance, of 256 bits, between the verification bits of near-duplicates.
@@ -222,7 +222,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, F.col("u") == F.col("_u")).where("v > u").select(F.col("_m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         low = large.groupBy(F.col("b").alias("_u")).agg(F.min("a").alias("_m"))
         small = large.join(low, F.col("b") == F.col("_u"))
-        e = materialize(small.select(F.col("_m").alias("a"), F.col("b")).union(small.select(F.col("_m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct(), "edges")
+        last, e = e, materialize(small.select(F.col("_m").alias("a"), F.col("b")).union(small.select(F.col("_m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct(), "edges")
+        discard(last)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
