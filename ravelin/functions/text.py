@@ -19,8 +19,7 @@ def terms(text: Column, stop: bool = True, stem: bool = False) -> Column:
     letter tokens split them off and the length filter drops the rest."""
     t = F.transform(F.regexp_extract_all(F.regexp_replace(text, "[.,]+", " "), F.lit(r"(\p{L}+)")), lambda w: F.lower(w))
     if stop:
-        words = F.array(*map(F.lit, STOPWORDS))
-        t = F.filter(t, lambda w: ~F.array_contains(words, w))
+        t = F.filter(t, lambda w: ~w.isin(STOPWORDS))
     if stem:
         t = stem_all(t)
     return F.filter(t, lambda w: (F.length(w) >= MIN_LEN) & (F.length(w) <= MAX_LEN))

@@ -11,9 +11,9 @@ K1, B = 1.2, 0.75
 
 
 def exploded(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analyzer) -> DataFrame:
-    """(field, doc_id, term), a row for every token of every field; null and empty fields have none."""
+    """(field, doc_id, dl, term), a row for every token of every field, with the field's length; null and empty fields have none."""
     per = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f), **analyzer).alias("ts")) for f in fields))).alias("x")
-    return docs.select(F.col(id_col).alias("doc_id"), per).select("x.field", "doc_id", F.explode("x.ts").alias("term"))
+    return docs.select(F.col(id_col).alias("doc_id"), per).select("x.field", "doc_id", F.size("x.ts").alias("dl"), F.explode("x.ts").alias("term"))
 
 
 def postings(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analyzer) -> DataFrame:
@@ -43,12 +43,11 @@ def _weights(docs: DataFrame, fields: list[str], vocab: DataFrame | None, id_col
     tokens = exploded(docs, fields, id_col, **analyzer)
     if vocab is not None:
         tokens = tokens.join(vocab.select("term").distinct(), "term", "left_semi")
-    post = tokens.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"))
+    post = tokens.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     df = post.groupBy(F.col("field").alias("f1"), F.col("term").alias("t1")).agg(F.count("*").alias("df"))
     dl = _lengths(docs, fields, id_col, **analyzer)
     stat = dl.groupBy(F.col("field").alias("f2")).agg(F.avg("dl").alias("avgdl")).crossJoin(docs.agg(F.count("*").alias("n")))
     x = post.join(df, (F.col("field") == F.col("f1")) & (F.col("term") == F.col("t1"))).join(F.broadcast(stat), F.col("field") == F.col("f2"))
-    x = x.join(dl.select(F.col("field").alias("f3"), F.col("doc_id").alias("d3"), "dl"), (F.col("field") == F.col("f3")) & (F.col("doc_id") == F.col("d3")))
     w = weight(F.col("tf"), F.col("df"), F.col("dl"), F.col("avgdl"), F.col("n"))
     return x.select("term", "doc_id", w.alias("w")).groupBy("term", "doc_id").agg(F.sum("w").alias("score"))
 
