@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ravelin.functions.hashing import unit_interval
 from ravelin.functions.vectors import l2_squared
 from ravelin.operators.knn import knn
-from ravelin.runtime import discard, materialize
+from ravelin.runtime import discard, materialize, small_enough
 
 ALPHA = 1.2
+#: Bytes of vectors and neighbour lists up to which a search sends them whole to every task.
+WHOLE_BYTES = 64 << 20
 
 
 def candidates(vectors: DataFrame, m: int) -> DataFrame:
@@ -186,6 +188,92 @@ def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: int, ste
     return out
 
 
+def _search_whole(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: int, beam: int, seed: int | None) -> DataFrame:
+    """search_converged with vectors and graph as arrays in every task, query by query."""
+    pdf = vectors.select("id", "vec").toPandas().sort_values("id", ignore_index=True)
+    ids, x = pdf["id"].to_numpy(np.int64), np.array(pdf["vec"].tolist(), np.float32)
+    start = np.searchsorted(ids, np.sort([r.id for r in start_set(vectors, seed).collect()]))
+    edges = graph.where(F.exists("nbrs", lambda x: x != 0)).select(F.col("src"), F.explode("nbrs").alias("dst")).toPandas().sort_values(["src", "dst"])
+    edges = edges[edges["src"].isin(ids) & edges["dst"].isin(ids)]
+    first = np.searchsorted(edges["src"].to_numpy(), ids), np.searchsorted(edges["src"].to_numpy(), ids, "right")
+    sent = queries.sparkSession.sparkContext.broadcast((ids, x, start, *first, np.searchsorted(ids, edges["dst"].to_numpy()).astype(np.int32)))
+    width = beam
+
+    def one(q: np.ndarray) -> list[tuple[int, int, float, int]]:
+        ids, x, start, lo, hi, dst = sent.value
+        seen, step, beam, mark = np.zeros(len(ids), bool), 0, width, -1
+        fresh, at, dist, since, done = start, *(np.empty(0, t) for t in (np.int64, float, np.int64, bool))
+        while True:
+            seen[fresh] = True
+            at, since, done = np.append(at, fresh), np.append(since, np.full(len(fresh), step)), np.append(done, np.zeros(len(fresh), bool))
+            dist = np.append(dist, ((x[fresh].astype(float) - q) ** 2).sum(1).round(6))
+            order = np.lexsort((at, dist))
+            at, dist, since, done = at[order], dist[order], since[order], done[order]
+            if done[:beam].all():
+                if since[:k].max(initial=-1) <= mark:
+                    return [(r + 1, int(ids[at[r]]), float(dist[r]), int(since[r])) for r in range(min(k, len(at)))]
+                beam, mark = beam * 2, step
+            go = at[:beam][~done[:beam]]
+            done[:beam] = True
+            step += 1
+            found = np.unique(np.concatenate([dst[lo[i] : hi[i]] for i in go] or [dst[:0]]))
+            fresh = found[~seen[found]]
+
+    def run(batches):
+        for b in batches:
+            rows = [(qid, *r) for qid, q in zip(b["qid"], b["_q"]) for r in one(np.asarray(q, float))]
+            yield pd.DataFrame(rows, columns=["qid", "rank", "id", "dist", "step"])
+
+    q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("_q")).repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")
+    return q.mapInPandas(run, f"qid {dict(queries.dtypes)['id']}, rank int, id bigint, dist double, step int")
+
+
+def search_converged(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: int, beam: int | None = None, seed: int | None = None, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(qid, rank, id, dist, step) of the k nearest vertices, searched until they stay: rounds aren't bounded.
+
+    Every round explores all unexplored vertices among the `beam` (8 k unless given) nearest known ones of each query.
+    When a query has none left, its beam is doubled; it ends when that brought nothing new into its best k. So the effort
+    follows the table. An all-zero neighbour list is a failed fetch and gives none. step is the round in which a vertex
+    became known. Vectors and graph of at most whole_bytes go to every task, which searches query by query; beyond that
+    all queries share rounds of joins, each of which writes the state to the shared folder, of ended queries only their
+    answers. The results are the same.
+    """
+    if small_enough(vectors, "4L * size(vec) + 8", whole_bytes // 2) and small_enough(graph, "4L * size(nbrs) + 16", whole_bytes // 2):
+        return _search_whole(queries, vectors, graph, k, beam or 8 * k, seed)
+    q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("_q"))
+    v = vectors.select(F.col("id").alias("_id"), F.col("vec").alias("_x"))
+    g = graph.where(F.exists("nbrs", lambda x: x != 0)).select(F.col("src").alias("_src"), "nbrs")
+
+    def measured(found: DataFrame) -> DataFrame:
+        j = found.join(q, "qid").join(v, F.col("id") == F.col("_id"))
+        return j.select(*found.columns, F.round(l2_squared(F.col("_q"), F.col("_x")), 6).alias("dist"))
+
+    near = Window.partitionBy("qid").orderBy("dist", "id")
+    own = Window.partitionBy("qid")
+
+    def judged(known: DataFrame, step: int) -> DataFrame:
+        """_go marks what the next round explores, over of queries that have ended; mark is the round before the beam was last doubled."""
+        r = known.withColumn("_r", F.row_number().over(near))
+        r = r.withColumn("_moving", F.max(~F.col("done") & (F.col("_r") <= F.col("beam"))).over(own)).withColumn("_newest", F.max(F.when(F.col("_r") <= k, F.col("step"))).over(own))
+        r = r.withColumn("over", F.col("over") | (~F.col("_moving") & (F.col("_newest") <= F.col("mark"))))
+        r = r.withColumn("beam", F.when(F.col("_moving"), F.col("beam")).otherwise(F.col("beam") * 2)).withColumn("mark", F.when(F.col("_moving"), F.col("mark")).otherwise(F.lit(step)))
+        go = ~F.col("over") & ~F.col("done") & (F.col("_r") <= F.col("beam"))
+        return r.where(~F.col("over") | (F.col("_r") <= k)).withColumn("_go", go).drop("_r", "_moving", "_newest")
+
+    seeds = measured(q.select("qid").crossJoin(F.broadcast(start_set(vectors, seed))))
+    state = seeds.select("qid", "id", "dist", F.lit(0).alias("step"), F.lit(False).alias("done"), F.lit(beam or 8 * k).cast("bigint").alias("beam"), F.lit(-1).alias("mark"), F.lit(False).alias("over"))
+    state, step = materialize(judged(state, 0), "search"), 0
+    while not state.where(~F.col("over")).isEmpty():
+        step += 1
+        pairs = state.where("_go").join(g, F.col("id") == F.col("_src")).select("qid", F.explode("nbrs").alias("id"), "beam", "mark").distinct()
+        known = state.where(~F.col("over")).select(F.col("qid").alias("_kq"), F.col("id").alias("_ki"))
+        new = measured(pairs.join(known, (F.col("qid") == F.col("_kq")) & (F.col("id") == F.col("_ki")), "left_anti"))
+        new = new.select("qid", "id", "dist", F.lit(step).alias("step"), F.lit(False).alias("done"), "beam", "mark", F.lit(False).alias("over"))
+        written, state = state, materialize(judged(state.withColumn("done", F.col("done") | F.col("_go")).drop("_go").unionByName(new), step), "search")
+        discard(written)
+    return state.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist", "step")
+
+
 def quality(vectors: DataFrame, graph: DataFrame, steps: int = 15, width: int = 1) -> DataFrame:
     """(self_hit, avg_step): share of vertices that a search for their own vector finds first, and their mean round."""
     found = search(vectors, vectors, graph, 1, steps, width)

@@ -350,7 +350,7 @@ def graph_build(spark, d):
 @query()
 def graph_search(spark, d):
     v = _vectors(spark, d).select("id", "vec")
-    return graph.search(v, v, materialize(graph.build(v, M), "graph"), K, steps=8, width=8)
+    return graph.search_converged(v, v, materialize(graph.build(v, M), "graph"), K)
 
 
 # private lookups

@@ -171,3 +171,11 @@ def test_stream(spark, sf, tmp_path):
     s = answer_stream(spark.readStream.schema(q.schema).parquet(str(tmp_path / "in")), retrieval.Bins(docs, ["text"], 5, 0, 0, 997), 3, str(tmp_path / "out"), str(tmp_path / "cp"))
     s.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).select("qid").distinct().count() == 40
+
+
+def test_converged_search_paths_agree(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 60").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    g = graph.build(v, 4)
+    q = v.where("id < 6")
+    whole, rounds = (sorted(map(tuple, graph.search_converged(q, v, g, 3, 4, whole_bytes=b).collect())) for b in (graph.WHOLE_BYTES, 0))
+    assert whole == rounds and len(whole) == 18

@@ -25,3 +25,12 @@ def test_graph_search_recall(spark, sf):
     hit = found.merge(truth[["qid", "id"]], on=["qid", "id"])
     assert len(hit) / len(truth) >= 0.9
     assert found.groupby("qid").size().max() == 10
+
+
+def test_graph_search_recall_of_larger_table(spark):
+    """A fixed number of rounds lost it here: 0.795."""
+    sf = "/root/testdata/sf0.1"
+    found = QUERIES["graph_search"](spark, sf).toPandas()
+    truth = QUERIES["knn_l2"](spark, sf).toPandas()
+    recall = len(found.merge(truth[["qid", "id"]], on=["qid", "id"])) / len(truth)
+    assert recall >= 0.9, recall
