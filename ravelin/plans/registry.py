@@ -414,11 +414,11 @@ def plain_lookup(spark, d):
 
 @query()
 def pir_hint_parities(spark, d):
-    """Parities of 64 keyed hints over all rows."""
+    """Parities of all keyed hints of the scheme over all rows."""
     rows = _rows(spark, d)
     n = rows.count()
     p = pir.Params(n, 512)
-    hints = spark.range(64).select(F.col("id").alias("hint"), F.col("id").alias("tag"), F.unhex(F.lit("000102030405060708090a0b0c0d0e0f")).alias("key"))
+    hints = spark.range(p.hints).select(F.col("id").alias("hint"), F.col("id").alias("tag"), F.unhex(F.lit("000102030405060708090a0b0c0d0e0f")).alias("key"))
     return _exploded(pir.hint_parities(rows, hints, p.chunk, p.set_size, n), "hint")
 
 

@@ -34,3 +34,30 @@ def test_graph_search_recall_of_larger_table(spark):
     truth = QUERIES["knn_l2"](spark, sf).toPandas()
     recall = len(found.merge(truth[["qid", "id"]], on=["qid", "id"])) / len(truth)
     assert recall >= 0.9, recall
+
+
+def test_hint_parities_brute_force(spark, sf):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from ravelin.functions import hashing
+    from ravelin.operators import pir
+
+    rows = {r.vec_id: [round(float(x) * 1e6) for x in r.embedding[: 1 + r.vec_id % 64]] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    n = len(rows)
+    p = pir.Params(n, 512)
+    key = F.unhex(F.lit("000102030405060708090a0b0c0d0e0f"))
+    drawn = spark.range(p.hints).select("id", F.explode(F.sequence(F.lit(0), F.lit(p.set_size - 1))).alias("c")).select("id", "c", hashing.prf(key, F.col("id"), F.col("c")).alias("v")).collect()
+    want: dict = {}
+    longest: dict = {}
+    for r in drawn:
+        at = r.v % p.chunk + r.c * p.chunk
+        if at < n:
+            x = want.setdefault(r.id, np.zeros(64, np.int64))
+            x[: len(rows[at])] ^= rows[at]
+            longest[r.id] = max(longest.get(r.id, 0), len(rows[at]))
+    got: dict = {}
+    for r in QUERIES["pir_hint_parities"](spark, sf).collect():
+        got.setdefault(r.hint, {})[r.pos] = r.word
+    assert len(got) == p.hints == 1856
+    assert got == {h: dict(enumerate(x[: longest[h]].tolist())) for h, x in want.items()}
