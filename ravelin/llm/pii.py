@@ -33,8 +33,11 @@ _GROUP = re.compile(r"\d+")
 #: A short group with a digit right before: the number is the rest of something longer.
 _CONTINUED = re.compile(r"(?<!\w)\w{0,5}\d[ -]$", re.A)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)", re.A)
+#: Characters of a country's account numbers.
+_IBAN_LENGTHS = {k: n for n, ks in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+                                    25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}.items() for k in ks.split()}
 _USER = re.compile(r"[^\s/@:\"'<>]+(?::[^\s/@\"'<>]*)?@(?=[A-Za-z0-9.-])")
-_IDENT = re.compile(r"[\s:#=.]{0,4}(?:no|nr|number|id)?[\s:#=.]{0,4}([A-Z0-9][A-Z0-9-]{5,19})(?!\w)", re.A | re.I)
+_IDENT = re.compile(r"[\s:#=.]{0,4}(?:no|nr|number|id)?[\s:#=.]{0,4}([A-Z0-9][A-Z0-9-]{5,})(?!\w)", re.A | re.I)
 
 
 @lru_cache(maxsize=1)
@@ -63,10 +66,18 @@ def _iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_end(m: re.Match[str]) -> int | None:
+    """End of the whole groups of a match that validate, of the country's length if there are any, else the most: words behind an account number may look like groups of it."""
+    s = m.group()
+    ends = [len(s), *(i for i in range(len(s) - 1, 0, -1) if s[i] == " ")]
+    ends.sort(key=lambda e: e - s.count(" ", 0, e) != _IBAN_LENGTHS.get(s[:2]))
+    return next((m.start() + e for e in ends if _iban_ok(s[:e])), None)
+
+
 def email_at(text: str, at: int) -> tuple[int, int] | None:
     """Span of the address around an at-sign: the longest valid local part before it, the longest valid domain behind it."""
     s = at
-    while s > 0 and at - s < 64 and text[s - 1] in _LOCAL:
+    while s > 0 and text[s - 1] in _LOCAL:
         s -= 1
     while s < at and text[s] in ".!#$%&'*+/=?^`{|}~-":
         s += 1
@@ -87,8 +98,8 @@ def _digits_at(text: str, i: int) -> tuple[str, int, int] | None:
             return "ip", m.start(), m.end()
         if back == 0 and (m := _SSN.match(text, p)):
             return "ssn", m.start(), m.end()
-        if back and text[p] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" and (m := _IBAN.match(text, p)) and _iban_ok(m.group()):
-            return "iban", m.start(), m.end()
+        if back and text[p] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" and (m := _IBAN.match(text, p)) and (end := _iban_end(m)):
+            return "iban", m.start(), end
         if (back == 0 or text[p] in "+(") and (m := _PHONE.match(text, p)):
             n = sum(c.isdigit() for c in m.group())
             if 8 <= n <= 15 and ("(" in m.group() or "+" in m.group() or n == 10) and not (back == 0 and text[max(0, p - 1) : p] in ("+", "(")):
@@ -106,7 +117,7 @@ def _digits_at(text: str, i: int) -> tuple[str, int, int] | None:
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all personal data, in order and without overlaps; at equal starts the longest counts."""
     out = []
-    done = -1
+    done = bare = -1
     for end, (kind, n) in _automaton().iter(lower(text)):
         i = end - n + 1
         if kind == "#":
@@ -122,8 +133,11 @@ def find(text: str) -> list[tuple[str, int, int]]:
         elif kind == "s":
             if m := _USER.match(text, end + 1):
                 out.append(("url_user", m.start(), m.end() - 1))
-        elif (i == 0 or not text[i - 1].isalnum()) and (m := _IDENT.match(text, end + 1)) and sum(c.isdigit() for c in m.group(1)) >= 4:
-            out.append(("identifier", m.start(1), m.end(1)))
+        elif end + 10 >= bare and (i == 0 or not text[i - 1].isalnum()) and (m := _IDENT.match(text, end + 1)):
+            if sum(c.isdigit() for c in m.group(1)) >= 4:
+                out.append(("identifier", m.start(1), m.end(1)))
+            else:
+                bare = m.end()  # cues well within a run of too few digits have no more
     out.sort(key=lambda f: (f[1], -f[2], f[0] == "identifier"))
     kept: list[tuple[str, int, int]] = []
     for f in out:

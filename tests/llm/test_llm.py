@@ -136,6 +136,22 @@ def test_pii(spark, sf):
     assert pii.scan(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("DE89370400440532013000 BIC COBADEFFXXX", [("iban", "DE89370400440532013000")]),
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", [("iban", "DE89 3704 0044 0532 0130 00")]),
+        ("to DE89370400440532013000 2024", [("iban", "DE89370400440532013000")]),
+        ("NO9386011117947 AND MORE CAPITALS", [("iban", "NO9386011117947")]),
+        ("konto nr 1234567890123456789012345", [("identifier", "1234567890123456789012345")]),
+        ("account: xx-cardno 12345678", [("identifier", "12345678")]),
+        ("a" * 80 + "@b.com", [("email", "a" * 80 + "@b.com")]),
+    ],
+)
+def test_pii_whole_spans(text, want):
+    assert [(k, text[s:e]) for k, s, e in pii.find(text)] == want
+
+
 # 5
 
 
