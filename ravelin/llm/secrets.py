@@ -23,7 +23,13 @@ from ravelin.runtime import prepare
 THRESHOLD = 0.6
 _OPERATOR = re.compile(r"[=:]")
 _NAME = re.compile(r"[\"'`]?((?:[A-Za-z_$@][\w$-]*(?:\.|\[[\"'])?)*[A-Za-z_$][\w$-]*)[\"'`]?\]?\s*(?:\([^()\n]{0,40}\)\s*)?[:+?|]?$")
-_STRING = re.compile(r"[rbfuRBFU]{0,2}(\"\"\"|'''|\"|'|`)((?:\\.|(?!\1)[^\\\n])*)\1")
+#: Triple-quoted and backticked literals run over lines, other quotes only around a PEM block.
+_STRING = re.compile(r"[rbfuRBFU]{0,2}(?:(?P<q>\"\"\"|''')(?P<a>(?:\\[\s\S]|(?!(?P=q))[^\\])*)(?P=q)|(?P<p>[\"'])(?P<b>-----BEGIN [A-Z0-9 ]+-----[^\"'`]*?-----END [A-Z0-9 ]+-----\s*)(?P=p)|(?P<t>`)(?P<c>(?:\\[\s\S]|[^\\`])*)`|(?P<s>[\"'])(?P<d>(?:\\.|(?!(?P=s))[^\\\n])*)(?P=s))")
+_BLOCK = re.compile(r"[|>][0-9+-]{0,2}[ \t]*(?:#[^\n]*)?\n")
+_VARIABLE = re.compile(r"\$(?:\{([A-Za-z_]\w*)(?::?-[^}]*)?\}|\(([A-Za-z_]\w*)\)|([A-Za-z_]\w*))")
+_BARE_VARIABLE = re.compile(r"(?:\$\{[^}\s]*\}|\$\(\w+\)|[^\s\"'`,;#(){}\[\]<>])+")
+_PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_PROSE = re.compile(r"(?i)[.!?:]\s*$|\b(?:the|an?|your|you|please|is|are|was|be|to|of|for|in|on|with|and|or|not|must|this|that|it|enter|der|die|das|und|el|la|los|le|les|et|de)\b")
 _BARE = re.compile(r"[^\s\"'`,;#(){}\[\]<>]+")
 _IDENT = re.compile(r"[A-Za-z_$][\w$.]*")
 _JOIN = re.compile(r"\s*(?:\+|\.\.|\.(?=\s*[\"'$])|&|~)\s*|[ \t]+(?=[\"'])")
@@ -48,22 +54,52 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
-def literal_score(s: str) -> float:
-    """How much a literal looks like a secret: length and entropy by its alphabet; 0 for placeholders and prose."""
-    if len(s) < 6 or PLACEHOLDERS.match(s) or s.count(" ") > 2:
+def literal_score(s: str, sensitive: bool = False) -> float:
+    """How much a literal looks like a secret: length and entropy by its alphabet; 1 for a private key, 0 for placeholders and prose. Several words are prose unless they are given to a sensitive name and hold no function word."""
+    if _PRIVATE_KEY.search(s):
+        return 1.0
+    if len(s) < 6 or PLACEHOLDERS.match(s) or s.count(" ") > 2 and (not sensitive or "\n" in s or _PROSE.search(s)):
         return 0.0
     most = math.log2(min(len(s), 16 if re.fullmatch(r"[0-9a-fA-F-]+", s) else 64))
     mixed = (any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s) + any(not c.isalnum() for c in s)) / 4
     return min(1.0, 0.5 * min(1.0, entropy(s) / most) + 0.3 * min(1.0, len(s) / 20) + 0.4 * mixed)
 
 
+def _expand(s: str, known: dict[str, str]) -> tuple[str, bool]:
+    """s with $NAME, ${NAME} and $(NAME) of known names replaced, and whether there were any."""
+    if "$" not in s:
+        return s, False
+    find = lambda m: next((known[k] for n in m.groups() if n for k in (n, f"${n}") if k in known), m.group())
+    out = _VARIABLE.sub(find, s)
+    return out, out != s
+
+
+def _block(text: str, at: int, indent: int) -> tuple[str, int, int, bool] | None:
+    """A YAML block literal: the lines behind its mark that are indented more than its name."""
+    m = _BLOCK.match(text, at)
+    if not m:
+        return None
+    lines, pos = [], m.end()
+    while pos < len(text):
+        stop = text.find("\n", pos)
+        line = text[pos : stop if stop >= 0 else len(text)]
+        if line.strip() and len(line) - len(line.lstrip(" ")) <= indent:
+            break
+        lines.append(line.strip())
+        pos += len(line) + 1
+    return "\n".join(lines).strip(), at, min(pos, len(text)), False
+
+
 def _value(text: str, at: int, known: dict[str, str]) -> tuple[str, int, int, bool] | None:
     """(literal, start, end, propagated) of the expression at a position: strings and known names joined by concatenation, or one bare word."""
     parts, start, end, via = [], at, at, False
     pos = at
     while True:
         if m := _STRING.match(text, pos):
-            parts.append(m.group(2))
+            literal = next(x for x in m.group("a", "b", "c", "d") if x is not None)
+            literal, expanded = (literal, False) if "'" in (m["q"], m["p"], m["s"]) else _expand(literal, known)
+            parts.append(literal)
+            via |= expanded
         elif (m := _IDENT.match(text, pos)) and m.group() in known:
             parts.append(known[m.group()])
             via = True
@@ -76,6 +112,8 @@ def _value(text: str, at: int, known: dict[str, str]) -> tuple[str, int, int, bo
         pos = j.end()
     if parts:
         return "".join(parts), start, end, via
+    if (m := _BARE_VARIABLE.match(text, at)) and (found := _expand(m.group(), known))[1]:
+        return found[0], m.start(), m.end(), True
     if m := _BARE.match(text, at):
         return m.group().rstrip(".,:"), m.start(), m.start() + len(m.group().rstrip(".,:")), False
     return None
@@ -99,13 +137,18 @@ def assignments(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
         at = i + 1
         while at < len(text) and (text[at] in " \t" or at == i + 1 and text[at] in "=>"):
             at += 1
-        v = _value(text, at, known)
+        v = None
+        if text[i] == ":":
+            row = text[line:i]
+            v = _block(text, at, len(row) - len(row.lstrip(" ")))
+        v = v or _value(text, at, known)
         if v is None:
             continue
         quoted = text[v[1] : v[1] + 1] in "\"'`" or text[v[1] : v[1] + 1].isalpha() and text[v[1] + 1 : v[1] + 2] in ("\"", "'")
         target = re.split(r"[\[\"']+", name.group(1))[-1]
-        if quoted or v[3]:
-            known[target] = v[0]
+        known[target] = v[0]
+        # what runs over lines may hold assignments itself
+        if (quoted or v[3]) and "\n" not in text[v[1] : v[2]]:
             done = v[2]
         yield target, *v
 
@@ -114,7 +157,7 @@ def find(text: str, threshold: float = THRESHOLD) -> list[tuple[str, str, int, i
     out = []
     for name, literal, s, e, via in assignments(text):
         n = name_score(name)
-        if n and (score := n * literal_score(literal)) >= threshold * (0.8 if n >= 0.9 else 1.0):
+        if (n := max(n, float(bool(_PRIVATE_KEY.search(literal))))) and (score := n * literal_score(literal, n >= 0.9)) >= threshold * (0.8 if n >= 0.9 else 1.0):
             out.append((name, literal, s, e, via, round(score, 4)))
     return out
 
