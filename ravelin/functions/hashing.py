@@ -73,6 +73,14 @@ def to_grid(s: Column, width: int) -> Column:
     return F.concat(F.array(F.octet_length(s).cast("bigint")), words)
 
 
+def whole_grid(s: Column) -> Column:
+    """to_grid with each text's own width (grid_width of its bytes), so that nothing is cut off."""
+    width = F.ceil((F.ceil(F.octet_length(s) / 8) + 1) / 4).cast("int") * 4
+    raw = F.rpad(F.hex(F.encode(s, "UTF-8")), (width - 1) * 16, F.lit("0"))
+    words = F.transform(F.regexp_extract_all(raw, F.lit("[0-9A-F]{16}"), F.lit(0)), lambda h: F.conv(h, 16, -10).cast("bigint"))
+    return F.concat(F.array(F.octet_length(s).cast("bigint")), words)
+
+
 def from_grid(words: Column) -> Column:
     body = F.array_join(F.transform(F.slice(words, F.lit(2), F.size(words) - 1), lambda w: F.lpad(F.hex(w), 16, "0")), "")
     return F.decode(F.unhex(F.substr(body, F.lit(1), words[0].cast("int") * 2)), "UTF-8")

@@ -234,6 +234,17 @@ def string_grid(spark, d):
     return _docs(spark, d).select("doc_id", g[0].alias("word0"), g[1].alias("word1"))
 
 
+@query("""
+WITH h AS (SELECT doc_id, octet_length(encode(text)) AS n, CAST(ceil((ceil(octet_length(encode(text)) / 8) + 1) / 4) AS BIGINT) * 4 AS width, hex(encode(text)) AS raw FROM documents),
+w AS (SELECT doc_id, n, width, list_transform(regexp_extract_all(rpad(raw, CAST((width - 1) * 16 AS INTEGER), '0'), '[0-9A-F]{16}'), lambda x:
+  CAST(CAST(CAST('0x' || substr(x, 1, 15) AS BIGINT) AS HUGEINT) * 16 + CAST('0x' || substr(x, 16, 1) AS BIGINT) - CASE WHEN substr(x, 1, 1) >= '8' THEN 18446744073709551616 ELSE 0 END AS BIGINT)) AS ws FROM h)
+SELECT doc_id, CAST(width AS INTEGER) AS n_words, sha256(n || ',' || array_to_string(ws, ',')) AS digest FROM w""")
+def string_grid_whole(spark, d):
+    """Number of words and digest of all words of every whole text's grid."""
+    g = hashing.whole_grid(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.size(g).alias("n_words"), F.sha2(F.array_join(g, ","), 256).alias("digest"))
+
+
 # metrics
 
 

@@ -179,3 +179,9 @@ def test_converged_search_paths_agree(spark, sf):
     q = v.where("id < 6")
     whole, rounds = (sorted(map(tuple, graph.search_converged(q, v, g, 3, 4, whole_bytes=b).collect())) for b in (graph.WHOLE_BYTES, 0))
     assert whole == rounds and len(whole) == 18
+
+
+def test_whole_grid(spark):
+    for s in ("", "é", "x" * 23, "y" * 24, "z" * 25, "long text é " * 500):
+        r = one(spark, hashing.from_grid(hashing.whole_grid(F.lit(s))).alias("s"), F.size(hashing.whole_grid(F.lit(s))).alias("n"))
+        assert r.s == s and r.n == hashing.grid_width(len(s.encode()))
