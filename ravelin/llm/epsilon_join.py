@@ -1,29 +1,34 @@
 """Exact near-duplicate vectors by an epsilon grid order join.
 
-Vectors are rotated onto their leading principal dimensions, cut into grid cells of side epsilon and sorted by cell; the
-sorted sequence is stored in blocks with their bounding boxes. Blocks whose cells on the first dimension are neighbours
-meet in an equi-join, those whose boxes are provably farther apart than epsilon are skipped, and each remaining pair of
-blocks is joined recursively: intervals of the sequence are halved while their boxes are near, down to leaves whose
-full distances are computed.
+Vectors are rotated onto their leading principal dimensions, cut into grid cells of side epsilon and sorted by cell. The
+sorted sequence is stored in tiles, and tiles are gathered into intervals of FAN, those again, and so on. The join starts
+from the pairs of the largest intervals and goes down: a pair whose boxes are provably farther apart than epsilon is
+dropped, one whose vectors are provably all within epsilon counts as a whole, and every other one is replaced by the
+pairs of its parts. Only tiles that meet are brought together; within them the same two proofs apply to blocks, and what
+is left is computed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.runtime import materialize, prepare
+from ravelin.llm.simhash import components
+from ravelin.runtime import discard, materialize, prepare
 
 EPSILON = 0.35
-#: Leading principal dimensions of the grid.
-DIMS = 6
-BLOCK = 2048
-LEAF = 256
+#: Leading principal dimensions of the grid, and of the boxes.
+DIMS, BOX_DIMS = 8, 16
+#: Vectors of a tile and of a block of it; parts of an interval.
+TILE, LEAF, FAN = 4096, 256, 16
+#: Tiles that one task meets with another in a row.
+ROW = 8
 
 
 def _principal(vectors: DataFrame, dim: int, dims: int) -> np.ndarray:
@@ -46,52 +51,175 @@ def _principal(vectors: DataFrame, dim: int, dims: int) -> np.ndarray:
     return np.linalg.eigh(cov)[1][:, ::-1][:, :dims].T.copy()
 
 
-def _gap(a: np.ndarray, b: np.ndarray) -> float:
-    """Least squared distance between two boxes (2, dims) of lows and highs."""
-    d = np.maximum(0, np.maximum(a[0] - b[1], b[0] - a[1]))
-    return float(d @ d)
+def _bounds(eps: float) -> tuple[float, float]:
+    """Squared distance beyond which a pair is provably far, and distance up to which it is provably near."""
+    return (eps * (1 + 1e-6) + 1e-9) ** 2, eps * (1 - 1e-6) - 1e-9
 
 
-def join_sequences(ya: np.ndarray, xa: np.ndarray, yb: np.ndarray, xb: np.ndarray, eps: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of a, row of b, distance) of all pairs within eps, by recursion over intervals of both sequences; with same, each pair once."""
-    slack = (eps * (1 + 1e-6) + 1e-9) ** 2
-    na, nb = (xa**2).sum(1), (xb**2).sum(1)
-    todo = [(0, len(ya), 0, len(yb))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        if a0 >= a1 or b0 >= b1 or same and b1 <= a0:
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of the component of each of n nodes under edges a, b."""
+    lab = np.arange(n)
+    while len(a):
+        low = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        np.minimum.at(new, lab[a], low)
+        np.minimum.at(new, lab[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == lab).all():
+            break
+        lab = new
+        live = lab[a] != lab[b]
+        a, b = a[live], b[live]
+    return lab
+
+
+class Tile:
+    """A stretch of the sorted sequence with the box, centre and radius of each of its blocks."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, axes: np.ndarray, leaf: int):
+        self.ids, self.x, self.leaf = ids, x, leaf
+        self.at = np.arange(0, len(ids), leaf)
+        y = x @ axes.T
+        self.lo, self.hi = np.minimum.reduceat(y, self.at), np.maximum.reduceat(y, self.at)
+        self.n = np.diff(np.append(self.at, len(ids)))
+        self.centre = np.add.reduceat(x, self.at) / self.n[:, None]
+        self.radius = np.maximum.reduceat(np.sqrt(((x - np.repeat(self.centre, self.n, 0)) ** 2).sum(1)), self.at)
+        self.sq = (x**2).sum(1)
+
+
+def meet(a: Tile, b: Tile, eps: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, links, root) of every vector of a or b with a link between the two tiles: nodes and roots count a's rows and then b's; with
+    same, within the one tile, whose rows count once."""
+    far, near = _bounds(eps)
+    off = 0 if same else len(a.ids)
+    links = np.zeros(off + len(b.ids), np.int64)
+    ea, eb = [], []
+    gap = np.maximum(0, np.maximum(a.lo[:, None] - b.hi[None], b.lo[None] - a.hi[:, None]))
+    todo = (gap**2).sum(2) <= far
+    if same:
+        todo = np.triu(todo)
+    apart = np.sqrt(np.maximum(((a.centre[:, None] - b.centre[None]) ** 2).sum(2), 0))
+    reach = a.radius[:, None] + b.radius[None]
+    todo &= apart - reach <= math.sqrt(far)
+    for p, q in zip(*np.nonzero(todo)):
+        r0, r1, c0, c1 = a.at[p], a.at[p] + a.n[p], b.at[q], b.at[q] + b.n[q]
+        own = same and p == q
+        if apart[p, q] + reach[p, q] <= near or own and 2 * a.radius[p] <= near:
+            # every vector of the one block is near every one of the other
+            links[r0:r1] += b.n[q] - own
+            if not own:
+                links[off + c0 : off + c1] += a.n[p]
+            ea += [np.full(b.n[q], r0), np.arange(r0, r1)]
+            eb += [np.arange(off + c0, off + c1), np.full(a.n[p], off + c0)]
             continue
-        pa_, pb_ = ya[a0:a1], yb[b0:b1]
-        if _gap(np.stack([pa_.min(0), pa_.max(0)]), np.stack([pb_.min(0), pb_.max(0)])) > slack:
+        d = a.sq[r0:r1, None] + b.sq[None, c0:c1] - 2 * (a.x[r0:r1] @ b.x[c0:c1].T)
+        room = 1e-12 * (1 + float(a.sq[r0:r1].max() + b.sq[c0:c1].max()))
+        hit = d <= eps * eps + room
+        i, j = np.nonzero(hit & (d >= eps * eps - room))  # too close to call by a product: computed
+        if len(i):
+            hit[i, j] = np.sqrt(((a.x[r0 + i] - b.x[c0 + j]) ** 2).sum(1)) <= eps
+        if own:
+            np.fill_diagonal(hit, False)
+        n = hit.sum(1)
+        if not n.any():
             continue
-        if a1 - a0 <= LEAF and b1 - b0 <= LEAF:
-            # a matrix product rules nearly all out, with room for its rounding; what is left is computed exactly
-            room = slack + 1e-9 * float(na[a0:a1].max() + nb[b0:b1].max())
-            i, j = np.nonzero(na[a0:a1, None] + nb[None, b0:b1] - 2 * (xa[a0:a1] @ xb[b0:b1].T) <= room)
-            i, j = i + a0, j + b0
-            v = np.sqrt(((xa[i] - xb[j]) ** 2).sum(1))
-            near = v <= eps
-            i, j, v = i[near], j[near], v[near]
-            if same:
-                keep = i < j
-                i, j, v = i[keep], j[keep], v[keep]
-            yield i, j, v
+        links[r0:r1] += n
+        if not own:
+            links[off + c0 : off + c1] += hit.sum(0)
+        hub = int(n.argmax())
+        if n[hub] == b.n[q] - own:
+            # one vector is near all of the other block: it and the first partner of every other make the same components
+            i, j = np.flatnonzero(n), hit.argmax(1)[n > 0]
+            i, j = np.append(i, np.full(n[hub], hub)), np.append(j, np.flatnonzero(hit[hub]))
+        else:
+            i, j = np.nonzero(hit)
+        ea.append(r0 + i)
+        eb.append(off + c0 + j)
+    if not ea:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    root = _roots(len(links), np.concatenate(ea), np.concatenate(eb))
+    at = np.flatnonzero(links)
+    return at, links[at], root[at]
+
+
+def _pack(batches: Iterator[pa.RecordBatch], dim: int, axes: np.ndarray, tile: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """Tiles of a partition of the sorted sequence; those of a partition are numbered from 0."""
+    names = ["_p", "_k", "_n", "_rep", "_lo", "_hi", "_c", "_r", "_ids", "_x"]
+    ids, xs, k = [], [], 0
+    p = 0
+
+    def row(i: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        nonlocal k
+        f = x.astype(np.float64)
+        y, c = f @ axes.T, f.mean(0)
+        r = float(np.sqrt(((f - c) ** 2).sum(1)).max())
+        out = [[p], [k], [len(i)], [int(i.min())], [y.min(0)], [y.max(0)], [c], [r], [i.tobytes()], [x.tobytes()]]
+        k += 1
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.float64())] * 3, pa.float64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=names)
+
+    for b in batches:
+        if not b.num_rows:
             continue
-        am, bm = (a0 + a1) // 2 if a1 - a0 > LEAF else a1, (b0 + b1) // 2 if b1 - b0 > LEAF else b1
-        todo += [(a0, am, b0, bm), (a0, am, bm, b1), (am, a1, b0, bm), (am, a1, bm, b1)]
+        p = b.column("_p")[0].as_py()
+        ids.append(b.column("_id").to_numpy())
+        xs.append(b.column("_v").flatten().to_numpy().astype(kind).reshape(-1, dim))
+        while sum(map(len, ids)) >= tile:
+            i, x = np.concatenate(ids), np.concatenate(xs)
+            yield row(i[:tile], x[:tile])
+            ids, xs = [i[tile:]], [x[tile:]]
+    if ids and sum(map(len, ids)):
+        yield row(np.concatenate(ids), np.concatenate(xs))
+
+
+def _parents(children: DataFrame, fan: int) -> DataFrame:
+    """Intervals of `fan` of the intervals (_i, _n, _rep, _lo, _hi, _c, _r): at most `fan` rows meet in a group."""
+
+    def up(d: pd.DataFrame) -> pd.DataFrame:
+        n, c, r = d["_n"].to_numpy(), np.stack(d["_c"].to_numpy()), d["_r"].to_numpy()
+        mid = (c * n[:, None]).sum(0) / n.sum()
+        reach = float((np.sqrt(((c - mid) ** 2).sum(1)) + r).max() * (1 + 1e-12))
+        lo, hi = np.stack(d["_lo"].to_numpy()).min(0), np.stack(d["_hi"].to_numpy()).max(0)
+        return pd.DataFrame({"_i": [int(d["_i"].iloc[0]) // fan], "_n": [int(n.sum())], "_rep": [int(d["_rep"].min())], "_lo": [lo], "_hi": [hi], "_c": [mid], "_r": [reach]})
+
+    return children.withColumn("_up", F.floor(F.col("_i") / fan)).groupBy("_up").applyInPandas(lambda d: up(d), META)
+
+
+META = "_i bigint, _n bigint, _rep bigint, _lo array<double>, _hi array<double>, _c array<double>, _r double"
 
 
-def epsilon_pairs(vectors: DataFrame, eps: float = EPSILON, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None, dims: int = DIMS, block: int = BLOCK) -> DataFrame:
-    """(id_a, id_b, distance) of all pairs of different ids, id_a < id_b, within Euclidean distance eps; exact.
+def _squares(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, d: s + d * d)
+
+
+def _decide(pairs: DataFrame, meta: DataFrame, eps: float) -> DataFrame:
+    """Pairs (_a, _b) of intervals that aren't provably far, and whether they are provably near as a whole."""
+    side = lambda s: meta.select(*(F.col(c).alias(f"{s}{c}") for c in meta.columns))
+    j = pairs.join(side("a"), F.col("_a") == F.col("a_i")).join(side("b"), F.col("_b") == F.col("b_i"))
+    far, near = _bounds(eps)
+    gap = lambda lo, hi: F.zip_with(lo, hi, lambda x, y: F.greatest(F.lit(0.0), x - y))
+    box = _squares(gap(F.col("a_lo"), F.col("b_hi"))) + _squares(gap(F.col("b_lo"), F.col("a_hi")))
+    apart = F.sqrt(_squares(F.zip_with("a_c", "b_c", lambda x, y: x - y)))
+    reach = F.col("a_r") + F.col("b_r")
+    return j.where((box <= far) & (apart - reach <= math.sqrt(far))).select("_a", "_b", "a_n", "b_n", "a_rep", "b_rep", (apart + reach <= near).alias("_whole"))
+
+
+def epsilon_classes(vectors: DataFrame, eps: float = EPSILON, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None, dims: int = DIMS, tile: int = TILE, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+    """(vec_id, class_id, links) of every vector: links is the number of other ids within Euclidean distance eps, counted
+    exactly, and class_id the least id that a chain of such links leads to (its own without any).
 
     Only vectors of `dim` finite components take part (dim None: the most frequent length, the larger at a tie); null
-    ids, null or short vectors and those with a null, NaN or infinite component never pair. Rows that share an id don't
-    pair with each other, and a pair that repeated rows find again is given once, at its least distance. Distances are
-    rounded to 5 decimals after the comparison. Other columns are ignored.
+    ids, null or short vectors and those with a null, NaN or infinite component give no row. Rows that share an id count
+    as one, with the least of their vectors. Components of a float column are compared as doubles of the same value.
+    Other columns are ignored, whatever their names. Copies are never expanded into pairs: what is provably near as a
+    whole is counted as a whole, at any size.
     """
     spark = prepare(vectors.sparkSession)
-    schema = "id_a bigint, id_b bigint, distance double"
-    v = vectors.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).where("_id is not null and _v is not null")
+    schema = "vec_id bigint, class_id bigint, links bigint"
+    single = vectors.schema[vec_col].dataType.elementType.typeName() == "float"
+    v = vectors.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vec_col).cast(f"array<{'float' if single else 'double'}>").alias("_v")).where("_id is not null and _v is not null")
     v = v.where(~F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     if dim is None:
         top = v.groupBy(F.size("_v").alias("n")).count().where("n > 0").orderBy(F.desc("count"), F.desc("n")).first()
@@ -99,69 +227,104 @@ def epsilon_pairs(vectors: DataFrame, eps: float = EPSILON, id_col: str = "vec_i
             return spark.createDataFrame([], schema)
         dim = top["n"]
     v = v.where(F.size("_v") == dim)
-    axes = _principal(v, dim, min(dims, dim))
-    k = len(axes)
+    if not v.groupBy("_id").count().where("count > 1").isEmpty():
+        v = v.groupBy("_id").agg(F.min("_v").alias("_v"))
+    axes = _principal(v, dim, min(max(dims, BOX_DIMS), dim))
+    k = min(dims, dim)
     cells = [f"_c{i}" for i in range(k)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y = b.column("_v").flatten().to_numpy().reshape(-1, dim) @ axes.T
+            y = b.column("_v").flatten().to_numpy().astype(np.float64).reshape(-1, dim) @ axes[:k].T
             c = np.floor(y / eps).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_v"), *(pa.array(c[:, i]) for i in range(k))], names=["_id", "_v", *cells])
-
-    placed = v.mapInArrow(place, "_id bigint, _v array<double>, " + ", ".join(f"{c} bigint" for c in cells))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = placed.repartitionByRange(parts, *cells, "_id").sortWithinPartitions(*cells, "_id").withColumn("_p", F.spark_partition_id())
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-
-        def row(d: pd.DataFrame) -> pd.DataFrame:
-            nonlocal n
-            x = np.stack(d["_v"].to_numpy())
-            y = x @ axes.T
-            n += 1
-            return pd.DataFrame({"_b": [(int(d["_p"].iloc[0]) << 32) + n], "_lo": [y.min(0)], "_hi": [y.max(0)], "_ids": [d["_id"].to_numpy(np.int64).tobytes()], "_x": [x.tobytes()]})
-
-        for d in batches:
-            held.append(d)
-            if sum(map(len, held)) >= block:
-                whole = pd.concat(held)
-                for i in range(0, len(whole) - block + 1, block):
-                    yield row(whole.iloc[i : i + block])
-                held = [whole.iloc[len(whole) // block * block :]]
-        if held and sum(map(len, held)):
-            yield row(pd.concat(held))
-
-    stored = materialize(order.mapInPandas(blocks, "_b bigint, _lo array<double>, _hi array<double>, _ids binary, _x binary"), "blocks")
-    box = stored.select("_b", "_lo", "_hi").withColumn("_from", F.floor(F.col("_lo")[0] / eps)).withColumn("_to", F.floor(F.col("_hi")[0] / eps))
-    near = box.select("_b", "_lo", "_hi", F.explode(F.sequence(F.col("_from") - 1, F.col("_to") + 1)).alias("_cell"))
-    own = box.select(F.col("_b").alias("_b2"), F.col("_lo").alias("_lo2"), F.col("_hi").alias("_hi2"), F.explode(F.sequence("_from", "_to")).alias("_cell"))
-    gap = F.lit(0.0)
-    for i in range(k):
-        g = F.greatest(F.lit(0.0), F.col("_lo")[i] - F.col("_hi2")[i], F.col("_lo2")[i] - F.col("_hi")[i])
-        gap = gap + g * g
-    pairs = near.join(own, "_cell").where((F.col("_b") <= F.col("_b2")) & (gap <= (eps * (1 + 1e-6) + 1e-9) ** 2)).select("_b", "_b2").distinct()
-    a = stored.select(F.col("_b").alias("_ba"), F.col("_ids").alias("_ia"), F.col("_x").alias("_xa"))
-    b = stored.select(F.col("_b").alias("_bb"), F.col("_ids").alias("_ib"), F.col("_x").alias("_xb"))
-    work = pairs.join(a, F.col("_b") == F.col("_ba")).join(b, F.col("_b2") == F.col("_bb")).select("_b", "_b2", "_ia", "_xa", "_ib", "_xb")
-
-    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_v"), *(pa.array(c[:, i]) for i in range(k)), pa.array(y[:, 0])], names=["_id", "_v", *cells, "_y"])
+
+    kind = "float" if single else "double"
+    placed = v.mapInArrow(place, f"_id bigint, _v array<{kind}>, " + ", ".join(f"{c} bigint" for c in cells) + ", _y double")
+    # within a cell by the first dimension, so that a cell that holds many vectors is cut into close ones
+    order = placed.repartitionByRange(*cells, "_y", "_id").sortWithinPartitions(*cells, "_y", "_id").select("_id", "_v", F.spark_partition_id().alias("_p"))
+    wire = "<f4" if single else "<f8"
+    numbered = "_p int, _k bigint, " + META.split(", ", 1)[1] + ", _ids binary, _x binary"
+    stored = materialize(order.mapInArrow(lambda it: _pack(it, dim, axes, tile, wire), numbered), "tiles")
+    # a number for every tile along the whole sequence: the offsets are as many as the partitions of the sort
+    start, offsets = 0, []
+    for r in sorted(stored.groupBy("_p").count().collect()):
+        offsets.append((r[0], start))
+        start += r[1]
+    if not start:
+        return spark.createDataFrame([], schema)
+    number = F.broadcast(spark.createDataFrame(offsets, "_q int, _from bigint"))
+    tiles = stored.join(number, F.col("_p") == F.col("_q")).withColumn("_i", F.col("_from") + F.col("_k"))
+    levels, sizes = [materialize(tiles.select(*(x.split()[0] for x in META.split(", "))), "intervals")], [start]
+    while sizes[-1] > fan:
+        levels.append(materialize(_parents(levels[-1], fan), "intervals"))
+        sizes.append(-(-sizes[-1] // fan))
+
+    pairs = levels[-1].select(F.col("_i").alias("_a"), F.explode(F.sequence(F.col("_i"), F.lit(sizes[-1] - 1))).alias("_b"))
+    whole, adds, edges = None, [], []
+    for level in range(len(levels) - 1, -1, -1):
+        known = materialize(_decide(pairs, levels[level], eps), "met")
+        whole = known.where("_whole")
+        one = whole.select(F.col("_a").alias("_i"), (F.col("b_n") - F.expr("int(_a = _b)")).alias("_add"), F.col("b_rep").alias("_to"))
+        two = whole.where("_a <> _b").select(F.col("_b").alias("_i"), F.col("a_n").alias("_add"), F.col("a_rep").alias("_to"))
+        adds.append(one.union(two).groupBy("_i").agg(F.sum("_add").alias("_add"), F.min("_to").alias("_to")))
+        edges.append(whole.where("_a <> _b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
+        rest = known.where("not _whole").select("_a", "_b")
+        if level:
+            part = lambda c, f=fan, n=sizes[level - 1]: F.explode(F.sequence(F.col(c) * f, F.least(F.col(c) * f + f - 1, F.lit(n - 1))))
+            pairs = rest.select("_b", part("_a").alias("_x")).select(F.col("_x").alias("_a"), part("_b").alias("_y")).select("_a", F.col("_y").alias("_b")).where("_a <= _b")
+    work = rest.withColumn("_row", F.floor(F.col("_b") / ROW))
+    box = tiles.select(F.col("_i").alias("_t"), "_ids", "_x")
+    left = work.select("_a", "_row").distinct().join(box, F.col("_a") == F.col("_t")).select("_a", "_row", F.lit(-1).cast("bigint").alias("_b"), "_ids", "_x")
+    right = work.join(box, F.col("_b") == F.col("_t")).select("_a", "_row", "_b", "_ids", "_x")
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Tile | None = None
         for batch in batches:
-            for r in batch.to_pylist():
-                ia, ib = np.frombuffer(r["_ia"], np.int64), np.frombuffer(r["_ib"], np.int64)
-                xa, xb = np.frombuffer(r["_xa"]).reshape(-1, dim), np.frombuffer(r["_xb"]).reshape(-1, dim)
-                for i, j, d in join_sequences(xa @ axes.T, xa, xb @ axes.T, xb, eps, r["_b"] == r["_b2"]):
-                    p, q = np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j])
-                    keep = p < q
-                    yield pa.RecordBatch.from_arrays([pa.array(p[keep]), pa.array(q[keep]), pa.array(d[keep])], names=["id_a", "id_b", "distance"])
-
-    found = work.mapInArrow(pair_up, schema)
-    return found.groupBy("id_a", "id_b").agg(F.round(F.min("distance"), 5).alias("distance"))
-
-
-ORACLE_SQL = f"""
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-d AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, sqrt(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))) AS distance
-      FROM v a JOIN v b ON a.vec_id < b.vec_id)
-SELECT id_a, id_b, round(min(distance), 5) AS distance FROM d WHERE distance <= {EPSILON} GROUP BY id_a, id_b"""
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i] for c in batch.schema.names}
+                t = Tile(np.frombuffer(r["_ids"].as_buffer(), np.int64), np.frombuffer(r["_x"].as_buffer(), wire).astype(np.float64).reshape(-1, dim), axes, leaf)
+                at = r["_b"].as_py()
+                if at < 0:
+                    held = t
+                    continue
+                same = at == r["_a"].as_py()
+                ids = t.ids if same else np.concatenate((held.ids, t.ids))
+                node, n, root = meet(held, t, eps, same)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[node]), pa.array(n), pa.array(ids[root])], names=["id", "n", "to"])
+
+    met = left.union(right).repartition("_a", "_row").sortWithinPartitions("_a", "_row", "_b").mapInArrow(meetings, "id bigint, n bigint, to bigint")
+    found = materialize(met, "links")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, add, to in zip(b.column("_ids"), b.column("_add").to_pylist(), b.column("_to").to_pylist()):
+                i = np.frombuffer(ids.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.full(len(i), add)), pa.array(np.full(len(i), to))], names=["id", "n", "to"])
+
+    for level, add in enumerate(adds):
+        step = fan ** (len(levels) - 1 - level)
+        on = add.withColumnRenamed("_i", "_w")
+        found = found.union(tiles.select("_i", "_ids").join(on, F.floor(F.col("_i") / step) == F.col("_w")).select("_ids", "_add", "_to").mapInArrow(spread, "id bigint, n bigint, to bigint"))
+    for e in edges:
+        found = found.union(e.select("a", F.lit(0).cast("bigint"), "b"))
+    every = tiles.select("_ids", F.lit(0).cast("bigint").alias("_add"), F.lit(None).cast("bigint").alias("_to")).mapInArrow(
+        lambda it: (pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.zeros(len(i), np.int64))], names=["id", "n"]) for b in it for i in (np.frombuffer(x.as_buffer(), np.int64) for x in b.column("_ids"))),
+        "id bigint, n bigint",
+    )
+    roots = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
+    total = every.union(found.select("id", "n")).groupBy(F.col("id").alias("vec_id")).agg(F.sum("n").alias("links"))
+    return total.join(roots, F.col("vec_id") == F.col("id"), "left").select("vec_id", F.coalesce("root", "vec_id").alias("class_id"), "links")
+
+
+def oracle_sql(table: str = "embeddings") -> str:
+    """SQL of epsilon_classes over a table or subquery (vec_id, embedding) of distinct ids."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM {table} WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE sqrt(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))) <= {EPSILON}),
+r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT r.x AS vec_id, min(r.y) AS class_id, coalesce(any_value(n.n), 0) AS links FROM r LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) n ON n.x = r.x GROUP BY r.x"""
+
+
+ORACLE_SQL = oracle_sql()

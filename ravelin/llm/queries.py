@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ravelin.llm import decontaminate, epsilon_join, licenses, pii, secrets, sentencepiece_scan, simhash, toxicity, url_filter, warc
 from ravelin.runtime import table
 
+#: Multipliers of the vector's id and of the component in the shift of each copy.
+COPIES = [(31, 17), (7, 29)]
+
 
 def op1_warc_derivatives(spark, sf_dir):
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
@@ -15,7 +20,17 @@ def op2_secret_scan(spark, sf_dir):
 
 
 def op3_epsilon_join(spark, sf_dir):
-    return epsilon_join.epsilon_pairs(table(spark, sf_dir, "embeddings"))
+    return epsilon_join.epsilon_classes(table(spark, sf_dir, "embeddings"))
+
+
+def epsilon_classes_of_copies(spark, sf_dir):
+    """op3 over all embeddings and two shifted copies of each, so that there are links at every scale."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    both = e
+    for c, (a, b) in enumerate(COPIES):
+        shifted = F.expr(f"transform(embedding, (x, i) -> x + cast((vec_id * {a} + (i + 1) * {b}) % 101 - 50 as double) / cast(1000 as double))")
+        both = both.union(e.select((F.col("vec_id") + (c + 1) * 10_000_000_000).alias("vec_id"), shifted.alias("embedding")))
+    return epsilon_join.epsilon_classes(both)
 
 
 def op4_pii(spark, sf_dir):
@@ -46,7 +61,7 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.default_rules(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_secret_scan, op3_epsilon_join, op4_pii, op5_toxicity, op6_sentencepiece, op7_simhash_near_dedup, op8_license_scan, op9_benchmark_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_secret_scan, op3_epsilon_join, op4_pii, op5_toxicity, op6_sentencepiece, op7_simhash_near_dedup, op8_license_scan, op9_benchmark_decontamination, op10_url_filter, epsilon_classes_of_copies)}
 
 
 def _lit(s: str) -> str:
@@ -118,4 +133,12 @@ m AS (SELECT e.url, action, rule_id, pattern, row_number() OVER (PARTITION BY e.
 SELECT u.url, coalesce(m.action, 'none') AS decision, CAST(m.rule_id AS BIGINT) AS rule_id, m.pattern FROM u LEFT JOIN m ON m.url = u.url AND m.rn = 1"""
 
 
-ORACLE_SQL = {"op1_warc_derivatives": _warc_sql(), "op3_epsilon_join": epsilon_join.ORACLE_SQL, "op9_benchmark_decontamination": decontaminate.ORACLE_SQL, "op10_url_filter": _url_sql()}
+def _copies_sql() -> str:
+    copies = [
+        f"SELECT vec_id + {(c + 1) * 10_000_000_000} AS vec_id, list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) + CAST((vec_id * {a} + i * {b}) % 101 - 50 AS DOUBLE) / CAST(1000 AS DOUBLE)) AS embedding FROM embeddings"
+        for c, (a, b) in enumerate(COPIES)
+    ]
+    return epsilon_join.oracle_sql(f"({' UNION ALL '.join(['SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings', *copies])})")
+
+
+ORACLE_SQL = {"epsilon_classes_of_copies": _copies_sql(), "op1_warc_derivatives": _warc_sql(), "op3_epsilon_join": epsilon_join.ORACLE_SQL, "op9_benchmark_decontamination": decontaminate.ORACLE_SQL, "op10_url_filter": _url_sql()}

@@ -211,6 +211,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round ends in a written table, and rounds go on until no edge changes.
     """
     e = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if e.isEmpty():
+        return e.select(F.col("b").alias("id"), F.col("a").alias("root"))
     seen = None
     while True:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -31,7 +31,7 @@ def test_matches_sql(spark, sf, same_as_sql, name):
 
 
 def test_all_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in queries.QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
 
 
 def test_tokenize():
@@ -117,19 +117,51 @@ def test_secret_scan(spark):
 # 3
 
 
-def test_epsilon_join(spark):
+def classes_by_brute_force(ids, x, eps):
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= eps
+    root = list(range(len(ids)))
+    for i, j in zip(*np.nonzero(near)):
+        a, b = find_root(root, i), find_root(root, j)
+        root[max(a, b)] = min(a, b)
+    least = {}
+    for i in range(len(ids)):
+        r = find_root(root, i)
+        least[r] = min(least.get(r, ids[i]), ids[i])
+    return {ids[i]: (least[find_root(root, i)], int(near[i].sum()) - 1) for i in range(len(ids))}
+
+
+def find_root(root, i):
+    while root[i] != i:
+        i = root[i]
+    return i
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_epsilon_join(spark, kind):
+    """Links and classes against all pairs: scattered vectors, near copies, a dense group and exact copies, at every depth of intervals."""
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 12))
-    x = np.vstack([x, x[:60] + rng.normal(size=(60, 12)) * 0.05, x[:5], x[:5]])
-    rows = [(i, v.tolist(), 0, "c") for i, v in enumerate(x)]
-    rows += [(None, x[0].tolist(), 0, "c"), (900, None, 0, "c"), (901, [1.0], 0, "c"), (902, [float("nan")] * 12, 0, "c"), (903, [None] * 12, 0, "c"), (3, x[3].tolist(), 0, "c")]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, _id int, id_a string")
-    for eps in (0.4, 2.5):
-        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-        want = {(i, j): round(d[i, j], 5) for i, j in itertools.combinations(range(len(x)), 2) if d[i, j] <= eps}
-        got = {(r.id_a, r.id_b): r.distance for r in epsilon_join.epsilon_pairs(df, eps, block=64).collect()}
-        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in got)
-    assert epsilon_join.epsilon_pairs(df.limit(0)).count() == 0
+    x = np.vstack([x, x[:60] + rng.normal(size=(60, 12)) * 0.05, x[:5], x[:5], x[7] + rng.normal(size=(300, 12)) * 0.01, np.repeat(x[9:10], 80, 0)])
+    x = x.astype(np.float32).astype(np.float64)
+    ids = rng.permutation(len(x)).tolist()
+    rows = [(i, v.tolist(), 0, "c") for i, v in zip(ids, x)]
+    rows += [(None, x[0].tolist(), 0, "c"), (9000, None, 0, "c"), (9001, [1.0], 0, "c"), (9002, [float("nan")] * 12, 0, "c"), (9003, [None] * 12, 0, "c"), (ids[3], x[3].tolist(), 0, "c")]
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>, _id int, id_a string")
+    cases = [(0.4, 16, 3), (2.5, 64, 16)] if kind == "float" else [(0.4, 64, 2), (0.0, 4096, 16), (100.0, 32, 2)]
+    for eps, tile, fan in cases:
+        want = classes_by_brute_force(ids, x, eps)
+        got = {r.vec_id: (r.class_id, r.links) for r in epsilon_join.epsilon_classes(df, eps, tile=tile, leaf=16, fan=fan).collect()}
+        assert got == want, (eps, tile, fan)
+    assert epsilon_join.epsilon_classes(df.limit(0)).count() == 0
+
+
+def test_epsilon_dense_group_is_not_expanded(spark):
+    """A third of all rows within epsilon of each other: counted by whole intervals, no block of it meets another."""
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(size=(4000, 8)), rng.normal(size=8) * 5 + rng.normal(size=(2000, 8)) * 0.001])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = epsilon_join.epsilon_classes(df, 0.2, tile=64, leaf=16, fan=4).where("vec_id >= 4000").groupBy("class_id", "links").count().collect()
+    assert [tuple(r) for r in got] == [(4000, 1999, 2000)]
 
 
 # 4
