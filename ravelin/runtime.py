@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -26,11 +27,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_written: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session in one JVM (tests) gets one of our own where it is unset."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="ravelin-")
         spark.conf.set("spark.checkpoint.dir", folder)
         sc.setCheckpointDir(folder)
@@ -44,13 +50,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ravelin_path = path
+    _written.add(path)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a materialized DataFrame that nothing reads any more."""
-    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._ravelin_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard(path)
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Delete the tables behind materialized DataFrames that nothing reads any more."""
+    for df in dfs:
+        _delete(df.sparkSession, df._ravelin_path)
+
+
+@atexit.register
+def _clean() -> None:
+    """Tables that results read lazily live until the driver ends."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in list(_written):
+            _delete(spark, path)
+
+
+def fresh(name: str, *dfs: DataFrame) -> str:
+    """A column name that none of the DataFrames has, in any case."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_enough(df: DataFrame, column_bytes: str, limit: int = BROADCAST_BYTES) -> bool:
