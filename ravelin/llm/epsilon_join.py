@@ -25,10 +25,10 @@ from ravelin.runtime import discard, materialize, prepare
 EPSILON = 0.35
 #: Leading principal dimensions of the grid, and of the boxes.
 DIMS, BOX_DIMS = 8, 16
-#: Vectors of a tile and of a block of it; parts of an interval.
-TILE, LEAF, FAN = 4096, 256, 16
+#: Bytes of the vectors of a tile, vectors of a block of it, parts of an interval.
+TILE_BYTES, LEAF, FAN = 4 << 20, 256, 16
 #: Tiles that one task meets with another in a row.
-ROW = 8
+ROW = 2
 
 
 def _principal(vectors: DataFrame, dim: int, dims: int) -> np.ndarray:
@@ -206,7 +206,7 @@ def _decide(pairs: DataFrame, meta: DataFrame, eps: float) -> DataFrame:
     return j.where((box <= far) & (apart - reach <= math.sqrt(far))).select("_a", "_b", "a_n", "b_n", "a_rep", "b_rep", (apart + reach <= near).alias("_whole"))
 
 
-def epsilon_classes(vectors: DataFrame, eps: float = EPSILON, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None, dims: int = DIMS, tile: int = TILE, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+def epsilon_classes(vectors: DataFrame, eps: float = EPSILON, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None, dims: int = DIMS, tile: int | None = None, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """(vec_id, class_id, links) of every vector: links is the number of other ids within Euclidean distance eps, counted
     exactly, and class_id the least id that a chain of such links leads to (its own without any).
 
@@ -229,6 +229,7 @@ def epsilon_classes(vectors: DataFrame, eps: float = EPSILON, id_col: str = "vec
     v = v.where(F.size("_v") == dim)
     if not v.groupBy("_id").count().where("count > 1").isEmpty():
         v = v.groupBy("_id").agg(F.min("_v").alias("_v"))
+    tile = tile or max(leaf, TILE_BYTES // (dim * (4 if single else 8)))
     axes = _principal(v, dim, min(max(dims, BOX_DIMS), dim))
     k = min(dims, dim)
     cells = [f"_c{i}" for i in range(k)]
@@ -275,8 +276,10 @@ def epsilon_classes(vectors: DataFrame, eps: float = EPSILON, id_col: str = "vec
             pairs = rest.select("_b", part("_a").alias("_x")).select(F.col("_x").alias("_a"), part("_b").alias("_y")).select("_a", F.col("_y").alias("_b")).where("_a <= _b")
     work = rest.withColumn("_row", F.floor(F.col("_b") / ROW))
     box = tiles.select(F.col("_i").alias("_t"), "_ids", "_x")
-    left = work.select("_a", "_row").distinct().join(box, F.col("_a") == F.col("_t")).select("_a", "_row", F.lit(-1).cast("bigint").alias("_b"), "_ids", "_x")
-    right = work.join(box, F.col("_b") == F.col("_t")).select("_a", "_row", "_b", "_ids", "_x")
+    # the first tile of each row goes there once, and says whether it also meets itself
+    left = work.groupBy("_a", "_row").agg(F.max(F.col("_a") == F.col("_b")).alias("_self")).join(box, F.col("_a") == F.col("_t"))
+    left = left.select("_a", "_row", F.lit(-1).cast("bigint").alias("_b"), "_self", "_ids", "_x")
+    right = work.where("_a <> _b").join(box, F.col("_b") == F.col("_t")).select("_a", "_row", "_b", F.lit(False), "_ids", "_x")
 
     def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Tile | None = None
@@ -284,11 +287,11 @@ def epsilon_classes(vectors: DataFrame, eps: float = EPSILON, id_col: str = "vec
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i] for c in batch.schema.names}
                 t = Tile(np.frombuffer(r["_ids"].as_buffer(), np.int64), np.frombuffer(r["_x"].as_buffer(), wire).astype(np.float64).reshape(-1, dim), axes, leaf)
-                at = r["_b"].as_py()
-                if at < 0:
+                same = r["_b"].as_py() < 0
+                if same:
                     held = t
-                    continue
-                same = at == r["_a"].as_py()
+                    if not r["_self"].as_py():
+                        continue
                 ids = t.ids if same else np.concatenate((held.ids, t.ids))
                 node, n, root = meet(held, t, eps, same)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[node]), pa.array(n), pa.array(ids[root])], names=["id", "n", "to"])
