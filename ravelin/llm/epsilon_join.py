@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.simhash import components
-from ravelin.runtime import discard, materialize, prepare
+from ravelin.llm.simhash import components, roots_of
+from ravelin.runtime import materialize, prepare
 
 EPSILON = 0.35
 #: Leading principal dimensions of the grid, and of the boxes.
@@ -56,24 +56,6 @@ def _bounds(eps: float) -> tuple[float, float]:
     return (eps * (1 + 1e-6) + 1e-9) ** 2, eps * (1 - 1e-6) - 1e-9
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of the component of each of n nodes under edges a, b."""
-    lab = np.arange(n)
-    while len(a):
-        low = np.minimum(lab[a], lab[b])
-        new = lab.copy()
-        np.minimum.at(new, lab[a], low)
-        np.minimum.at(new, lab[b], low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == lab).all():
-            break
-        lab = new
-        live = lab[a] != lab[b]
-        a, b = a[live], b[live]
-    return lab
-
-
 class Tile:
     """A stretch of the sorted sequence with the box, centre and radius of each of its blocks."""
 
@@ -139,7 +121,7 @@ def meet(a: Tile, b: Tile, eps: float, same: bool) -> tuple[np.ndarray, np.ndarr
     if not ea:
         z = np.zeros(0, np.int64)
         return z, z, z
-    root = _roots(len(links), np.concatenate(ea), np.concatenate(eb))
+    root = roots_of(len(links), np.concatenate(ea), np.concatenate(eb))
     at = np.flatnonzero(links)
     return at, links[at], root[at]
 

@@ -6,7 +6,8 @@ one or six. Decoding a segment to all of these gives one or six 12-bit codeword
 in one bit always share one. Segments are taken in pairs: if a pair has at most one error, by the pigeonhole principle
 one half has none, so a key of (codeword index of one half, exact bits of the other) in both orders finds it. With five
 pairs, at most nine errors in all 230 key bits always leave such a pair. Keys meet in an equi-join, and
-the 256 bits verify. Key bits weigh word pairs by a heavy-tailed hash, separately for each segment, so that an edit
+the 256 bits verify. A key that many fingerprints share is spread over range partitions and cut into blocks; blocks of
+copies are linked by their hubs alone, others meet pair by pair in tasks of their own. Key bits weigh word pairs by a heavy-tailed hash, separately for each segment, so that an edit
 tends to leave some segments whole rather than to damage all a little; verification bits weigh distinct words alike.
 """
 
@@ -17,17 +18,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.words import mix, slices, tokenize
-from ravelin.runtime import discard, materialize, prepare
+from ravelin.runtime import discard, fresh, materialize, prepare
 
 SEGMENTS, BITS = 10, 23
 #: Largest Hamming distance, of 256 bits, between the verification bits of near-duplicates.
 MAX_DISTANCE = 46
 SIG = ["s0", "s1", "s2", "s3"]
 SEG = ["k0", "k1", "k2", "k3", "k4"]
+#: Fingerprints of one key that are compared in one piece; more are cut into such blocks, with the same result.
+BLOCK = 8192
 _GENERATOR = 0b101011100011
 
 
@@ -146,63 +150,184 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(b.column(c).to_numpy()[row]) for c in ["_id", *SIG])], names=["_key", "_id", *SIG])
 
 
-def links(ids: np.ndarray, sig: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Edges that connect the members of one bucket exactly as all pairs within the limit would.
-
-    Members gather around hubs; two clusters are then linked if any two of their members are near.
-    """
-    out, clusters, rest = [], [], np.arange(len(ids))
-    while len(rest):
-        near = np.bitwise_count(sig[rest] ^ sig[rest[0]]).sum(1) <= limit
-        near[0] = True
-        own = rest[near]
-        out += [(ids[own[0]], i) for i in ids[own[1:]]]
-        clusters.append(own)
-        rest = rest[~near]
-    if len(clusters) > 1:
-        label = np.repeat(np.arange(len(clusters)), [len(c) for c in clusters])
-        order = np.concatenate(clusters)
-        done = 0
-        for j, own in enumerate(clusters):
-            before = order[:done]
-            for x in own if done else ():
-                near = np.flatnonzero(np.bitwise_count(sig[before] ^ sig[x]).sum(1) <= limit)
-                _, first = np.unique(label[near], return_index=True)
-                out += [(ids[before[near[f]]], ids[x]) for f in first]
-            done += len(own)
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(len(a), len(b)) Hamming distances of verification bits."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
     return out
 
 
-def _edge_rows(batches: Iterator[pa.RecordBatch], limit: int = MAX_DISTANCE) -> Iterator[pa.RecordBatch]:
-    """Verified edges of the buckets of a partition sorted by key; a bucket may span batches."""
+def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of the component of each of n nodes under edges a, b."""
+    lab = np.arange(n)
+    while len(a):
+        low = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        np.minimum.at(new, lab[a], low)
+        np.minimum.at(new, lab[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        lab = new
+        live = lab[a] != lab[b]
+        a, b = a[live], b[live]
+    return lab
+
 
-    def edges(key: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+def roots(sig: np.ndarray, limit: int) -> np.ndarray:
+    """Least member of each member's component, under edges between all pairs within the limit.
+
+    As long as hubs gather a good part of what is left, their clusters are taken away whole: a later member can only be near those of
+    a cluster that are as far from its hub as it is itself, less the limit. What is left is compared pair by pair.
+    """
+    n = len(sig)
+    ea, eb = [], []
+    rest, misses = np.arange(n), 0
+    while len(rest) > 64 and misses < 16:
+        hub = rest[0]
+        d = _distance(sig[hub : hub + 1], sig[rest])[0]
+        near = d <= limit
+        own, own_d = rest[near], d[near].astype(np.int64)
+        ea.append(np.full(len(own), hub))
+        eb.append(own)
+        if len(own) * 16 < len(rest):
+            rest, misses = rest[1:], misses + 1
+            continue
+        order = np.argsort(-own_d, kind="stable")
+        own, own_d = own[order], own_d[order]
+        rest, rest_d = rest[~near], d[~near].astype(np.int64)
+        by = np.argsort(rest_d, kind="stable")
+        for i in range(0, len(by), 256):
+            y = by[i : i + 256]
+            x = own[: np.searchsorted(-own_d, limit - rest_d[y[0]], "right")]
+            for j in range(0, len(x), 4096):
+                hit = _distance(sig[rest[y]], sig[x[j : j + 4096]]) <= limit
+                some = np.flatnonzero(hit.any(1))
+                ea.append(rest[y[some]])
+                eb.append(x[j + hit[some].argmax(1)])
+    for i in range(0, len(rest), 256):
+        for j in range(i, len(rest), 4096):
+            p, q = np.nonzero(_distance(sig[rest[i : i + 256]], sig[rest[j : j + 4096]]) <= limit)
+            ea.append(rest[i + p])
+            eb.append(rest[j + q])
+    return roots_of(n, np.concatenate(ea), np.concatenate(eb)) if ea else np.arange(n)
+
+
+def links(ids: np.ndarray, sig: np.ndarray, limit: int) -> np.ndarray:
+    """(edges, 2) that connect the members of one bucket exactly as all pairs within the limit would."""
+    if len(ids) <= 64:
+        a, b = np.nonzero(np.triu(_distance(sig, sig) <= limit, 1))
+    else:
+        r = roots(sig, limit)
+        a = np.flatnonzero(r != np.arange(len(r)))
+        b = r[a]
+    return np.stack([ids[a], ids[b]], 1)
+
+
+def cross(ida: np.ndarray, siga: np.ndarray, idb: np.ndarray, sigb: np.ndarray, limit: int) -> np.ndarray:
+    """Edges that connect members of one block with those of another exactly as all pairs within the limit would."""
+    ea, eb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(ida), 256):
+        for j in range(0, len(idb), 4096):
+            hit = _distance(siga[i : i + 256], sigb[j : j + 4096]) <= limit
+            full = np.flatnonzero(hit.all(1))
+            if len(full):  # one that is near the whole other side, and a partner of every other
+                p = np.flatnonzero(hit.any(1))
+                p, q = np.append(p, np.full(hit.shape[1], full[0])), np.append(hit[p].argmax(1), np.arange(hit.shape[1]))
+            else:
+                p, q = np.nonzero(hit)
+            ea.append(i + p)
+            eb.append(len(ida) + j + q)
+    ids = np.concatenate((ida, idb))
+    r = roots_of(len(ids), np.concatenate(ea), np.concatenate(eb))
+    a = np.flatnonzero(r != np.arange(len(r)))
+    return np.stack([ids[a], ids[r[a]]], 1)
+
+
+#: Edges have a and b; the blocks of keys that go on elsewhere have the rest.
+MET = "a bigint, b bigint, _key bigint, _no bigint, _one boolean, _hub bigint, h0 bigint, h1 bigint, h2 bigint, h3 bigint, _ids binary, _sig binary"
+
+
+def _bucket_rows(batches: Iterator[pa.RecordBatch], limit: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Verified edges of the buckets of a partition sorted by key. The first and the last key of the partition may go on in
+    another one, and a key of more than `block` rows is cut: the blocks of such keys are given too."""
+    names = [x.split()[0] for x in MET.split(", ")]
+    types = [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 5 + [pa.binary()] * 2
+
+    def table(e: np.ndarray, blocks: list[list]) -> pa.RecordBatch:
+        n, m = len(e), len(blocks)
+        cols = [np.append(e[:, 0], np.zeros(m, np.int64)), np.append(e[:, 1], np.zeros(m, np.int64))]
+        out = [pa.array(c, pa.int64(), mask=np.arange(n + m) >= n) for c in cols]
+        return pa.RecordBatch.from_arrays(out + [pa.array([None] * n + [b[i] for b in blocks], t) for i, t in enumerate(types[2:])], names=names)
+
+    def edges(key: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> np.ndarray:
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
         two = starts[sizes == 2]
         two = two[np.bitwise_count(sig[two] ^ sig[two + 1]).sum(1) <= limit]
         found = [np.stack([ids[two], ids[two + 1]], 1)]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            if e := links(ids[s : s + n], sig[s : s + n], limit):
-                found.append(np.array(e, np.int64))
-        e = np.unique(np.sort(np.concatenate(found), 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
-
-    held: list = []
-    for b in batches:
+            found.append(links(ids[s : s + n], sig[s : s + n], limit))
+        return np.unique(np.sort(np.concatenate(found), 1), axis=0)
+
+    number = TaskContext.get().partitionId() << 32
+
+    def cut_off(key: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        nonlocal number
+        r = roots(sig, limit)
+        a = np.flatnonzero(r != np.arange(len(r)))
+        number += 1
+        row = [int(key[0]), number, bool((r == 0).all()), int(ids[0]), *sig[0].view(np.int64).tolist(), ids.tobytes(), sig.tobytes()]
+        return table(np.stack([ids[a], ids[r[a]]], 1), [row])
+
+    held: list | None = None
+    open_ = True  # whether the first key held began elsewhere
+    for b in (big.slice(at, block) for big in batches for at in range(0, big.num_rows, block)):
         now = [b.column("_key").to_numpy(), b.column("_id").to_numpy(), np.stack([b.column(c).to_numpy() for c in SIG], 1).view(np.uint64)]
-        if not len(now[0]):
-            continue
-        if held and held[-1][0][-1] == now[0][0] == now[0][-1]:
-            held.append(now)
-            continue
-        key, ids, sig = (np.concatenate(x) for x in zip(*held, now))
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            yield edges(key[:cut], ids[:cut], sig[:cut])
-        held = [[key[cut:], ids[cut:], sig[cut:]]]
-    if held:
-        yield edges(*(np.concatenate(x) for x in zip(*held)))
+        now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        last = int(np.searchsorted(now[0], now[0][-1]))
+        if last:
+            first = int(np.searchsorted(now[0], now[0][0], "right")) if open_ else 0
+            if open_:
+                yield cut_off(*(x[:first] for x in now))
+            if first < last:
+                yield table(edges(*(x[first:last] for x in now)), [])
+            now, open_ = [x[last:] for x in now], False
+        while len(now[0]) > block:
+            yield cut_off(*(x[:block] for x in now))
+            now, open_ = [x[block:] for x in now], True
+        held = now
+    if held is not None:
+        yield cut_off(*held)
+
+
+def _edges(keyed: DataFrame, limit: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that connect the rows (_key, _id, *SIG) of every key as all pairs within the limit would, and the written table behind."""
+    order = keyed.repartitionByRange("_key", "_id").sortWithinPartitions("_key", "_id")
+    met = materialize(order.mapInArrow(lambda it: _bucket_rows(it, limit, block), MET), "met")
+    blocks = met.where("_key is not null")
+    hubs = ["h0", "h1", "h2", "h3"]
+    head = blocks.groupBy(F.col("_key").alias("_k")).agg(F.count("*").alias("_n"), F.min_by(F.struct("_hub", *hubs), "_no").alias("_head")).where("_n > 1")
+    apart = sum((F.bit_count(F.col(h).bitwiseXOR(F.col(f"_head.{h}"))) for h in hubs), F.lit(0))
+    meta = blocks.join(head, F.col("_key") == F.col("_k")).select("_key", "_no", "_hub", F.col("_head._hub").alias("_to"), (F.col("_one") & (apart <= limit)).alias("_in"))
+    # a block of one component whose hub is near the first block's belongs to it: such blocks need not meet each other
+    out = met.where("_key is null").select("a", "b").union(meta.where("_in").select("_hub", "_to"))
+    x = meta.where("not _in").select(F.col("_key").alias("_k"), F.col("_no").alias("_x"))
+    pairs = x.join(meta, F.col("_key") == F.col("_k")).where("_in or _x < _no").select("_key", "_x", F.col("_no").alias("_y"))
+    body = blocks.select(F.col("_key").alias("_k"), "_no", "_ids", "_sig")
+    side = lambda c: body.toDF("_k", f"_n{c}", f"_i{c}", f"_s{c}")
+    work = pairs.join(side("x"), (F.col("_key") == F.col("_k")) & (F.col("_x") == F.col("_nx"))).drop("_k")
+    work = work.join(side("y"), (F.col("_key") == F.col("_k")) & (F.col("_y") == F.col("_ny"))).select("_ix", "_sx", "_iy", "_sy")
+
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids = [np.frombuffer(r[c], np.int64) for c in ("_ix", "_iy")]
+                sig = [np.frombuffer(r[c], np.uint64).reshape(-1, len(SIG)) for c in ("_sx", "_sy")]
+                e = cross(ids[0], sig[0], ids[1], sig[1], limit)
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+
+    return out.union(work.mapInArrow(pair_up, "a bigint, b bigint")), met
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,39 +353,49 @@ def components(edges: DataFrame) -> DataFrame:
         discard(last)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, kept_id) for every document that is a copy: kept_id is the least id of its group.
-
-    A group is a connected component of verified pairs. Rows with a null id or null text belong to no group. Empty
-    texts are copies of each other; texts without any word are copies only when equal. Rows that share an id are one
-    document. Ids are cast to long; other columns of docs are ignored.
-    """
-    spark = prepare(docs.sparkSession)
+def _copies(docs: DataFrame, id_col: str, text_col: str, max_distance: int, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """near_duplicates, and the written tables that it reads."""
     d = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null and _text is not null")
     longs = ", ".join(f"{c} bigint" for c in SIG + SEG)
     fp = materialize(d.mapInArrow(_fingerprint_rows, f"_id bigint, {longs}"), "fingerprints")
     reps = fp.groupBy(*SIG, *SEG).agg(F.min("_id").alias("_rep"), F.max("_id").alias("_top"))
     reps = materialize(reps, "representatives")
     one = reps.select(F.col("_rep").alias("_id"), *SIG, *SEG)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    k = one.mapInArrow(_key_rows, "_key bigint, _id bigint, " + ", ".join(f"{c} bigint" for c in SIG)).repartition(n, "_key").sortWithinPartitions("_key", "_id")
-    near = k.mapInArrow(lambda it: _edge_rows(it, max_distance), "a bigint, b bigint")
-    roots = components(near)
+    keyed = one.mapInArrow(_key_rows, "_key bigint, _id bigint, " + ", ".join(f"{c} bigint" for c in SIG))
+    near, met = _edges(keyed, max_distance, block)
+    roots = materialize(components(near), "roots")
+    discard(met)
     copies = fp.join(reps.where("_rep < _top"), [*SIG, *SEG]).select("_id", "_rep").where("_id <> _rep")
     linked = copies.select(F.col("_id").alias("_x"), F.col("_rep").alias("_y")).union(roots.select("id", "id"))
     out = linked.join(roots, F.col("_y") == F.col("id"), "left").select(F.col("_x").alias("doc_id"), F.coalesce("root", "_y").alias("kept_id"))
-    return out.distinct()
+    return out.distinct(), [fp, reps, roots]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(doc_id, kept_id) for every document that is a copy: kept_id is the least id of its group.
+
+    A group is a connected component of verified pairs. Rows with a null id or null text belong to no group. Empty
+    texts are copies of each other; texts without any word are copies only when equal. Rows that share an id are one
+    document. Ids are cast to long; other columns of docs are ignored, whatever their names.
+    """
+    prepare(docs.sparkSession)
+    return _copies(docs, id_col, text_col, max_distance, block)[0]
 
 
-def remove(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", limit: int = 8 << 20) -> DataFrame:
-    """Rows of docs whose id is not in the single column of ids; null ids stay. The ids are broadcast only while their
-    counted bytes stay within limit, and joined by shuffle beyond it."""
-    gone = materialize(ids.toDF("_gone").distinct(), "removed")
+def remove(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", limit: int = 8 << 20) -> DataFrame:
+    """Rows of docs whose id is not in the single column of the written table gone; null ids stay, and any other columns of
+    docs. The ids are broadcast only while their counted bytes stay within limit, and joined by shuffle beyond it."""
+    name = fresh("_gone", docs)
+    ids = gone.toDF(name)
     if gone.count() * 8 <= limit:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col] == F.col(name), "left_anti")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """docs without the copies: the document of least id stays of each group, and all rows of near_duplicates' null cases."""
-    return remove(docs, near_duplicates(docs, id_col, text_col, max_distance).select("doc_id"), id_col)
+    """docs without the copies, all columns kept, whatever their names: the document of least id stays of each group, and all rows of near_duplicates' null cases."""
+    prepare(docs.sparkSession)
+    copies, tables = _copies(docs, id_col, text_col, max_distance, BLOCK)
+    gone = materialize(copies.select("doc_id").distinct(), "removed")
+    discard(*tables)
+    return remove(docs, gone, id_col)

@@ -342,19 +342,71 @@ def test_simhash_odd(spark):
     kept = simhash.near_dedup(odd)
     assert kept.columns == odd.columns and kept.where("doc_id is null or text is null").count() == 2
     assert simhash.near_dedup(odd.limit(0)).count() == 0
+    clash = odd.selectExpr("*", "doc_id as _gone", "doc_id as _GONE_", "text as a", "text as _key")
+    assert simhash.near_dedup(clash).columns == clash.columns and simhash.near_dedup(clash).count() == kept.count()
 
 
-def test_links_connect_like_all_pairs():
+def flipped(rng, rows, most):
+    out = rows.copy()
+    for r in out:
+        for _ in range(int(rng.integers(0, most))):
+            r[rng.integers(4)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+    return out
+
+
+def distances(sig):
+    return np.bitwise_count(sig[:, None] ^ sig[None]).sum(2)
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_links_connect_like_all_pairs(n):
     rng = np.random.default_rng(3)
-    for _ in range(30):
+    for k in range(20):
         base = rng.integers(2**63, size=(3, 4)).astype(np.uint64)
-        sig = base[rng.integers(3, size=40)].copy()
-        for r in sig:
-            for _ in range(int(rng.integers(0, 40))):
-                r[rng.integers(4)] ^= np.uint64(1) << np.uint64(rng.integers(64))
-        d = np.array([[np.bitwise_count(a ^ b).sum() for b in sig] for a in sig])
-        pairs = list(zip(*np.nonzero(np.triu(d <= 46, 1))))
-        assert union_find(40, simhash.links(np.arange(40), sig, 46)) == union_find(40, pairs)
+        sig = flipped(rng, base[rng.integers(3, size=n)], 20 + 4 * k)
+        pairs = list(zip(*np.nonzero(np.triu(distances(sig) <= 46, 1))))
+        want = union_find(n, pairs)
+        assert union_find(n, simhash.links(np.arange(n), sig, 46)) == want
+        h = n // 3
+        inner = [*simhash.links(np.arange(h), sig[:h], 46), *simhash.links(np.arange(h, n), sig[h:], 46)]
+        assert union_find(n, [*inner, *simhash.cross(np.arange(h), sig[:h], np.arange(h, n), sig[h:], 46)]) == want
+
+
+def test_hot_keys_are_split(spark):
+    """A key of thousands of fingerprints, copies or not, is cut into blocks and linked as all pairs would link it."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(2**63, size=(4, 4)).astype(np.uint64)
+    hot = np.concatenate([flipped(rng, base[np.zeros(1500, int)], 20), flipped(rng, base[rng.integers(1, 4, size=500)], 60), rng.integers(2**63, size=(300, 4)).astype(np.uint64)])
+    other = flipped(rng, hot[rng.integers(len(hot), size=200)], 10)
+    sig = np.concatenate([hot, other])
+    key = np.concatenate([np.full(len(hot), 7), rng.integers(20, size=len(other))])
+    order = rng.permutation(len(sig))
+    sig, key = sig[order], key[order]
+    rows = [(int(k), i, *map(int, s.view(np.int64))) for i, (k, s) in enumerate(zip(key, sig))]
+    df = spark.createDataFrame(rows, "_key bigint, _id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    want = union_find(len(sig), zip(*np.nonzero(np.triu((distances(sig) <= 46) & (key[:, None] == key[None]), 1))))
+    for block in (100, 10_000):
+        edges, met = simhash._edges(df, 46, block)
+        e = [(r.a, r.b) for r in edges.collect()]
+        assert union_find(len(sig), e) == want
+        cut = met.where("_key = 7").select("_ids").collect()
+        assert block > 100 or len(cut) >= 23 and max(len(r._ids) for r in cut) <= 2 * 8 * block
+        assert len(e) < 30 * len(sig)
+
+
+def test_templated_texts(spark):
+    """20,000 texts that share 60 words of 100: hardly a copy among them; groups against brute force."""
+    rng = np.random.default_rng(6)
+    template = [f"boiler{i}" for i in range(60)]
+    texts = [" ".join(template[:30] + [f"w{x}" for x in rng.integers(10**6, size=40)] + template[30:]) for _ in range(19_990)]
+    texts += [t + " more" for t in texts[:10]]
+    got = {r.doc_id: r.kept_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    sig, _ = simhash.fingerprints(texts)
+    near = [(b, a + i) for i in range(0, len(sig), 500) for a, b in zip(*(x.tolist() for x in np.nonzero(simhash._distance(sig[i : i + 500], sig) <= 46))) if a + i < b]
+    want = union_find(len(texts), near)
+    assert all(got[19_990 + i] == got.get(i, i) for i in range(10))
+    assert all(want[a] == want[b] for a, b in got.items())
+    assert np.mean([got.get(a, a) == got.get(b, b) for a, b in near]) >= 0.9
 
 
 def test_components(spark):
