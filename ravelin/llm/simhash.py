@@ -216,7 +216,13 @@ def roots(sig: np.ndarray, limit: int) -> np.ndarray:
 def links(ids: np.ndarray, sig: np.ndarray, limit: int) -> np.ndarray:
     """(edges, 2) that connect the members of one bucket exactly as all pairs within the limit would."""
     if len(ids) <= 64:
-        a, b = np.nonzero(np.triu(_distance(sig, sig) <= limit, 1))
+        hit = _distance(sig, sig) <= limit
+        hub = int(hit.sum(1).argmax())
+        if hit[hub].all():
+            a = np.delete(np.arange(len(ids)), hub)
+            b = np.full(len(a), hub)
+        else:
+            a, b = np.nonzero(np.triu(hit, 1))
     else:
         r = roots(sig, limit)
         a = np.flatnonzero(r != np.arange(len(r)))

@@ -216,7 +216,7 @@ def test_toxicity_held_out():
     vocabulary = [word() for _ in range(3000)]
     make = lambda toxic: " ".join(rng.choice(bad) if toxic and rng.random() < 0.04 else rng.choice(vocabulary) for _ in range(rng.randint(80, 300)))
     m = toxicity.train([make(True) for _ in range(300)], [make(False) for _ in range(600)])
-    tc, oc = toxicity._compressor(m.toxic, m.raw[0]), toxicity._compressor(m.ordinary, m.raw[1])
+    tc, oc = toxicity._compressor(m.toxic), toxicity._compressor(m.ordinary)
     flagged = lambda t: max(toxicity.window_scores(toxicity._codes([t])[0], tc, oc)) >= m.threshold
     tests = [make(True) for _ in range(200)]
     assert np.mean([flagged(t) for t in tests if any(b in t for b in bad)]) > 0.95
@@ -224,6 +224,41 @@ def test_toxicity_held_out():
     assert toxicity.train([], ["a"]) is None and toxicity.train([""], [""]) is None
 
 
+def test_toxicity_by_language(spark):
+    """Fitted on the even ids of sf0.1 and applied to the odd ones; scores against windows cut and compressed here, one by one."""
+    import zstandard
+
+    base = "/root/testdata/sf0.1"
+    docs, labels = docs_of(spark, base), spark.read.parquet(f"{base}/labels.parquet")
+    m = toxicity.fit(docs.where("doc_id % 2 = 0"), labels)
+    rows = docs.where("doc_id % 2 = 1").join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id").collect()
+
+    def score(text):
+        packed = []
+        for d in (m.toxic, m.ordinary):
+            p = zstandard.ZstdCompressionParameters(window_log=20, hash_log=15, chain_log=15, search_log=1, min_match=7, target_length=1, strategy=zstandard.STRATEGY_FAST, write_checksum=False, write_content_size=False, write_dict_id=False)
+            packed.append(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d or bytes(64), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p))
+        words = tokenize([text], toxicity.STEMS)[0].tolist()
+        cut = [np.array(words[i : i + 16], np.uint64).tobytes() for i in range(0, len(words), 16)]
+        return max((len(packed[1].compress(w)) - len(packed[0].compress(w)) for w in cut), default=0)
+
+    tc, oc = toxicity._compressor(m.toxic), toxicity._compressor(m.ordinary)
+    got = {r.doc_id: max(toxicity.window_scores(toxicity._codes([r.text])[0], tc, oc)) for r in rows}
+    assert all(abs(score(r.text) - got[r.doc_id]) <= 2 for r in rows[:150])
+    hit = {(lang, y): np.mean([got[r.doc_id] >= m.threshold for r in rows if r.lang == lang and r.toxic == y]) for lang in ("en", "de", "fr") for y in (0, 1)}
+    print(hit)
+    assert min(hit[lang, 1] for lang in ("en", "de", "fr")) >= 0.75 and max(hit["en", 0], hit["fr", 0]) <= 0.02 and hit["de", 0] <= 0.08
+    every = {y: np.mean([got[r.doc_id] >= m.threshold for r in rows if r.toxic == y]) for y in (0, 1)}
+    print(every)
+    assert every[1] >= 0.85 and every[0] <= 0.015
+
+
+def test_toxicity_bounded_sample(spark, sf):
+    d, labels = docs_of(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    assert toxicity.fit(d, labels, max_bytes=0) is None
+    assert toxicity.fit(d.drop("lang"), labels) is not None and toxicity.fit(d.withColumn("lang", F.lit(None).cast("string")), labels) is not None
+
+
 def test_toxicity_odd(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     odd = odd_docs(spark, "fine")
