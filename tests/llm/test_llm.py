@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -250,7 +251,7 @@ def test_toxicity_by_language(spark):
     assert min(hit[lang, 1] for lang in ("en", "de", "fr")) >= 0.75 and max(hit["en", 0], hit["fr", 0]) <= 0.02 and hit["de", 0] <= 0.08
     every = {y: np.mean([got[r.doc_id] >= m.threshold for r in rows if r.toxic == y]) for y in (0, 1)}
     print(every)
-    assert every[1] >= 0.85 and every[0] <= 0.015
+    assert every[1] >= 0.9 and every[0] <= 0.02
 
 
 def test_toxicity_bounded_sample(spark, sf):
@@ -285,7 +286,7 @@ def test_sentencepiece_equals_library(spark, sf):
     extra = [(9001, ""), (9002, None), (None, "null id"), (9003, "  a  b\n\n c\t"), (9004, "日本語" * 900), (9005, "x" * 3000), (9006, "a b " * 900), (9006, "a b " * 900), (9007, "😀\x00é́")]
     x = d.union(spark.createDataFrame(extra, d.schema))
     for chunk in (500, sentencepiece_scan.CHUNK):
-        got = sentencepiece_scan.encode(x, chunk=chunk)
+        got = sentencepiece_scan.encode(x, chunk=chunk, fan=2 if chunk == 500 else 16)
         rows = got.collect()
         text = {r.doc_id: r.text for r in x.collect()}
         assert len(rows) == x.count()
@@ -295,7 +296,61 @@ def test_sentencepiece_equals_library(spark, sf):
         back = {r.doc_id: r.text for r in sentencepiece_scan.decode(got).collect()}
         assert back == text
     assert sentencepiece_scan.encode(x.limit(0)).count() == 0
-    assert sentencepiece_scan.encode(odd_docs(spark)).columns == ["doc_id", "ids", "n_tokens", "round_trip"]
+    odd = odd_docs(spark, "x y")
+    rows = sentencepiece_scan.encode(odd).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.round_trip) for r in rows) == sorted((str(r.doc_id), None if r.text is None else len(p.encode(r.text)), None if r.text is None else True) for r in odd.collect())
+    assert [f.name for f in sentencepiece_scan.encode(odd).schema] == ["doc_id", "ids", "n_tokens", "round_trip"]
+
+
+def without_spaces(rng, n, kind):
+    letters = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "cjk": "的一是不了人我在有他这中大来上个国到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可她里后小么心多天而能好都然没日于起还发成事只作当想看文无开手十用主行方又如前所本见经头面公同三已老从动两长", "run": "a", "js": "var=function(){return;}[]+-*/0123456789abcdefgh"}[kind]
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+@pytest.mark.parametrize("kind", ["base64", "cjk", "run", "js"])
+def test_sentencepiece_without_spaces(kind, monkeypatch):
+    """Chunks without a space: their windows meet the library's path; the tree gives what the library gives, whatever its fan."""
+    monkeypatch.setattr(sentencepiece_scan, "WINDOW", 48)
+    c = sentencepiece_scan.codec(sentencepiece_scan.MODEL)
+    s = " " + without_spaces(random.Random(1), 4000, kind)
+    parts, ms, synced = [], [], 0
+    for k in range(-(-len(s) // 700)):
+        lo, x0, x1 = max(0, k * 700 - 64), k * 700, min(len(s), (k + 1) * 700)
+        parts.append((s[lo : x1 + 64], x0 - lo, x1 - lo))
+        ms.append(set(c.transfer(*parts[-1], k == 0, x1 == len(s))))
+        synced += c._sync(*parts[-1], c.states(parts[-1][0], x0 - lo) if k else [None]) is not None
+        with monkeypatch.context() as m:
+            m.setattr(sentencepiece_scan, "WINDOW", 10**9)
+            assert set(c.transfer(*parts[-1], k == 0, x1 == len(s))) == ms[-1]
+    assert synced or kind == "run"
+    states = sentencepiece_scan.boundary_states(ms)
+    ids = b"".join(c.backtrace(*p, a, b) for p, a, b in zip(parts, [None, *states[:-1]], states))
+    assert np.frombuffer(ids, np.int32).tolist() == c.p.encode(s[1:])
+
+
+def test_sentencepiece_long_text_without_spaces(spark):
+    t = without_spaces(random.Random(2), 1_000_000, "base64")
+    df = spark.createDataFrame([(1, t)], "doc_id bigint, text string")
+    start = time.time()
+    (r,) = sentencepiece_scan.encode(df).collect()
+    assert time.time() - start < 60
+    assert r.round_trip and r.ids == sentencepiece_scan.codec(sentencepiece_scan.MODEL).p.encode(t)
+
+
+@pytest.mark.parametrize("fan", [2, 3, 16])
+def test_scan_brackets_alike(spark, fan):
+    """The job's tree gives the states of one pass from left to right, however it brackets."""
+    c = sentencepiece_scan.codec(sentencepiece_scan.MODEL)
+    rng = random.Random(4)
+    rows, want = [], {}
+    for h in ("x", "y"):
+        s = " " + "".join(rng.choice("abc the\n") for _ in range(240 if h == "x" else 30))
+        ms = [set(c.transfer(s, k, min(len(s), k + 17), k == 0, k + 17 >= len(s))) for k in range(0, len(s), 17)]
+        right = sentencepiece_scan.boundary_states(ms)
+        want |= {(h, k): (*(left or (1, 0)), *r) for k, (left, r) in enumerate(zip([None, *right], right))}
+        rows += [(h, k, sentencepiece_scan._flat(m)) for k, m in enumerate(ms)]
+    got = sentencepiece_scan._scan(spark.createDataFrame(rows, "_hash string, _k int, _m array<int>"), 15, fan).collect()
+    assert {(r._h, r._j): (r._l0, r._l1, r._r0, r._r1) for r in got} == want
 
 
 @pytest.mark.parametrize("chunk", [1, 3, 17, 64])
