@@ -61,7 +61,8 @@ class Codec:
     def whole(self, text: str) -> bytes:
         """Ids of a text that starts at a word, as int32 bytes."""
         units = _UNIT.findall(text)
-        here = {u: None for u in set(units) - self.memory.keys()} if len(units) > 1 else dict.fromkeys(units)
+        memory = self.memory
+        here = dict.fromkeys([u for u in units if u not in memory])
         if here:
             for u, ids in zip(here, self._bare(list(here))):
                 here[u] = np.array(ids, np.int32).tobytes()
