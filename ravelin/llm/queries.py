@@ -86,13 +86,19 @@ def _warc_sql() -> str:
     text = "payload"
     for p, to in warc.TEXT_STEPS:
         text = f"regexp_replace({text}, {_lit(p)}, {_lit(to)}, 'g')"
-    for name, to in warc.ENTITIES:
-        text = f"replace({text}, {_lit(name)}, {_lit(to)})"
+    names = "MAP {" + ", ".join(f"{_lit(n)}: {_lit(c)}" for n, c in warc.ENTITIES.items()) + "}"
+    odd = "MAP {" + ", ".join(f"{n}: {_lit(c)}" for n, c in warc.CP1252.items()) + "}"
+    char = f"""CASE WHEN num IS NOT NULL THEN coalesce({odd}[num], CASE WHEN num = 0 OR num BETWEEN 55296 AND 57343 OR num > 1114111 THEN chr(65533) ELSE chr(num) END) WHEN name <> '' THEN {names}[name] END"""
+    decoded = f"""(SELECT page_id, string_agg(CASE WHEN i = 1 THEN part ELSE coalesce({char} || substr(part, length(name) + 2), '&' || part) END, '' ORDER BY i) AS t FROM (
+      SELECT *, CAST(CASE WHEN regexp_matches(name, '^#[0-9]') THEN substr(name, 2) WHEN regexp_matches(name, '^#[xX]') THEN '0x' || substr(name, 3) END AS INTEGER) AS num FROM (
+        SELECT page_id, i, part, regexp_extract(part, '^(#[0-9]{{1,7}}|#[xX][0-9A-Fa-f]{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,7}});', 1) AS name FROM (
+          SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT page_id, string_split({text}, '&') AS parts FROM r)))) GROUP BY page_id)"""
+    text = "t"
     for p, to in warc.SPACE_STEPS:
         text = f"regexp_replace({text}, {_lit(p)}, {_lit(to)}, 'g')"
     text = rf"trim(regexp_replace({text}, '^\n+|\n+$', '', 'g'), ' ')"
     crlf = "chr(13) || chr(10)"
-    field = lambda n, v: f"(CASE WHEN {v} IS NULL OR {v} = '' THEN '' ELSE '{n}: ' || {v} || {crlf} END)"
+    field = lambda n, v: f"(CASE WHEN {v} IS NULL OR {v} = '' THEN '' ELSE '{n}: ' || regexp_replace({v}, '[\\r\\n]+', ' ', 'g') || {crlf} END)"
     title = r"trim(regexp_extract(payload, '(?is)<title[^>]*>([^<]*)</title>', 1), ' ')"
     lang = r"regexp_extract(payload, '(?i)<html[^>]*\blang=[\"'']?([A-Za-z-]+)', 1)"
     status = "regexp_extract(http_header, '^HTTP/[0-9.]+ ([0-9]{3})', 1)"
@@ -101,12 +107,12 @@ def _warc_sql() -> str:
 WITH r AS (
   SELECT {_urn_sql("'response|' || CAST(page_id AS VARCHAR) || '|' || url")} AS refers_to, url AS target_uri, '2024-01-01T00:00:00Z' AS warc_date,
     'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || {crlf} AS http_header,
-    html AS payload, {_base32_sql("html")} AS source_digest
+    html AS payload, {_base32_sql("html")} AS source_digest, page_id
   FROM pages),
 d AS (
   SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, {meta} AS block FROM r
   UNION ALL
-  SELECT *, 'conversion', 'text/plain; charset=utf-8', {text} FROM r)
+  SELECT r.*, 'conversion', 'text/plain; charset=utf-8', {text} FROM r JOIN {decoded} x ON x.page_id = r.page_id)
 SELECT {_urn_sql("warc_type || '|' || refers_to")} AS record_id, warc_type, refers_to, target_uri, warc_date, content_type, http_header AS source_header,
   source_digest, {_base32_sql("block")} AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length, block
 FROM d WHERE block IS NOT NULL"""

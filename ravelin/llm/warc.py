@@ -5,29 +5,31 @@ Everything is built-in JVM expressions on one narrow scan: no shuffle and no Pyt
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-#: (pattern, replacement), applied in order; the patterns mean the same to Java's engine and to RE2.
+#: (pattern, replacement), applied in order; the patterns mean the same to Java's engine and to RE2. What is never shown goes with its
+#: content, each element up to its own closing tag or, if it is never closed, the end; other tags go and their text stays.
 TEXT_STEPS = [
-    (r"(?is)<(?:script|style|head|nav|footer|noscript)\b.*?</(?:script|style|head|nav|footer|noscript)>|<!--.*?-->", " "),
-    (r"(?i)<(?:/?(?:p|div|article|section|h[1-6]|ul|ol|li|table|tr|blockquote|pre)\b[^>]*|br\s*/?)>", "\n"),
-    (r"<[^>]*>", ""),
+    (r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<title\b.*?(?:</title\s*>|\z)|<template\b.*?(?:</template\s*>|\z)", " "),
+    (r"(?i)</?(?:p|div|article|section|main|header|footer|nav|aside|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|blockquote|pre|form|br|hr)\b[^>]*>", "\n"),
+    (r"<[A-Za-z/!?][^>]*>", ""),
 ]
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+#: Names of characters as HTML 4 has them, and what the numbers 128 to 159 mean in HTML.
+ENTITIES = {**html.entities.entitydefs, "apos": "'"}
+CP1252 = {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
 SPACE_STEPS = [(r"[ \t\r]+", " "), (r" ?\n[ \n]*", "\n")]
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def base32_sha1(value: Column) -> Column:
-    """'sha1:' and the base-32 digest, as WARC digest headers write it."""
+    """'sha1:' and the base-32 digest, as WARC digest headers write it: 40 bits at a time in base 32, its digits renamed."""
     digest = F.sha1(value)
-    out = [F.lit("sha1:")]
-    for g in range(4):
-        part = F.conv(F.substring(digest, g * 10 + 1, 10), 16, 10).cast("bigint")
-        out += [F.substr(F.lit(BASE32), F.shiftright(part, 35 - 5 * k).bitwiseAND(F.lit(31)).cast("int") + F.lit(1), F.lit(1)) for k in range(8)]
-    return F.concat(*out)
+    parts = [F.translate(F.lpad(F.conv(F.substring(digest, g * 10 + 1, 10), 16, 32), 8, "0"), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32) for g in range(4)]
+    return F.concat(F.lit("sha1:"), *parts)
 
 
 def uuid_urn(seed: Column) -> Column:
@@ -36,13 +38,35 @@ def uuid_urn(seed: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate([(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]], F.lit(">"))
 
 
+def _point(code: Column) -> Column:
+    """The character of a code point; U+FFFD for what is none."""
+    fine = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+
+def unescape(text: Column) -> Column:
+    """Text with named, decimal and hexadecimal character references replaced; those without a semicolon or of an unknown name stay."""
+    names = F.create_map(*(F.lit(x) for item in ENTITIES.items() for x in item))
+    odd = F.create_map(*(F.lit(x) for item in CP1252.items() for x in item))
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});", 1)
+        number = F.when(name.rlike("^#[0-9]"), F.conv(F.substr(name, F.lit(2)), 10, 10)).when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).cast("bigint")
+        char = F.when(number.isNotNull(), F.coalesce(F.try_element_at(odd, number.cast("int")), _point(number))).when(name != "", F.try_element_at(names, name))
+        return F.coalesce(F.concat(char, F.substr(p, F.length(name) + F.lit(2))), F.concat(F.lit("&"), p))
+
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - F.lit(1), F.lit(0))), piece)
+    return F.when(F.instr(text, "&") > 0, F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
-    """Visible text: script, style, head, navigation, footer and comments go, blocks end lines, entities are decoded."""
+    """Visible text: script, style, title, template and comments go, blocks end lines, character references are decoded. Navigation,
+    footers and what is shown without scripts stay. A tag ends at its first '>', in a quoted attribute too."""
     out = html
     for pattern, to in TEXT_STEPS:
         out = F.regexp_replace(out, pattern, to)
-    for name, to in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(to))
+    out = unescape(out)
     for pattern, to in SPACE_STEPS:
         out = F.regexp_replace(out, pattern, to)
     return F.trim(F.regexp_replace(out, r"^\n+|\n+$", ""))
@@ -61,6 +85,10 @@ def responses(pages: DataFrame) -> DataFrame:
     )
 
 
+def _line(value: Column) -> Column:
+    return F.regexp_replace(value, r"[\r\n]+", " ")
+
+
 def derivatives(records: DataFrame) -> DataFrame:
     """Two records for every response: 'metadata' (warc-fields) and 'conversion' (text/plain).
 
@@ -68,7 +96,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     source_header (the response's HTTP header, unchanged), source_digest (of its payload), block_digest,
     content_length (bytes of block), block. A null payload yields a metadata record alone, with null source_digest;
     an empty payload yields an empty conversion. Null target, date or header are kept as null and left out of the
-    metadata block. Repeated responses yield repeated records. Other columns of records are ignored.
+    metadata block, whose values have line ends turned into spaces. Repeated responses yield repeated records. Other
+    columns of records are ignored, whatever their names.
     """
     r = records.select("record_id", "target_uri", "warc_date", "http_header", "payload").withColumn("_digest", base32_sha1(F.col("payload")))
     title = F.trim(F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)</title>", 1))
@@ -76,7 +105,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     status = F.regexp_extract("http_header", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
 
     def field(name: str, value: Column) -> Column:
-        return F.when(value.isNull() | (value == ""), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)))
+        return F.when(value.isNull() | (value == ""), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), _line(value), F.lit(CRLF)))
 
     meta = F.concat(
         field("via", F.col("target_uri")), field("httpStatus", status), field("title", title), field("language", lang),
@@ -101,12 +130,19 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def to_warc_text(derived: DataFrame) -> DataFrame:
-    """Column `record`: each derivative serialised as a WARC/1.1 record, ready for a text or binary sink."""
-    h = lambda name, c: F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), c, F.lit(CRLF)))
+    """Column `record`: each derivative serialised as a WARC/1.1 record, ready for a text or binary sink.
+
+    The source's digest and the lines of its header go along as WARC-Source-Digest and WARC-Source-Header; no value can
+    begin a line of its own. Null fields are left out, a null block counts as empty.
+    """
+    h = lambda name, c: F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), _line(c), F.lit(CRLF)))
+    lines = F.filter(F.split(F.coalesce("source_header", F.lit("")), r"\r\n|\r|\n"), lambda x: x != "")
+    source = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("WARC-Source-Header: "), x, F.lit(CRLF))), "")
     return derived.select(
         F.concat(
             F.lit(f"WARC/1.1{CRLF}"), h("WARC-Type", F.col("warc_type")), h("WARC-Record-ID", F.col("record_id")), h("WARC-Refers-To", F.col("refers_to")),
             h("WARC-Target-URI", F.col("target_uri")), h("WARC-Date", F.col("warc_date")), h("WARC-Block-Digest", F.col("block_digest")),
-            h("Content-Type", F.col("content_type")), h("Content-Length", F.col("content_length").cast("string")), F.lit(CRLF), F.col("block"), F.lit(CRLF * 2),
+            h("WARC-Source-Digest", F.col("source_digest")), source,
+            h("Content-Type", F.col("content_type")), F.lit("Content-Length: "), F.octet_length(F.coalesce("block", F.lit(""))).cast("string"), F.lit(CRLF * 2), F.coalesce("block", F.lit("")), F.lit(CRLF * 2),
         ).alias("record")
     )

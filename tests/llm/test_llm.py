@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import html.parser
 import itertools
 import random
 import re
@@ -45,13 +46,90 @@ def test_tokenize():
 # 1
 
 
+class Shown(html.parser.HTMLParser):
+    """Words of a page by the standard library's parser."""
+
+    hidden = ("script", "style", "title", "template")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in self.hidden
+        self.handle_endtag("")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in self.hidden
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.out.append(data)
+
+
+def words_shown(page):
+    p = Shown()
+    p.feed(page)
+    p.close()
+    return "".join("".join(p.out).split())
+
+
+def converted(spark, pages):
+    df = spark.createDataFrame([(str(i), "u", "d", "h", p) for i, p in enumerate(pages)], "record_id string, target_uri string, warc_date string, http_header string, payload string")
+    out = {r.refers_to: r.block for r in warc.derivatives(df).where("warc_type = 'conversion'").collect()}
+    return [out[str(i)] for i in range(len(pages))]
+
+
+def test_warc_text_by_parser(spark, sf):
+    """The words shown, in order, against an HTML parser: nested, unclosed and escaped elements, and all pages."""
+    pages = [
+        "<head><style>b{}</style><title>T</title></head><p>x</p>",
+        "<nav><script>var a=1</script>menu items</nav><footer>f <noscript>n</noscript></footer>",
+        "a<!-- <p>no</p> -->b<script>if (a<b) {}</script>c<SCRIPT type=x>d</SCRIPT >e",
+        "<style>never closed",
+        "<p>code</p><script>unclosed && leaks",
+        "caf&eacute; &#8217;&#x2019;&#X41; &amp;lt; &nosuch; &#0; &#55296; &#128; &quot;&apos;&hellip; a & b &;",
+        "<article>kept<article>too</article>",
+        "1 < 2 and 3 > 2 <br/>x<custom-tag>y</custom-tag>",
+        "<template><p>no</p></template>yes<!DOCTYPE html><?php no ?>",
+        "&", "", "&&amp;&", "x" * 300_000 + "&lt;p&gt;" * 10_000,
+    ]
+    got = converted(spark, pages)
+    for page, text in zip(pages, got):
+        assert "".join(text.split()) == words_shown(page), page[:80]
+    assert converted(spark, ["x &amp y"]) == ["x &amp y"]  # without its semicolon
+    assert got[6] == "kept\ntoo"
+    real = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    for r, text in zip(real, converted(spark, [r.html for r in real])):
+        assert "".join(text.split()) == words_shown(r.html)
+
+
+def test_warc_records(spark):
+    """Records read back by their lengths: no value begins a line of its own, source header and digest are kept."""
+    r = spark.createDataFrame([("<a>", "u\r\nX-Evil: 1", "d", "HTTP/1.1 200 OK\r\nX: y\r\n", "<title>a\nb</title>t\u00e9xt", "k", 1, "z"), ("<b>", None, None, None, None, "k", 1, "z"), ("<c>", "u", "d", "h", "<p>" + "w " * 500_000, "k", 1, "z")],
+                              "record_id string, target_uri string, warc_date string, http_header string, payload string, block string, _d int, _digest string")
+    derived = warc.derivatives(r)
+    rows, records = derived.collect(), [x.record.encode() for x in warc.to_warc_text(derived).collect()]
+    assert len(rows) == len(records) == 5
+    for row, rec in zip(rows, records):
+        head, _, rest = rec.partition(b"\r\n\r\n")
+        fields = [x.split(": ", 1) for x in head.decode().split("\r\n")[1:]]
+        names = [k for k, _ in fields]
+        assert "X-Evil" not in names and dict(fields)["WARC-Refers-To"] == row.refers_to
+        n = int(dict(fields)["Content-Length"])
+        assert rest == row.block.encode() + b"\r\n\r\n" and n == len(row.block.encode())
+        assert dict(fields).get("WARC-Source-Digest") == row.source_digest
+        assert [v for k, v in fields if k == "WARC-Source-Header"] == [x for x in (row.source_header or "").split("\r\n") if x]
+    assert "title: a b\r\n" in next(x.block for x in rows if x.warc_type == "metadata" and x.refers_to == "<a>")
+
+
 def test_warc(spark):
     html = "<html lang=fr><head><title> T </title></head><body><nav>n</nav><p>A&amp;B</p><!-- c --><script>x<1</script>C<br>D &lt;</body></html>"
     r = spark.createDataFrame([("<a>", "u", None, "HTTP/1.1 200 OK\r\nX: y\r\n", html, "k"), ("<b>", None, "d", None, None, "k"), ("<c>", "u", "d", "h", "", "k"), ("<c>", "u", "d", "h", "", "k")],
                               "record_id string, target_uri string, warc_date string, http_header string, payload string, block string")
     out = warc.derivatives(r).collect()
     text = {x.refers_to: x for x in out if x.warc_type == "conversion"}
-    assert text["<a>"].block == "A&B\nC\nD <" and text["<c>"].block == "" and "<b>" not in text
+    assert text["<a>"].block == "n\nA&B\nC\nD <" and text["<c>"].block == "" and "<b>" not in text
     assert len(out) == 7
     a = text["<a>"]
     assert a.source_digest == "sha1:" + base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
