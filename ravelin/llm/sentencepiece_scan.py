@@ -8,7 +8,7 @@ transfer matrix from the states of its left boundary to those of its right one (
 matrices are combined associatively up a tree of FAN chunks a node, which leaves one path through the whole text; down the
 same tree, each node's two states give those between its parts, and at last each chunk is traced back on its own between
 its two states. No task ever holds more than FAN matrices. No piece holds a space behind another character, so words are
-encoded independently within a chunk and a document of one chunk needs no matrix. A chunk without spaces is searched only
+encoded independently within a chunk, and a document of one chunk is left to the library. A chunk without spaces is searched only
 near its boundaries, up to pieces that every surviving path has in common: between these the library's encoding is the path.
 """
 
@@ -75,10 +75,6 @@ class Codec:
                 self.memory |= new
         return b"".join([here[u] if u in here else self.memory[u] for u in units] if here else map(self.memory.__getitem__, units))
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a document; every text but the empty one gets the model's prefix space."""
-        return self.whole(" " + text.replace("▁", " ")) if text else b""
-
     def decode(self, ids: list[int]) -> str:
         """Text of ids without the prefix space; bytes that are no UTF-8 become U+FFFD."""
         out = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -311,12 +307,6 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _list_array(parts: list[bytes | None]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(p or b"") // 4 for p in parts]))).astype(np.int32)
-    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(p or b"" for p in parts))])
-    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([p is None for p in parts]) if any(p is None for p in parts) else None)
-
-
 def _scan(matrices: DataFrame, most: int, fan: int) -> DataFrame:
     """(_h, _j, _l0, _l1, _r0, _r1): the states at both ends of every chunk, from the matrices (_hash, _k, _m) of at most `most` chunks a text,
     combined up a tree and resolved down it."""
@@ -398,10 +388,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         c = codec(model)
         for b, texts in slices(batches, "_text"):
             null = b.column("_text").is_null().to_pylist()
-            parts = [None if z else c.encode(t) for z, t in zip(null, texts)]
-            n = pa.array([None if p is None else len(p) // 4 for p in parts], pa.int32())
-            same = pa.array([None if p is None else c.decode(np.frombuffer(p, np.int32).tolist()) == t for p, t in zip(parts, texts)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _list_array(parts), n, same], names=["doc_id", "ids", "n_tokens", "round_trip"])
+            ids = [None if z else x for z, x in zip(null, c.p.encode(texts, num_threads=1))]
+            n = [None if x is None else len(x) for x in ids]
+            same = [None if x is None else c.decode(x) == t for x, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int32()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
     schema = "doc_id bigint, ids array<int>, n_tokens int, round_trip boolean"
     short = d.where(~long).mapInArrow(rows, schema)
