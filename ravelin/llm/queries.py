@@ -118,16 +118,25 @@ SELECT {_urn_sql("warc_type || '|' || refers_to")} AS record_id, warc_type, refe
 FROM d WHERE block IS NOT NULL"""
 
 
+def _unreserved_sql(x: str) -> str:
+    code = "upper(regexp_extract(p, '^([0-9A-Fa-f]{2})', 1))"
+    piece = f"CASE WHEN regexp_matches({code}, '^(2D|2E|3[0-9]|4[1-9A-F]|5[0-9A]|5F|6[1-9A-F]|7[0-9A]|7E)$') THEN chr(CAST('0x' || {code} AS INTEGER)) || substr(p, 3) WHEN {code} <> '' THEN '%' || {code} || substr(p, 3) ELSE '%' || p END"
+    return f"(string_split({x}, '%')[1] || array_to_string(list_transform(string_split({x}, '%')[2:], lambda p: {piece}), ''))"
+
+
 def _url_sql() -> str:
     rules = ", ".join(f"({i}, {_lit(p)}, {_lit(a)}, {q})" for i, p, a, q in url_filter.DEFAULT_RULES)
-    return f"""
+    return rf"""
 WITH rules(rule_id, pattern, action, priority) AS (VALUES {rules}),
 u AS (SELECT DISTINCT url FROM pages),
-b AS (SELECT url, regexp_replace(regexp_replace(trim(url, ' '), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM u WHERE url IS NOT NULL),
-a AS (SELECT url, bare, regexp_extract(bare, '^([^/?]*)', 1) AS auth FROM b),
-t AS (SELECT url, lower(regexp_replace(regexp_replace(regexp_replace(auth, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '')) AS host, substr(bare, length(auth) + 1) AS tail FROM a),
-p AS (SELECT url, host, string_split(host, '.') AS labels, regexp_extract(tail, '^([^?]*)', 1) AS raw, tail FROM t),
-q AS (SELECT url, host, labels, CASE WHEN raw = '' THEN '/' ELSE raw END AS path, substr(tail, length(raw) + 1) AS query FROM p),
+b AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(trim(url, ' '), '[\t\r\n]', '', 'g'), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*:[/\\]{{2}}', '') AS bare FROM u WHERE url IS NOT NULL),
+a AS (SELECT url, bare, regexp_extract(bare, '^([^/\\?]*)', 1) AS auth FROM b),
+t AS (SELECT url, regexp_replace(regexp_replace(auth, '^.*@', ''), ':[0-9]*$', '') AS host, substr(bare, length(auth) + 1) AS tail FROM a),
+p AS (SELECT url, lower(regexp_replace({_unreserved_sql("host")}, '^[.]+|[.]+$', '', 'g')) AS host, regexp_extract(tail, '^([^?]*)', 1) AS raw, tail FROM t),
+s AS (SELECT url, host, string_split(host, '.') AS labels, {_unreserved_sql("replace(raw, chr(92), '/')")} AS slashed, {_unreserved_sql("substr(tail, length(raw) + 1)")} AS query FROM p),
+n AS (SELECT *, list_reduce(list_prepend('', string_split(slashed, '/')), lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x IN ('', '.') THEN acc ELSE acc || '/' || x END)
+        || CASE WHEN regexp_matches(slashed, '(^|/)\.{{0,2}}$') THEN '/' ELSE '' END AS flat FROM s),
+q AS (SELECT url, host, labels, CASE WHEN flat = '' THEN '/' ELSE flat END AS path, query FROM n),
 h AS (SELECT url, unnest(CASE WHEN regexp_matches(host, '^[0-9.]+$') OR len(labels) < 2 THEN [host]
         ELSE list_transform(range(1, len(labels)), lambda i: array_to_string(labels[i:], '.')) END) AS host FROM q),
 f AS (SELECT url, unnest(list_concat(list_transform(range(1, greatest(len(string_split(path, '/')), 2)), lambda i: array_to_string(string_split(path, '/')[1:i], '/') || '/'),

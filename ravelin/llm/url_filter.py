@@ -1,7 +1,8 @@
 """URL filtering by hashed host-suffix and path-prefix expressions.
 
-A URL is expanded into every (host suffix, path prefix) expression. Expressions meet the rules in an equi-join on the
-first bytes of their SHA-256, the full digest then confirms, and the most specific confirmed rule decides.
+A URL is brought into a canonical form and expanded into every (host suffix, path prefix) expression. Expressions meet
+the rules in an equi-join on the first bytes of their SHA-256 alone, the full digest then confirms, and the most specific
+confirmed rule decides.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravelin.runtime import fresh
+
+#: Hex digits of a digest that expressions and rules are joined on.
 PREFIX_HEX = 8
 
 #: (rule_id, pattern, action, priority); a pattern is host suffix + path prefix.
@@ -33,15 +37,33 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEFAULT_RULES, RULE_SCHEMA)
 
 
+def _unreserved(text: Column) -> Column:
+    """Escapes of letters, digits, '-', '.', '_' and '~' decoded once, those of other bytes in upper case."""
+    parts = F.split(text, "%")
+
+    def piece(p: Column) -> Column:
+        code = F.upper(F.regexp_extract(p, "^([0-9A-Fa-f]{2})", 1))
+        plain = code.rlike("^(2D|2E|3[0-9]|4[1-9A-F]|5[0-9A]|5F|6[1-9A-F]|7[0-9A]|7E)$")
+        rest = F.substr(p, F.lit(3))
+        return F.when(plain, F.concat(F.decode(F.unhex(code), "UTF-8"), rest)).when(code != "", F.concat(F.lit("%"), code, rest)).otherwise(F.concat(F.lit("%"), p))
+
+    return F.when(F.instr(text, "%") > 0, F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - F.lit(1), F.lit(0))), piece), ""))).otherwise(text)
+
+
 def _parts(url: Column) -> tuple[Column, Column, Column]:
-    """(host, path, query with its '?') of a URL: no scheme, user, port or fragment; host in lower case."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    authority = F.regexp_extract(bare, "^([^/?]*)", 1)
+    """(host, path, query with its '?') of a URL: no scheme, user, port, fragment or line ends; host in lower case without outer dots; escapes of
+    unreserved characters decoded; the path with '/' for backslashes, no empty, '.' or '..' folders."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(url), r"[\t\r\n]", ""), "#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}", "")
+    authority = F.regexp_extract(bare, r"^([^/\\?]*)", 1)
     tail = F.substr(bare, F.length(authority) + F.lit(1))
-    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ":[0-9]*$", ""), "[.]+$", ""))
-    path = F.regexp_extract(tail, "^([^?]*)", 1)
-    query = F.substr(tail, F.length(path) + F.lit(1))
-    return host, F.when(path == "", F.lit("/")).otherwise(path), query
+    host = F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ":[0-9]*$", "")
+    host = F.lower(F.regexp_replace(_unreserved(host), "^[.]+|[.]+$", ""))
+    raw = F.regexp_extract(tail, "^([^?]*)", 1)
+    query = F.substr(tail, F.length(raw) + F.lit(1))
+    slashed = _unreserved(F.translate(raw, "\\", "/"))
+    step = lambda acc, x: F.when(x == "..", F.regexp_replace(acc, "/[^/]*$", "")).when(x.isin("", "."), acc).otherwise(F.concat(acc, F.lit("/"), x))
+    path = F.concat(F.aggregate(F.split(slashed, "/"), F.lit(""), step), F.when(slashed.rlike(r"(^|/)\.{0,2}$"), F.lit("/")).otherwise(F.lit("")))
+    return host, F.when(path == "", F.lit("/")).otherwise(path), _unreserved(query)
 
 
 def expressions(url: Column) -> Column:
@@ -64,24 +86,28 @@ def url_filter(urls: DataFrame, rules: DataFrame, url_col: str = "url", prefix_h
 
     Precedence: longest host suffix, then longest path prefix, then higher priority, then allow before block, then
     the lower rule_id. A null or empty URL, and one that no rule covers, has decision 'none' with null rule columns.
-    Rules with a null pattern or action never match; repeated rules decide once. Other columns of urls are ignored, so
-    their names cannot clash. The rules are joined without a hint: Spark broadcasts them only below its own threshold.
+    Rules with a null pattern or action never match; repeated rules decide once. Patterns are taken as they stand, in the
+    form that canonical URLs have; host names beyond ASCII are compared as written. Other columns of urls are ignored, so
+    their names cannot clash. URLs are expanded where they are read; only expressions whose hash prefix some rule has and
+    one row a URL are moved. The rules are joined without a hint: Spark broadcasts them only below its own threshold.
     """
-    u = urls.select(F.col(url_col).alias("url")).distinct()
+    u = urls.select(F.col(url_col).alias("url"))
     r = rules.where("pattern is not null and action is not null").select("rule_id", "pattern", "action", "priority").distinct()
-    r = r.withColumn("_digest", F.sha2("pattern", 256)).withColumn("_short", F.substring("_digest", 1, prefix_hex))
+    r = r.withColumn("_digest", F.unhex(F.sha2("pattern", 256))).withColumn("_short", F.substring(F.hex("_digest"), 1, prefix_hex))
     e = u.where(F.col("url").isNotNull()).select("url", F.explode(expressions(F.col("url"))).alias("_e"))
-    e = e.select("url", F.sha2("_e", 256).alias("_full")).withColumn("_key", F.substring("_full", 1, prefix_hex))
-    hit = e.join(r, (e["_key"] == r["_short"]) & (e["_full"] == r["_digest"]))
+    e = e.select("url", F.unhex(F.sha2("_e", 256)).alias("_full")).withColumn("_key", F.substring(F.hex("_full"), 1, prefix_hex))
+    # a plain equality of digests would become part of the join's key and the prefix would be for nothing
+    hit = e.join(r, F.col("_key") == F.col("_short")).where(F.startswith("_full", "_digest"))
     host_len = F.length(F.regexp_extract("pattern", "^([^/]*)", 1))
     rank = F.struct(host_len, F.length("pattern"), F.coalesce("priority", F.lit(0)), (F.col("action") == "allow").cast("int"), -F.col("rule_id"))
-    best = hit.groupBy(F.col("url").alias("_url")).agg(F.max_by(F.struct("action", "rule_id", "pattern"), rank).alias("_b"))
-    return u.join(best, F.col("url") == F.col("_url"), "left").select(
-        "url", F.coalesce("_b.action", F.lit("none")).alias("decision"), F.col("_b.rule_id").alias("rule_id"), F.col("_b.pattern").alias("pattern")
-    )
+    hit = hit.select("url", F.struct("action", "rule_id", "pattern").alias("_rule"), rank.alias("_rank"))
+    every = u.select("url", *(F.lit(None).cast(hit.schema[c].dataType).alias(c) for c in ("_rule", "_rank")))
+    best = every.union(hit).groupBy("url").agg(F.max_by("_rule", "_rank").alias("_b"))
+    return best.select("url", F.coalesce("_b.action", F.lit("none")).alias("decision"), F.col("_b.rule_id").alias("rule_id"), F.col("_b.pattern").alias("pattern"))
 
 
 def filter_pages(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """Rows of pages whose URL is not blocked; null URLs stay, repeated rows stay repeated."""
-    bad = url_filter(pages, rules, url_col).where("decision = 'block'").select(F.col("url").alias("_blocked_url"))
-    return pages.join(bad, F.col(url_col) == F.col("_blocked_url"), "left_anti")
+    """Rows of pages whose URL is not blocked, all columns kept, whatever their names; null URLs stay, repeated rows stay repeated."""
+    name = fresh("_blocked", pages)
+    bad = url_filter(pages, rules, url_col).where("decision = 'block'").select(F.col("url").alias(name))
+    return pages.join(bad, pages[url_col] == F.col(name), "left_anti")

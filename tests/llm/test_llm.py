@@ -684,12 +684,41 @@ def test_url_filter(spark):
     for size in (1, 8, 64):
         got = url_filter.url_filter(pages, rules, prefix_hex=size).collect()
         assert {r.url: r.decision for r in got} == want and len(got) == len(want)
+    pages = pages.selectExpr("*", "url as _blocked", "url as _BLOCKED_", "url as _rule")
     left = url_filter.filter_pages(pages, rules)
     assert left.columns == pages.columns and left.count() == sum(v != "block" for v in want.values())
     assert url_filter.url_filter(pages.limit(0), rules).count() == 0
     assert {r.decision for r in url_filter.url_filter(pages, rules.limit(0)).collect()} == {"none"}
 
 
+def canonical(url):
+    """(host, path, query) by the standard library."""
+    import posixpath
+    from urllib.parse import urlsplit
+
+    u = urlsplit(re.sub(r"[\t\r\n]", "", url.strip(" ")).replace("\\", "/"))
+    fix = lambda x: re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)) if re.match(r"[A-Za-z0-9._~-]", chr(int(m[1], 16))) else m[0].upper(), x)
+    p = fix(u.path)
+    path = posixpath.normpath("/" + p.lstrip("/"))
+    if p.endswith(("/", "/.", "/..")) and path != "/":
+        path += "/"
+    return fix(u.hostname or "").strip(".").lower(), path, fix(f"?{u.query}" if u.query else "")
+
+
+def test_url_expressions_by_library(spark):
+    urls = [
+        "http://ex.com/a/../b/./c//d", "http://ex.com/%2e%2E/%61b%2fc?x=%7e1", "https:\\\\ex.com\\a\\b", "http://u:p@EX.com.:80/a/..", "http://ex.com/../../x/", "http://ex.com", "http://ex.com/a%zzb%", "http://ex.com/a\n/b", "http://e%78.com/?q#f",
+        "http://ex.com/a/.", "http://ex.com/" + "a/../" * 3000 + "b", "http://ex.com/...//..a/b..",
+    ]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for r in df.select("url", url_filter.expressions(F.col("url")).alias("e")).collect():
+        host, path, query = canonical(r.url)
+        assert host + path in r.e and (not query or host + path + query in r.e), (r.url, r.e, host, path, query)
+        whole = {x for x in r.e if x.startswith(host + "/")}
+        folders = {path[: i + 1] for i, c in enumerate(path) if c == "/"}
+        assert whole == {host + f for f in folders | {path} | ({path + query} if query else set())}
+
+
 # pipeline
 
 
