@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.words import slices, tokenize
-from ravelin.runtime import prepare
+from ravelin.runtime import materialize, prepare
 
 #: Words in a row that count as a leak; an item of fewer words has to be there as a whole.
 MIN_WORDS = 13
-#: Items of fewer words than this are never looked for.
+#: An item of fewer words than this is leaked by documents that consist of it alone.
 MIN_ITEM_WORDS = 5
 #: Bytes of benchmark text looked up in one pass over the documents.
 PASS_BYTES = 8 << 20
@@ -43,6 +43,12 @@ class Tests:
         self.pos = self.at - base[self.item]
         self.ids = np.array([i for i, _ in items], np.int64)
         self.sizes = n
+        # texts of one id are one item
+        self.code = np.unique(self.ids, return_inverse=True)[1] if len(items) else np.zeros(0, np.int64)
+        self.short: dict[bytes, list[int]] = {}
+        for k in np.flatnonzero((n > 0) & (n < min_item_words)).tolist():
+            self.short.setdefault(w[base[k] : base[k + 1]].tobytes(), []).append(k)
+        self.short_most = max((len(k) // 8 for k in self.short), default=0)
         self.longest = int(self.left.max()) if len(self.left) else 0
 
 
@@ -56,7 +62,8 @@ def suffix_array(ranks: np.ndarray, bits: int, depth: int) -> tuple[np.ndarray,
     key = ranks.copy()
     for i in range(1, per):
         key <<= bits
-        key[: n - i] |= ranks[i:]
+        if i < n:
+            key[: n - i] |= ranks[i:]
     sa = np.argsort(key)
     ordered = key[sa]
     h = per
@@ -80,16 +87,37 @@ def suffix_array(ranks: np.ndarray, bits: int, depth: int) -> tuple[np.ndarray,
 
 def shard_matches(texts: list[str], t: Tests) -> list[np.ndarray]:
     """[document, item, words matched, word position in the document, in the item] of the longest match of each
-    document and item that share one; of equally long ones the first in the document, then in the item."""
-    none = [np.zeros(0, np.int64)] * 5
+    document and item id that share one; of equally long ones the first in the document, then in the item, then of the shorter text."""
     w, doc, _, _ = tokenize(texts)
-    if not len(w) or not t.longest:
+    if not len(w):
+        return [np.zeros(0, np.int64)] * 5
+    found = [_long_matches(w, doc, len(texts), t), _whole_matches(w, doc, len(texts), t)]
+    dd, item, length, dpos, ipos = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((item, t.sizes[item], ipos, dpos, -length, t.code[item], dd))
+    dd, item, length, dpos, ipos = dd[order], item[order], length[order], dpos[order], ipos[order]
+    code = t.code[item]
+    best = np.concatenate(([True], (dd[1:] != dd[:-1]) | (code[1:] != code[:-1]))) if len(dd) else np.zeros(0, bool)
+    return [dd[best], item[best], length[best], dpos[best], ipos[best]]
+
+
+def _whole_matches(w: np.ndarray, doc: np.ndarray, n: int, t: Tests) -> list[np.ndarray]:
+    """Documents that consist of a short item."""
+    size = np.bincount(doc, minlength=n)
+    base = np.concatenate(([0], np.cumsum(size)))
+    hits = [(d, k, size[d], 0, 0) for d in np.flatnonzero((size > 0) & (size <= t.short_most)).tolist() for k in t.short.get(w[base[d] : base[d + 1]].tobytes(), ())]
+    return [np.array(c, np.int64) for c in zip(*hits)] or [np.zeros(0, np.int64)] * 5
+
+
+def _long_matches(w: np.ndarray, doc: np.ndarray, n_docs: int, t: Tests) -> list[np.ndarray]:
+    """Maximal matches of at least the words needed."""
+    none = [np.zeros(0, np.int64)] * 5
+    if not t.longest:
         return none
     # a separator of rank 0 ends every document
-    base = np.searchsorted(doc, np.arange(len(texts) + 1))
+    base = np.searchsorted(doc, np.arange(n_docs + 1))
     at = np.arange(len(w)) + doc
     uniq, inv = np.unique(w, return_inverse=True)
-    ranks = np.zeros(len(w) + len(texts), np.int64)
+    ranks = np.zeros(len(w) + n_docs, np.int64)
     ranks[at] = inv + 1
     home = np.searchsorted(uniq, t.words).clip(max=len(uniq) - 1)
     known = np.where(uniq[home] == t.words, home + 1, -1)
@@ -149,11 +177,7 @@ def shard_matches(texts: list[str], t: Tests) -> list[np.ndarray]:
         length[act] += 1
     word = np.searchsorted(at, p)
     dd = doc[word]
-    dpos, item = word - base[dd], t.item[s]
-    order = np.lexsort((t.pos[s], dpos, -length, item, dd))
-    dd, item, length, dpos, ipos = dd[order], item[order], length[order], dpos[order], t.pos[s][order]
-    best = np.concatenate(([True], (dd[1:] != dd[:-1]) | (item[1:] != item[:-1]))) if len(dd) else np.zeros(0, bool)
-    return [dd[best], item[best], length[best], dpos[best], ipos[best]]
+    return [dd, t.item[s], length, word - base[dd], t.pos[s]]
 
 
 def _passes(bench: DataFrame, item_col: str, text_col: str, min_words: int, min_item_words: int, pass_bytes: int) -> Iterator[Tests]:
@@ -162,8 +186,10 @@ def _passes(bench: DataFrame, item_col: str, text_col: str, min_words: int, min_
     total = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(total / pass_bytes))
     for k in range(n):
-        part = b if n == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield Tests([(r.i, r.t) for r in part.orderBy("i", "t").collect()], min_words, min_item_words)
+        part = b if n == 1 else b.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
+        t = Tests([(r.i, r.t) for r in part.orderBy("i", "t").collect()], min_words, min_item_words)
+        t.alone = n == 1
+        yield t
 
 
 def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
@@ -171,10 +197,12 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     """The longest verbatim match of every affected document with every benchmark item it leaks:
     (doc_id, item_id, match_words, item_words, doc_pos, item_pos), positions in words from 0.
 
-    Words are compared in lower case without punctuation. Null ids or texts of documents, and null items, never match;
-    empty texts and items below min_item_words neither. Of equally long matches the first in the document, then in the
-    item counts. Repeated documents each give their rows. The benchmark is sent to the tasks in passes of at most
-    pass_bytes, so that a large one costs further passes rather than memory.
+    Words are compared in lower case without punctuation. Null ids or texts of documents, and null items, never match,
+    nor do texts and items without a word. An item below min_item_words words is leaked by documents that consist of it
+    alone. Of equally long matches the first in the document, then in the item counts. Several texts of one item id are one
+    item, whose longest match counts. Repeated documents each give their rows; other columns are ignored, whatever their
+    names. The benchmark is sent to the tasks in passes of at most pass_bytes; where there are several, each pass is
+    written before the next one, so that a large benchmark costs passes rather than memory.
     """
     prepare(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null and _text is not null")
@@ -189,13 +217,15 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=schema.replace(" bigint", "").split(", "))
 
         one = d.mapInArrow(rows, schema)
+        if not t.alone:
+            one = materialize(one, "leaks")
         out = one if out is None else out.union(one)
     return out
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                   min_words: int = MIN_WORDS, min_item_words: int = MIN_ITEM_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """Rows of docs that leak no benchmark item, all columns kept; null texts stay. A filter: nothing is shuffled."""
+    """Rows of docs that leak no benchmark item, all columns kept, whatever their names; null texts stay. A filter: nothing is shuffled."""
     prepare(docs.sparkSession)
     out = docs
     for t in _passes(bench, item_col, item_text, min_words, min_item_words, pass_bytes):
@@ -207,17 +237,20 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
                 yield b.filter(pa.array(keep))
 
         out = out.mapInArrow(rows, docs.schema)
+        if not t.alone:
+            out = materialize(out, "clean")
     return out
 
 
 ORACLE_SQL = rf"""
 WITH dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-bt AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-bg AS (SELECT item_id, len(w) AS n, least(len(w), {MIN_WORDS}) AS g, w, unnest(range(0, len(w) - least(len(w), {MIN_WORDS}) + 1)) AS ipos FROM bt WHERE len(w) >= {MIN_ITEM_WORDS}),
-bh AS (SELECT item_id, n, g, ipos, array_to_string(w[ipos + 1:ipos + g], ' ') AS gram FROM bg),
+bt AS (SELECT *, row_number() OVER () AS tid FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+bg AS (SELECT item_id, tid, len(w) AS n, least(len(w), {MIN_WORDS}) AS g, w, unnest(range(0, len(w) - least(len(w), {MIN_WORDS}) + 1)) AS ipos FROM bt WHERE len(w) >= {MIN_ITEM_WORDS}),
+bh AS (SELECT item_id, tid, n, g, ipos, array_to_string(w[ipos + 1:ipos + g], ' ') AS gram FROM bg),
 dg AS (SELECT doc_id, w, g, unnest(range(0, len(w) - g + 1)) AS dpos FROM dt, (SELECT DISTINCT g FROM bh) WHERE len(w) >= g),
 dh AS (SELECT doc_id, g, dpos, array_to_string(w[dpos + 1:dpos + g], ' ') AS gram FROM dg),
-hit AS (SELECT doc_id, item_id, n, g, dpos, ipos, dpos - row_number() OVER (PARTITION BY doc_id, item_id, dpos - ipos ORDER BY dpos) AS island, dpos - ipos AS diag FROM dh JOIN bh USING (g, gram)),
-run AS (SELECT doc_id, item_id, n, min(dpos) AS dpos, min(ipos) AS ipos, count(*) + g - 1 AS len FROM hit GROUP BY doc_id, item_id, n, g, diag, island),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY len DESC, dpos, ipos) AS rn FROM run)
+hit AS (SELECT doc_id, item_id, tid, n, g, dpos, ipos, dpos - row_number() OVER (PARTITION BY doc_id, tid, dpos - ipos ORDER BY dpos) AS island, dpos - ipos AS diag FROM dh JOIN bh USING (g, gram)),
+run AS (SELECT doc_id, item_id, n, min(dpos) AS dpos, min(ipos) AS ipos, count(*) + g - 1 AS len FROM hit GROUP BY doc_id, item_id, tid, n, g, diag, island
+  UNION ALL SELECT doc_id, item_id, len(dt.w), 0, 0, len(dt.w) FROM dt JOIN bt ON dt.w = bt.w AND len(bt.w) BETWEEN 1 AND {MIN_ITEM_WORDS - 1}),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY len DESC, dpos, ipos, n) AS rn FROM run)
 SELECT doc_id, item_id, CAST(len AS BIGINT) AS match_words, CAST(n AS BIGINT) AS item_words, CAST(dpos AS BIGINT) AS doc_pos, CAST(ipos AS BIGINT) AS item_pos FROM best WHERE rn = 1"""

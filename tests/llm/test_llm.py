@@ -637,9 +637,10 @@ def brute_matches(docs, items, least=decontaminate.MIN_WORDS):
                     n = 0
                     while p + n < len(w) and q + n < len(b) and w[p + n] == b[q + n]:
                         n += 1
-                    if n >= min(least, len(b)) and len(b) >= decontaminate.MIN_ITEM_WORDS and (best is None or n > best[0]):
+                    enough = n >= min(least, len(b)) if len(b) >= decontaminate.MIN_ITEM_WORDS else b == w and n == len(b)
+                    if enough and (best is None or n > best[0]):
                         best = (n, p, q)
-            if best:
+            if best and (-best[0], *best[1:]) < (-out.get((i, k), (0,))[0], *out.get((i, k), (0, 0, 0))[1:]):
                 out[i, k] = best
     return out
 
@@ -657,7 +658,8 @@ def test_suffix_arrays_brute_force(spark):
             a = rng.randrange(max(1, len(part) - 15))
             t += " " + " ".join(part[a : a + rng.randint(10, 30)]) + " " + make(20)
         docs.append((i, t))
-    docs += [(50, docs[1][1]), (51, ""), (52, None), (None, items[0][1])]
+    items += [(2, make(25)), (2, items[2][1]), (3, items[5][1]), (20, "b a"), (21, "B, a!"), (22, "c"), (23, "")]
+    docs += [(50, docs[1][1]), (51, ""), (52, None), (None, items[0][1]), (53, "b a"), (54, "b a c"), (55, "C."), (56, items[12][1])]
     d = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id bigint, text string, item_id int, w string")
     b = spark.createDataFrame([*items, (99, None), (None, "a b c d a b c d a b c d a b c")], "item_id bigint, text string")
     want = brute_matches([x for x in docs if x[0] is not None], items)
@@ -667,8 +669,11 @@ def test_suffix_arrays_brute_force(spark):
     kept = {r.doc_id for r in decontaminate.decontaminate(d, b).collect()}
     assert kept - {None} == {i for i, _ in docs if i is not None} - {i for i, _ in want}
     assert decontaminate.matches(d, b.limit(0)).count() == 0 and decontaminate.matches(d.limit(0), b).count() == 0
-    odd = odd_docs(spark)
-    assert decontaminate.decontaminate(odd, b).columns == odd.columns
+    odd = odd_docs(spark, items[0][1] + " " + make(20), "c")
+    for size in (decontaminate.PASS_BYTES, 100):
+        kept = decontaminate.decontaminate(odd, b, pass_bytes=size)
+        assert kept.columns == odd.columns and kept.count() == odd.count() - len({i for i, _ in brute_matches([(100, items[0][1]), (101, "c")], items)})
+    assert decontaminate.matches(odd, b).where("doc_id < 100").count() == 0
 
 
 # 10
