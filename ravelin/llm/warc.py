@@ -49,15 +49,25 @@ def unescape(text: Column) -> Column:
     names = F.create_map(*(F.lit(x) for item in ENTITIES.items() for x in item))
     odd = F.create_map(*(F.lit(x) for item in CP1252.items() for x in item))
 
-    def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});", 1)
-        number = F.when(name.rlike("^#[0-9]"), F.conv(F.substr(name, F.lit(2)), 10, 10)).when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).cast("bigint")
-        char = F.when(number.isNotNull(), F.coalesce(F.try_element_at(odd, number.cast("int")), _point(number))).when(name != "", F.try_element_at(names, name))
-        return F.coalesce(F.concat(char, F.substr(p, F.length(name) + F.lit(2))), F.concat(F.lit("&"), p))
-
-    parts = F.split(text, "&")
-    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - F.lit(1), F.lit(0))), piece)
-    return F.when(F.instr(text, "&") > 0, F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+    def named(p: Column) -> Column:
+        return F.struct(p.alias("p"), F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});", 1).alias("name"))
+
+    def numbered(x: Column) -> Column:
+        name = x["name"]
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
+        return F.struct(x["p"].alias("p"), name.alias("name"), F.when(F.startswith(name, F.lit("#")), digits.cast("int")).alias("number"))
+
+    def piece(x: Column) -> Column:
+        char = F.when(x["number"].isNotNull(), F.coalesce(F.try_element_at(odd, x["number"]), _point(x["number"]))).when(x["name"] != "", F.try_element_at(names, x["name"]))
+        return F.coalesce(F.concat(char, F.substr(x["p"], F.length(x["name"]) + F.lit(2))), F.concat(F.lit("&"), x["p"]))
+
+    # an array of one holds what is used several times, so that it is computed once
+    def pieces(parts: Column) -> Column:
+        rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - F.lit(1), F.lit(0)))
+        return F.concat(parts[0], F.array_join(F.transform(F.transform(F.transform(rest, named), numbered), piece), ""))
+
+    whole = lambda t: F.when(F.instr(t, "&") > 0, F.transform(F.array(F.split(t, "&")), pieces)[0]).otherwise(t)
+    return F.transform(F.array(text), whole)[0]
 
 
 def plain_text(html: Column) -> Column:
