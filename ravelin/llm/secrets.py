@@ -1,8 +1,10 @@
 """Secret scan by assignment-aware lexing.
 
 Assignment operators are found in the text and the syntax around each is parsed: the name before it, and behind it
-literals, names and their concatenations. Literals of names assigned before are propagated into later expressions, and every name-literal
-pair is scored by how sensitive the name is and how random the literal looks.
+literals, names, decoding calls and their concatenations. XML elements, `export NAME value` commands and private keys that
+stand by themselves are pairs too. Literals of names assigned before are propagated into later expressions, until the name
+gets a value that isn't known; a name is one constant all over a text, scopes are not told apart. Every name-literal pair
+is scored by how sensitive the name is and how random the literal looks.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from ravelin.runtime import prepare
 
 THRESHOLD = 0.6
 _OPERATOR = re.compile(r"[=:]")
-_NAME = re.compile(r"[\"'`]?((?:[A-Za-z_$@][\w$-]*(?:\.|\[[\"'])?)*[A-Za-z_$][\w$-]*)[\"'`]?\]?\s*(?:\([^()\n]{0,40}\)\s*)?[:+?|]?$")
+#: What ends before an operator, read backwards from it: a mark, an argument list, a bracket, a quote, and the name. Every pattern here is
+#: linear in what it reads, whatever the text.
+_NAME_BACK = re.compile(r"[:+?|]?\s*(?:\)[^()\n]*\(\s*)?\]?[\"'`]?((?:[\w$@.-]|[\"']\[)+)")
 #: Triple-quoted and backticked literals run over lines, other quotes only around a PEM block.
 _STRING = re.compile(r"[rbfuRBFU]{0,2}(?:(?P<q>\"\"\"|''')(?P<a>(?:\\[\s\S]|(?!(?P=q))[^\\])*)(?P=q)|(?P<p>[\"'])(?P<b>-----BEGIN [A-Z0-9 ]+-----[^\"'`]*?-----END [A-Z0-9 ]+-----\s*)(?P=p)|(?P<t>`)(?P<c>(?:\\[\s\S]|[^\\`])*)`|(?P<s>[\"'])(?P<d>(?:\\.|(?!(?P=s))[^\\\n])*)(?P=s))")
 _BLOCK = re.compile(r"[|>][0-9+-]{0,2}[ \t]*(?:#[^\n]*)?\n")
@@ -34,7 +38,12 @@ _BARE = re.compile(r"[^\s\"'`,;#(){}\[\]<>]+")
 _IDENT = re.compile(r"[A-Za-z_$][\w$.]*")
 _JOIN = re.compile(r"\s*(?:\+|\.\.|\.(?=\s*[\"'$])|&|~)\s*|[ \t]+(?=[\"'])")
 _TYPE = re.compile(r"\s*[A-Za-z_][\w<>\[\].|?]*\s*=(?!=)")
-_TYPED = re.compile(r"([A-Za-z_$][\w$]*)\s*:\s*[A-Za-z_][\w<>\[\].|?]*$")
+_TYPED_BACK = re.compile(r"[\w<>\[\].|?]*[A-Za-z_]\s*:\s*([\w$]+)")
+#: A call, those that only rewrite their literal, a reference to something that the text doesn't hold, elements, commands and keys.
+_CALL = re.compile(r"[A-Za-z_][\w.]*\(\s*")
+_DECODE = re.compile(r"(?:decode|bytes|str|b64|unhex|fromhex|encode|quote)\w*\(\s*$", re.I)
+_CODE = re.compile(r"([A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*)([(\[]|(?![\w@:/+=-]))")
+_OTHER = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>|^[ \t]*(?:ENV|ARG|export|setenv|set)[ \t]+([A-Za-z_]\w*)[ \t]+([^\s=]\S*)[ \t]*$|(-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN)[^\"'`<])*?-----END [A-Z0-9 ]+-----)", re.M)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Parts of names and how sensitive they are.
 NAMES = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "pass": 0.7, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0,
@@ -58,13 +67,19 @@ def literal_score(s: str, sensitive: bool = False) -> float:
     """How much a literal looks like a secret: length and entropy by its alphabet; 1 for a private key, 0 for placeholders and prose. Several words are prose unless they are given to a sensitive name and hold no function word."""
     if _PRIVATE_KEY.search(s):
         return 1.0
-    if len(s) < 6 or PLACEHOLDERS.match(s) or s.count(" ") > 2 and (not sensitive or "\n" in s or _PROSE.search(s)):
+    if not s or PLACEHOLDERS.match(s) or s.count(" ") > 2 and (not sensitive or "\n" in s or _PROSE.search(s)):
         return 0.0
-    most = math.log2(min(len(s), 16 if re.fullmatch(r"[0-9a-fA-F-]+", s) else 64))
+    most = math.log2(min(max(len(s), 8), 16 if re.fullmatch(r"[0-9a-fA-F-]+", s) else 64))
     mixed = (any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s) + any(not c.isalnum() for c in s)) / 4
     return min(1.0, 0.5 * min(1.0, entropy(s) / most) + 0.3 * min(1.0, len(s) / 20) + 0.4 * mixed)
 
 
+def _path(s: str) -> bool:
+    """Whether dotted words are a path through code rather than a token: none is long or mixes digits with both cases."""
+    parts = re.split(r"\.|->|::", s)
+    return len(parts) > 1 and not any(len(x) > 24 or re.search(r"\d", x) and re.search("[a-z]", x) and re.search("[A-Z]", x) for x in parts)
+
+
 def _expand(s: str, known: dict[str, str]) -> tuple[str, bool]:
     """s with $NAME, ${NAME} and $(NAME) of known names replaced, and whether there were any."""
     if "$" not in s:
@@ -94,6 +109,8 @@ def _value(text: str, at: int, known: dict[str, str]) -> tuple[str, int, int, bo
     """(literal, start, end, propagated) of the expression at a position: strings and known names joined by concatenation, or one bare word."""
     parts, start, end, via = [], at, at, False
     pos = at
+    if (call := _CALL.match(text, at)) and _DECODE.search(call.group()[-40:]) and (inner := _STRING.match(text, call.end())) and text[inner.end() : inner.end() + 1] in ("", ")", ","):
+        start = pos = call.end()
     while True:
         if m := _STRING.match(text, pos):
             literal = next(x for x in m.group("a", "b", "c", "d") if x is not None)
@@ -114,11 +131,28 @@ def _value(text: str, at: int, known: dict[str, str]) -> tuple[str, int, int, bo
         return "".join(parts), start, end, via
     if (m := _BARE_VARIABLE.match(text, at)) and (found := _expand(m.group(), known))[1]:
         return found[0], m.start(), m.end(), True
+    if (m := _CODE.match(text, at)) and (m[2] or _path(m[1])):
+        return None
     if m := _BARE.match(text, at):
         return m.group().rstrip(".,:"), m.start(), m.start() + len(m.group().rstrip(".,:")), False
     return None
 
 
+def _left(text: str, i: int) -> tuple[str, str]:
+    """What stands before an operator in its line, or as much of it as holds the whole name, and the name."""
+    line = text.rfind("\n", 0, i) + 1
+    reach = 64
+    while True:
+        at = max(line, i - reach)
+        left = text[at:i].rstrip()
+        m = _NAME_BACK.match(left[::-1])
+        typed = _TYPED_BACK.match(left[::-1])
+        whole = m.end() < len(left) and not (typed and typed.end() == len(left)) if m else not left.endswith((")", "]"))
+        if at == line or whole:
+            return left, m[1][::-1].lstrip("0123456789.-") if m else ""
+        reach *= 4
+
+
 def assignments(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
     """(name, literal, start, end, propagated) of every assignment, in order; start and end enclose the expression."""
     known: dict[str, str] = {}
@@ -127,25 +161,24 @@ def assignments(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
         i = op.start()
         if i < done or text[i + 1 : i + 2] == "=" or text[i - 1 : i] in ("=", "!", "<", ">") and i or text.startswith("://", i):
             continue
-        line = max(text.rfind("\n", max(0, i - 200), i) + 1, i - 200, 0)
-        left = text[line:i].rstrip()
-        name = _NAME.search(left)
+        left, name = _left(text, i)
         if not name or text[i] == ":" and _TYPE.match(text, i + 1):
             continue
-        if text[i] == "=" and (typed := _TYPED.search(left)):
-            name = typed
+        if text[i] == "=" and (typed := _TYPED_BACK.match(left[::-1])):
+            name = typed[1][::-1].lstrip("0123456789")
         at = i + 1
         while at < len(text) and (text[at] in " \t" or at == i + 1 and text[at] in "=>"):
             at += 1
         v = None
-        if text[i] == ":":
-            row = text[line:i]
+        if text[i] == ":" and text[at : at + 1] in ("|", ">"):
+            row = text[text.rfind("\n", 0, i) + 1 : i]
             v = _block(text, at, len(row) - len(row.lstrip(" ")))
         v = v or _value(text, at, known)
+        target = re.split(r"[\[\"']+", name)[-1]
         if v is None:
+            known.pop(target, None)
             continue
         quoted = text[v[1] : v[1] + 1] in "\"'`" or text[v[1] : v[1] + 1].isalpha() and text[v[1] + 1 : v[1] + 2] in ("\"", "'")
-        target = re.split(r"[\[\"']+", name.group(1))[-1]
         known[target] = v[0]
         # what runs over lines may hold assignments itself
         if (quoted or v[3]) and "\n" not in text[v[1] : v[2]]:
@@ -153,23 +186,38 @@ def assignments(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
         yield target, *v
 
 
+def others(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
+    """Pairs without an operator: XML elements, commands that set a variable, and private keys, named private_key."""
+    for m in _OTHER.finditer(text):
+        k = 2 if m[1] else 4 if m[3] else 5
+        literal = m[k].strip()
+        start = m.start(k) + m[k].find(literal)
+        yield (m[1] or m[3] or "private_key").rpartition(":")[2], literal, start, start + len(literal), False
+
+
 def find(text: str, threshold: float = THRESHOLD) -> list[tuple[str, str, int, int, bool, float]]:
-    out = []
-    for name, literal, s, e, via in assignments(text):
-        n = name_score(name)
-        if (n := max(n, float(bool(_PRIVATE_KEY.search(literal))))) and (score := n * literal_score(literal, n >= 0.9)) >= threshold * (0.8 if n >= 0.9 else 1.0):
-            out.append((name, literal, s, e, via, round(score, 4)))
-    return out
+    """(name, literal, start, end, propagated, score) of likely secrets in order; what an assignment reports isn't reported again."""
+
+    def likely(pairs: Iterator[tuple]) -> list[tuple]:
+        out = []
+        for name, literal, s, e, via in pairs:
+            n = name_score(name)
+            if (n := max(n, float(bool(_PRIVATE_KEY.search(literal))))) and (score := n * literal_score(literal, n >= 0.9)) >= threshold * (0.8 if n >= 0.9 else 1.0):
+                out.append((name, literal, s, e, via, round(score, 4)))
+        return out
+
+    out = likely(assignments(text))
+    return sorted(out + [x for x in likely(others(text)) if not any(s < x[3] and x[2] < e for _, _, s, e, _, _ in out)], key=lambda x: x[2])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, name, literal_sha256, length, start, end, propagated, score) of every likely secret.
 
     Literals are reported by digest only. Null and empty texts give no rows; a null id is kept; repeated rows and
-    repeated assignments each give their rows. Other columns are ignored. Nothing is shuffled.
+    repeated assignments each give their rows. Other columns are ignored, whatever their names. Nothing is shuffled.
     """
     prepare(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").contains("=") | F.col("_text").contains(":"))
+    d = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(r"[=:]|</|-----BEGIN|(?:ENV|ARG|export|setenv|set)[ \t]"))
     names = ["doc_id", "name", "literal_sha256", "length", "start", "end", "propagated", "score"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64()]
 

@@ -184,6 +184,40 @@ def test_secret_literals(code, want):
     assert [f[:2] for f in secrets.find(code)] == want
 
 
+@pytest.mark.parametrize(
+    "code, want",
+    [
+        ("<config><password>Zx81kd9Qw0</password><name>x</name></config>", [("password", "Zx81kd9Qw0")]),
+        ('<s:secret-key type="a">\n  Zx81kd9Qw0eR7tY2 </s:secret-key>', [("secret-key", "Zx81kd9Qw0eR7tY2")]),
+        ("text\n" + PEM + "\nmore", [("private_key", PEM)]),
+        ("  setenv API_TOKEN abcD1234efGH5678", [("API_TOKEN", "abcD1234efGH5678")]),
+        ("ENV DB_PASSWORD p4ssW0rd!x", [("DB_PASSWORD", "p4ssW0rd!x")]),
+        ('pwd="Qw3!x"', [("pwd", "Qw3!x")]),
+        ('password = "id"', []),
+        ('secret_key = os.environ["APP_SECRET_9x"]', []),
+        ("secret_key = config.get_value", []),
+        ("token: eyJhbGciOi9x.eyJzdWIi1aB.SflKxw0Qz", [("token", "eyJhbGciOi9x.eyJzdWIi1aB.SflKxw0Qz")]),
+        ('token = make_token("abcD1234efGH5678")', []),
+        ('password = base64.b64decode("Zx81kd9Qw0eR7tY2")', [("password", "Zx81kd9Qw0eR7tY2")]),
+        ('A = "abcD1234efGH5678"\nA = g()\ntoken = A', []),
+        ('x("' + "y" * 5000 + '"); api_token = "abcD1234efGH5678"', [("api_token", "abcD1234efGH5678")]),
+        ("p" * 300 + '_password = "Zx81kd9Qw0"', [("p" * 300 + "_password", "Zx81kd9Qw0")]),
+        ("x" * 250 + ("y: 1; " * 60) + "\n" + " " * 300 + "password: |\n" + " " * 302 + "Zx81kd9Qw0\n" + " " * 300 + "next: 1", [("password", "Zx81kd9Qw0")]),
+        ("setPassword(" + "a, " * 60 + 'b) = "Zx81kd9Qw0"', [("setPassword", "Zx81kd9Qw0")]),
+    ],
+)
+def test_secret_syntax_beyond_assignments(code, want):
+    assert [f[:2] for f in secrets.find(code)] == want
+
+
+@pytest.mark.parametrize("piece", ["y", "y.", "a: ", "a=", "(", ")", "x(", "<a>", "<a> ", " ", "-----BEGIN PRIVATE KEY-----", "'", '"""', "a=b(", "a['", "| ", "a: string", "ENV ", "$", "${a"])
+def test_secret_time(piece):
+    """Long texts of one piece take time in proportion."""
+    start = time.time()
+    secrets.find(piece * (60_000 // len(piece)) + ' = "x"')
+    assert time.time() - start < 5
+
+
 def test_secret_scan(spark):
     d = docs_of(spark, "/root/testdata/sf0.01")
     want = sorted((r.doc_id, m.start(1)) for r in d.collect() for m in re.finditer(r'(?i)token = ("[0-9a-f]{40}")', r.text))
