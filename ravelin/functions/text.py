@@ -16,13 +16,13 @@ MIN_LEN, MAX_LEN = 2, 40
 
 def terms(text: Column, stop: bool = True, stem: bool = False) -> Column:
     """Array of the terms of a text, in order and with repeats; null for null. Possessives need no step of their own, as
-    letter tokens split them off and the length filter drops the rest."""
-    t = F.transform(F.regexp_extract_all(F.regexp_replace(text, "[.,]+", " "), F.lit(r"(\p{L}+)")), lambda w: F.lower(w))
-    if stop:
-        t = F.filter(t, lambda w: ~w.isin(STOPWORDS))
-    if stem:
-        t = stem_all(t)
-    return F.filter(t, lambda w: (F.length(w) >= MIN_LEN) & (F.length(w) <= MAX_LEN))
+    letter tokens split them off and the length filter drops the rest. One pass of a pattern leaves the letters, which are
+    then lowered as a whole, so that a letter whose lower case holds a mark stays one token."""
+    t = F.split(F.lower(F.regexp_replace(text, r"\P{L}+", " ")), " ")
+    fits = lambda w: (F.length(w) >= MIN_LEN) & (F.length(w) <= MAX_LEN)
+    if not stem:
+        return F.filter(t, lambda w: fits(w) & ~w.isin(STOPWORDS) if stop else fits(w))
+    return F.filter(stem_all(F.filter(t, lambda w: ~w.isin(*STOPWORDS, "") if stop else w != "")), fits)
 
 
 @pandas_udf(ArrayType(StringType()))

@@ -1,11 +1,17 @@
-"""Inverted postings and BM25 over one or several text fields."""
+"""Inverted postings and BM25 over one or several text fields.
+
+Texts are tokenised once: postings with the lengths of their documents are written, and everything else reads them.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.text import terms
+from ravelin.runtime import materialize
 
 K1, B = 1.2, 0.75
 
@@ -17,8 +23,8 @@ def exploded(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analy
 
 
 def postings(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analyzer) -> DataFrame:
-    """(field, term, doc_id, tf)."""
-    return exploded(docs, fields, id_col, **analyzer).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"))
+    """(field, term, doc_id, tf, dl)."""
+    return exploded(docs, fields, id_col, **analyzer).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
 def vocabulary(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analyzer) -> DataFrame:
@@ -27,9 +33,21 @@ def vocabulary(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **ana
     return text.select(F.explode(F.array_distinct(terms(F.col("_t"), **analyzer))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _lengths(docs: DataFrame, fields: list[str], id_col: str, **analyzer) -> DataFrame:
-    per = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(terms(F.col(f), **analyzer)).alias("dl")) for f in fields))).alias("x")
-    return docs.select(F.col(id_col).alias("doc_id"), per).select(F.col("x.field").alias("field"), "doc_id", F.col("x.dl").alias("dl")).where("dl > 0")
+@dataclass(frozen=True)
+class Index:
+    """Written postings (field, term, doc_id, tf, dl), the number of documents, and the average length of each field."""
+
+    postings: DataFrame
+    n: int
+    average: dict[str, float]
+
+
+def index(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analyzer) -> Index:
+    """Tokenise docs once and write the postings. Rows that share an id are one document."""
+    p = materialize(postings(docs, fields, id_col, **analyzer), "postings")
+    # a document's length is that of all its postings, so that the sums of tf and of documents give the average
+    sums = p.groupBy("field").agg(F.sum("tf").alias("tokens"), F.count_distinct("doc_id").alias("docs")).collect()
+    return Index(p, docs.count(), {r["field"]: r["tokens"] / r["docs"] for r in sums})
 
 
 def weight(tf: Column, df: Column, dl: Column, avgdl: Column, n: Column) -> Column:
@@ -37,19 +55,23 @@ def weight(tf: Column, df: Column, dl: Column, avgdl: Column, n: Column) -> Colu
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _weights(docs: DataFrame, fields: list[str], vocab: DataFrame | None, id_col: str, **analyzer) -> DataFrame:
-    """(term, doc_id, score): the field scores of every posting added up. Only terms of vocab are counted, if given: the semi-join comes before
-    the shuffle. Collection figures are one row, joined by a broadcast of a single row."""
-    tokens = exploded(docs, fields, id_col, **analyzer)
-    if vocab is not None:
-        tokens = tokens.join(vocab.select("term").distinct(), "term", "left_semi")
-    post = tokens.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    df = post.groupBy(F.col("field").alias("f1"), F.col("term").alias("t1")).agg(F.count("*").alias("df"))
-    dl = _lengths(docs, fields, id_col, **analyzer)
-    stat = dl.groupBy(F.col("field").alias("f2")).agg(F.avg("dl").alias("avgdl")).crossJoin(docs.agg(F.count("*").alias("n")))
-    x = post.join(df, (F.col("field") == F.col("f1")) & (F.col("term") == F.col("t1"))).join(F.broadcast(stat), F.col("field") == F.col("f2"))
-    w = weight(F.col("tf"), F.col("df"), F.col("dl"), F.col("avgdl"), F.col("n"))
-    return x.select("term", "doc_id", w.alias("w")).groupBy("term", "doc_id").agg(F.sum("w").alias("score"))
+def weights(ix: Index, vocab: DataFrame | None = None, threshold: int = 0) -> DataFrame:
+    """(term, doc_id, score, hits): the field scores of every posting added up, and the number of documents of the term. Only terms of vocab
+    and of more than threshold documents, before anything is joined."""
+    p = ix.postings if vocab is None else ix.postings.join(vocab.select("term").distinct(), "term", "left_semi")
+    single = len(ix.average) < 2
+    by = ["term"] if single else ["field", "term"]
+    df = p.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.count("*").alias("df"))
+    if single:
+        df = df.where(F.col("df") > threshold)
+    x = p.join(df, [F.col(c) == F.col(f"_{c}") for c in by])
+    average = F.create_map(*(F.lit(v) for item in ix.average.items() for v in item))[F.col("field")] if ix.average else F.lit(1.0)
+    w = weight(F.col("tf"), F.col("df"), F.col("dl"), average, F.lit(ix.n)).alias("score")
+    if single:
+        return x.select("term", "doc_id", w, F.col("df").alias("hits"))
+    every = x.select("term", "doc_id", w).groupBy("term", "doc_id").agg(F.sum("score").alias("score"))
+    hits = p.groupBy(F.col("term").alias("_t")).agg(F.count_distinct("doc_id").alias("hits")).where(F.col("hits") > threshold)
+    return every.join(hits, F.col("term") == F.col("_t")).select("term", "doc_id", "score", "hits")
 
 
 def top(df: DataFrame, by: list[str], k: int, order: list[Column]) -> DataFrame:
@@ -58,17 +80,20 @@ def top(df: DataFrame, by: list[str], k: int, order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def term_topk(docs: DataFrame, fields: list[str], k: int, threshold: int = 0, id_col: str = "doc_id", **analyzer) -> DataFrame:
-    """(term, hits, rank, doc_id, score): the k best documents of every term with more than threshold hits."""
-    w = _weights(docs, fields, None, id_col, **analyzer).withColumn("score", F.round("score", 6))
-    hits = w.groupBy(F.col("term").alias("_t")).agg(F.count("*").alias("hits")).where(F.col("hits") > threshold)
-    ranked = top(w, ["term"], k, [F.desc("score"), F.col("doc_id")])
-    return ranked.join(hits, F.col("term") == F.col("_t")).select("term", "hits", "rank", "doc_id", "score")
+def term_topk(docs: DataFrame, fields: list[str], k: int, threshold: int = 0, id_col: str = "doc_id", index_analyzer: dict | None = None, **analyzer) -> DataFrame:
+    """(term, hits, rank, doc_id, score): the k best documents of every term with more than threshold hits.
+
+    With index_analyzer, documents are indexed by it and only terms that the other analyzer makes of them are looked up.
+    """
+    vocab = None if index_analyzer is None else vocabulary(docs, fields, id_col, **analyzer)
+    w = weights(index(docs, fields, id_col, **(analyzer if index_analyzer is None else index_analyzer)), vocab, threshold)
+    return top(w.withColumn("score", F.round("score", 6)), ["term"], k, [F.desc("score"), F.col("doc_id")]).select("term", "hits", "rank", "doc_id", "score")
 
 
-def query_topk(docs: DataFrame, queries: DataFrame, fields: list[str], k: int, id_col: str = "doc_id", qid: str = "item_id", qtext: str = "text", **analyzer) -> DataFrame:
-    """(qid, rank, doc_id, score): the k best documents of every query; repeated query terms count repeatedly."""
+def query_topk(docs: DataFrame, queries: DataFrame, fields: list[str], k: int, id_col: str = "doc_id", qid: str = "item_id", qtext: str = "text", index_analyzer: dict | None = None, **analyzer) -> DataFrame:
+    """(qid, rank, doc_id, score): the k best documents of every query; repeated query terms count repeatedly. Queries go
+    through the analyzer, documents through index_analyzer or else the same."""
     q = queries.select(F.col(qid).alias("qid"), F.explode(terms(F.col(qtext), **analyzer)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    w = _weights(docs, fields, q, id_col, **analyzer)
+    w = weights(index(docs, fields, id_col, **(analyzer if index_analyzer is None else index_analyzer)), q)
     scored = q.withColumnRenamed("term", "_t").join(w, F.col("_t") == F.col("term")).groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("score") * F.col("qtf")), 6).alias("score"))
     return top(scored, ["qid"], k, [F.desc("score"), F.col("doc_id")]).select("qid", "rank", "doc_id", "score")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import hashing, text, vectors
 from ravelin.operators import bins, evaluation, graph, knn, pir, ranking
-from ravelin.runtime import materialize, table
+from ravelin.runtime import materialize, small_enough, table
 from ravelin.sources import sinks
 
 K, TERM_K, THRESHOLD, CHOICES, BINS = 10, 10, 5, 1, 997
@@ -45,9 +45,26 @@ def _run(spark, d, k=K):
 
 
 def _qrels(spark, d):
-    """Judgements: a document that holds the benchmark text is relevant to it."""
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("_t"))
-    return _docs(spark, d).join(b, F.col("text").contains(F.col("_t"))).select(F.col("item_id").alias("qid"), "doc_id", F.lit(1).alias("rel"))
+    """Judgements: a document that holds the benchmark text is relevant to it.
+
+    They meet on three words from within the text, the second to the fourth, which a document that holds it has as whole words; texts of fewer than
+    five words, if there are any, are tried on every document as a list whose bytes are checked.
+    """
+    words = lambda c: F.split(c, r"[ \t\r\n]+")
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("_t")).where("_t is not null").withColumn("_w", words(F.col("_t")))
+    key = F.array_join(F.slice("_w", 2, 3), " ")
+    docs = _docs(spark, d).where("text is not null").select("doc_id", "text")
+    w = F.transform(F.array(words(F.col("text"))), lambda ws: F.array_distinct(F.zip_with(F.zip_with(ws, F.slice(ws, F.lit(2), F.size(ws)), lambda x, y: F.concat_ws(" ", x, y)), F.slice(ws, F.lit(3), F.size(ws)), lambda x, y: F.concat_ws(" ", x, y))))[0]
+    long = b.where(F.size("_w") >= 5).select("item_id", "_t", key.alias("_key"))
+    found = docs.select("doc_id", F.explode(w).alias("_gram")).join(long, F.col("_gram") == F.col("_key")).select("item_id", "_t", F.col("doc_id").alias("_doc"))
+    found = docs.join(found, (F.col("doc_id") == F.col("_doc")) & F.col("text").contains(F.col("_t"))).select("item_id", "doc_id")
+    short = b.where(F.size("_w") < 5).select("item_id", "_t")
+    if not short.isEmpty():
+        assert small_enough(short, "octet_length(_t)")
+        rows = F.array(*(F.struct(F.lit(r.item_id).alias("i"), F.lit(r["_t"]).alias("t")) for r in short.collect()))
+        hit = F.explode(F.filter(rows, lambda x: F.contains(F.col("text"), x["t"]))).alias("x")
+        found = found.union(docs.select("doc_id", hit).select("x.i", "doc_id"))
+    return found.distinct().select(F.col("item_id").alias("qid"), "doc_id", F.lit(1).alias("rel"))
 
 
 def _rows(spark, d):
@@ -223,23 +240,12 @@ def run_to_tsv(spark, d):
     return a.select(F.col("qid").cast("string").alias("qid"), F.posexplode("doc_ids").alias("_p", "doc_id")).select("qid", "doc_id", (F.col("_p") + 1).alias("rank"))
 
 
-@query("""
-SELECT doc_id, octet_length(encode(text)) AS word0, CAST(CASE WHEN strlen(text) = 0 THEN 0 ELSE
-  CAST(CAST('0x' || substr(rpad(hex(encode(text)), 16, '0'), 1, 15) AS BIGINT) AS HUGEINT) * 16 + CAST('0x' || substr(rpad(hex(encode(text)), 16, '0'), 16, 1) AS BIGINT) -
-  CASE WHEN substr(rpad(hex(encode(text)), 16, '0'), 1, 1) IN ('8','9','A','B','C','D','E','F') THEN 18446744073709551616 ELSE 0 END END AS BIGINT) AS word1
-FROM documents""")
-def string_grid(spark, d):
-    """Length word and first packed word of every text."""
-    g = hashing.to_grid(F.col("text"), 4)
-    return _docs(spark, d).select("doc_id", g[0].alias("word0"), g[1].alias("word1"))
-
-
 @query("""
 WITH h AS (SELECT doc_id, octet_length(encode(text)) AS n, CAST(ceil((ceil(octet_length(encode(text)) / 8) + 1) / 4) AS BIGINT) * 4 AS width, hex(encode(text)) AS raw FROM documents),
 w AS (SELECT doc_id, n, width, list_transform(regexp_extract_all(rpad(raw, CAST((width - 1) * 16 AS INTEGER), '0'), '[0-9A-F]{16}'), lambda x:
   CAST(CAST(CAST('0x' || substr(x, 1, 15) AS BIGINT) AS HUGEINT) * 16 + CAST('0x' || substr(x, 16, 1) AS BIGINT) - CASE WHEN substr(x, 1, 1) >= '8' THEN 18446744073709551616 ELSE 0 END AS BIGINT)) AS ws FROM h)
 SELECT doc_id, CAST(width AS INTEGER) AS n_words, sha256(n || ',' || array_to_string(ws, ',')) AS digest FROM w""")
-def string_grid_whole(spark, d):
+def string_grid(spark, d):
     """Number of words and digest of all words of every whole text's grid."""
     g = hashing.whole_grid(F.col("text"))
     return _docs(spark, d).select("doc_id", F.size(g).alias("n_words"), F.sha2(F.array_join(g, ","), 256).alias("digest"))
@@ -408,19 +414,22 @@ def xor_chunk_parity(spark, d):
 
 
 @query("""
-WITH q AS (SELECT o_orderkey // 32 AS batch, (o_custkey % 500) // 63 AS part FROM orders), n AS (SELECT batch, part, count(*) AS n FROM q GROUP BY ALL), m AS (SELECT batch, max(n) AS padded FROM n GROUP BY batch)
-SELECT m.batch, g.part, coalesce(n.n, 0) AS n, padded FROM m CROSS JOIN (SELECT unnest(range(0, 8)) AS part) g LEFT JOIN n ON n.batch = m.batch AND n.part = g.part""")
+WITH n AS (SELECT count(*) AS rows, CAST(ceil(count(*) / 8) AS BIGINT) AS size FROM embeddings),
+q AS (SELECT o_orderkey // 32 AS batch, (o_custkey % rows) // size AS part FROM orders, n), c AS (SELECT batch, part, count(*) AS n FROM q GROUP BY ALL), m AS (SELECT batch, max(n) AS padded FROM c GROUP BY batch)
+SELECT m.batch, g.part, coalesce(c.n, 0) AS n, padded FROM m CROSS JOIN (SELECT unnest(range(0, 8)) AS part) g LEFT JOIN c ON c.batch = m.batch AND c.part = g.part""")
 def batch_pad_plan(spark, d):
-    q = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 32).cast("bigint").alias("batch"), F.pmod("o_custkey", F.lit(500)).alias("idx"))
-    return pir.batch_plan(q, 63, 8)
+    p = pir.BatchParams(_rows(spark, d).count(), 16, 512)
+    q = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 32).cast("bigint").alias("batch"), F.pmod("o_custkey", F.lit(p.rows)).alias("idx"))
+    return pir.batch_plan(q, p.part_rows, p.partitions)
 
 
-@query(f"WITH {_WORDS} SELECT o_orderkey AS pos, idx, words[1] AS word FROM orders JOIN rows ON idx = o_custkey % (SELECT count(*) FROM rows)")
+@query(f"WITH {_WORDS} SELECT o_orderkey AS pos, idx, sha256(array_to_string(words, ',')) AS digest FROM orders JOIN rows ON idx = o_custkey % (SELECT count(*) FROM rows)")
 def plain_lookup(spark, d):
+    """All words of every row that an order asks for, by their digest."""
     rows = _rows(spark, d)
     n = rows.count()
     want = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.pmod("o_custkey", F.lit(n)).alias("idx"))
-    return pir.plain_lookup(rows, want, n, n).select("pos", "idx", F.col("words")[0].alias("word"))
+    return pir.plain_lookup(rows, want, n, n).select("pos", "idx", F.sha2(F.array_join("words", ","), 256).alias("digest"))
 
 
 @query()
@@ -433,9 +442,9 @@ def pir_hint_parities(spark, d):
     return _exploded(pir.hint_parities(rows, hints, p.chunk, p.set_size, n), "hint")
 
 
-@query()
+@query("SELECT vec_id AS idx, embedding AS vec FROM embeddings")
 def pir_client(spark, d):
-    """(idx, word): every row fetched privately, partition by partition, each by a client of its own."""
+    """(idx, vec): every vector fetched privately, all its words, partition by partition, each by a client of its own."""
     x = _vectors(spark, d).withColumn("words", vectors.pack_floats("vec")).select(F.col("id").alias("idx"), "words")
     parts = pir.layout(x, 63)
 
@@ -445,10 +454,27 @@ def pir_client(spark, d):
         c, out = pir.Client(rows, pir.Params(max(2, len(rows)), rows.shape[1] * 8)), []
         for i in range(len(rows)):
             try:
-                out.append(c.query(i)[0])
+                out.append(c.query(i))
             except pir.BudgetError:
                 c.preprocess()
-                out.append(c.query(i)[0])
-        return pd.DataFrame({"idx": g["idx"].to_numpy(), "word": np.array(out, np.uint64).view(np.int64)})
+                out.append(c.query(i))
+        return pd.DataFrame({"idx": g["idx"].to_numpy(), "vec": [np.asarray(w, np.uint64).view("<f4") for w in out]})
+
+    return parts.groupBy("part").applyInPandas(fetch, "idx bigint, vec array<float>")
 
-    return parts.groupBy("part").applyInPandas(fetch, "idx bigint, word bigint")
+
+@query(f"""
+WITH f AS (SELECT doc_id, 'source' AS field, {_terms("source")} AS ts FROM documents UNION ALL SELECT doc_id, 'text', {_terms("text")} FROM documents),
+tok AS (SELECT doc_id, field, unnest(ts) AS term FROM f), post AS (SELECT field, term, doc_id, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM post GROUP BY ALL),
+dl AS (SELECT field, doc_id, sum(tf) AS dl FROM post GROUP BY ALL), stat AS (SELECT field, avg(dl) AS avgdl, (SELECT count(*) FROM documents) AS n FROM dl GROUP BY field),
+w AS (SELECT term, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {ranking.K1 + 1} / (tf + {ranking.K1} * (1 - {ranking.B} + {ranking.B} * dl / avgdl))) AS score
+      FROM post JOIN df USING (field, term) JOIN dl USING (field, doc_id) JOIN stat USING (field) GROUP BY term, doc_id), {_run_sql()} SELECT qid, rank, doc_id, score FROM run""")
+def bm25_two_fields(spark, d):
+    """Scores of the source's name and of the text added up."""
+    return ranking.query_topk(_docs(spark, d), table(spark, d, "benchmark"), ["source", "text"], K)
+
+
+@query(f"WITH {_bm25()}, {_run_sql()}, {_GOLD}, gq AS (SELECT DISTINCT qid FROM gold), rr AS (SELECT gq.qid, coalesce(1.0 / CAST(min(run.rank) AS DOUBLE), 0.0) AS rr FROM gq LEFT JOIN (SELECT r.* FROM run r JOIN gold g ON r.qid = g.qid AND r.doc_id = g.doc_id) run ON run.qid = gq.qid GROUP BY gq.qid) SELECT round(avg(rr), 9) AS mrr, count(*) AS queries FROM rr")
+def bm25_mean_rr(spark, d):
+    """Mean reciprocal rank over all judged queries, those without an answer included."""
+    return evaluation.mrr_at_k(_run(spark, d), _qrels(spark, d), K).agg(F.round(F.avg("rr"), 9).alias("mrr"), F.count("*").alias("queries"))

@@ -14,16 +14,15 @@ ROWS = 65_536
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row, value): lines with their number in file order; one pass counts the lines of each split, a second numbers them."""
-    t = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_m"))
-    t = t.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit(2**33 - 1)))
-    sizes = t.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()
+    """(row, value): lines with their number, files in order of their paths; one pass counts the lines of each split of a file, a second
+    numbers them."""
+    t = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_m"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
     start, rows = 0, []
-    for r in sizes:
-        rows.append((r["_p"], start))
+    for r in sorted(t.groupBy("_f", "_b").agg(F.min("_m").alias("m"), F.count("*").alias("n")).collect()):
+        rows.append((r["_f"], r["_b"], start - r["m"]))
         start += r["n"]
-    at = spark.createDataFrame(rows, "_q bigint, _start bigint")
-    return t.join(F.broadcast(at), F.col("_p") == F.col("_q")).select((F.col("_start") + F.col("_i")).alias("row"), "value")
+    at = spark.createDataFrame(rows, "_g string, _c bigint, _shift bigint")
+    return t.join(F.broadcast(at), (F.col("_f") == F.col("_g")) & (F.col("_b") == F.col("_c"))).select((F.col("_m") + F.col("_shift")).alias("row"), "value")
 
 
 def _file_rows(spark: SparkSession, n: int, load, kind: str) -> DataFrame:
