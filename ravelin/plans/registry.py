@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import hashing, text, vectors
 from ravelin.operators import bins, evaluation, graph, knn, pir, ranking
+from ravelin.plans import files
 from ravelin.runtime import materialize, small_enough, table
 from ravelin.sources import sinks
 
@@ -478,3 +479,7 @@ def bm25_two_fields(spark, d):
 def bm25_mean_rr(spark, d):
     """Mean reciprocal rank over all judged queries, those without an answer included."""
     return evaluation.mrr_at_k(_run(spark, d), _qrels(spark, d), K).agg(F.round(F.avg("rr"), 9).alias("mrr"), F.count("*").alias("queries"))
+
+
+QUERIES |= files.QUERIES
+ORACLE_SQL |= files.ORACLE_SQL

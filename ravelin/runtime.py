@@ -40,17 +40,31 @@ def shared_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="ravelin-")
         spark.conf.set("spark.checkpoint.dir", folder)
         sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    folder = folder.rstrip("/")
+    if sc.master.split("[")[0] == "local" and "://" not in folder:
+        os.makedirs(folder, exist_ok=True)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
+def local_path(path: str) -> str:
+    """A path of the shared folder as numpy opens it: the folder has to be mounted."""
+    return path.removeprefix("file://")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ravelin_path = path
-    _written.add(path)
     return out
 
 

@@ -1,12 +1,17 @@
-"""Matrix files as DataFrames of (id, vec): each task maps its own rows of the file. Paths have to be visible to all executors."""
+"""Matrix files as DataFrames of (id, vec): each task reads its own rows of the file, by byte range.
+
+A path is one that all executors see, or a URI of a file system that pyarrow opens (file, hdfs, s3, gs).
+"""
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,29 +45,45 @@ def _file_rows(spark: SparkSession, n: int, load, kind: str) -> DataFrame:
     return starts.mapInArrow(read, f"id bigint, vec array<{'float' if kind == 'float' else 'bigint'}>")
 
 
+def _open(path: str):
+    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(name)
+
+
+def _part(path: str, dtype: np.dtype, offset: int, rows: int) -> np.ndarray:
+    with _open(path) as f:
+        return np.frombuffer(f.read_at(rows * dtype.itemsize, offset), dtype)
+
+
 def npy(spark: SparkSession, path: str, n: int | None = None, dim: int | None = None, kind: str = "float") -> DataFrame:
     """The first n rows of a two-dimensional .npy file of any number type; fewer rows than n, or another dim, are an error."""
-    x = np.load(path, mmap_mode="r")
-    if x.ndim != 2 or n is not None and x.shape[0] < n or dim is not None and x.shape[1] != dim:
-        raise ValueError(f"{path} has shape {x.shape}, not at least {n} rows of {dim}")
-    return _file_rows(spark, x.shape[0] if n is None else n, lambda a, b: np.load(path, mmap_mode="r")[a:b], kind)
+    with _open(path) as f:
+        head = io.BytesIO(f.read_at(min(f.size(), 65_536), 0))
+    version = np.lib.format.read_magic(head)
+    shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+    offset = head.tell()
+    if len(shape) != 2 or fortran or n is not None and shape[0] < n or dim is not None and shape[1] != dim:
+        raise ValueError(f"{path} has shape {shape}{' by columns' if fortran else ''}, not at least {n} rows of {dim}")
+    row = np.dtype((dtype, (shape[1],)))
+    return _file_rows(spark, shape[0] if n is None else n, lambda a, b: _part(path, row, offset + a * row.itemsize, b - a), kind)
 
 
 def vecs(spark: SparkSession, path: str, n: int | None = None, dim: int | None = None) -> DataFrame:
     """.fvecs, .bvecs or .ivecs: an int32 dimension before each row. A short .ivecs file is an error, the others give what there is."""
     end = os.path.splitext(path)[1]
     dtype = {".fvecs": "<f4", ".bvecs": "u1", ".ivecs": "<i4"}[end]
-    with open(path, "rb") as f:
-        head = f.read(4)
+    with _open(path) as f:
+        size = f.size()
+        head = f.read_at(min(4, size), 0)
     d = int(np.frombuffer(head, "<i4")[0]) if head else (dim or 0)
     if dim is not None and d != dim:
         raise ValueError(f"{path} has dimension {d}, not {dim}")
     row = np.dtype([("d", "<i4"), ("x", dtype, (d,))])
-    there = os.path.getsize(path) // row.itemsize
+    there = size // row.itemsize
     if end == ".ivecs" and n is not None and there < n:
         raise ValueError(f"{path} has {there} rows, not {n}")
     n = there if n is None else min(n, there)
-    return _file_rows(spark, n, lambda a, b: np.fromfile(path, row, b - a, offset=a * row.itemsize)["x"], "int" if end == ".ivecs" else "float")
+    return _file_rows(spark, n, lambda a, b: _part(path, row, a * row.itemsize, b - a)["x"], "int" if end == ".ivecs" else "float")
 
 
 def text_matrix(spark: SparkSession, path: str, n: int | None = None, dim: int | None = None, kind: str = "float") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,18 +68,39 @@ def write_text_matrix(rows: DataFrame, path: str, id_col: str = "id", col: str =
     rows.repartitionByRange(id_col).sortWithinPartitions(id_col).select(F.array_join(F.col(col).cast("array<string>"), " ").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_npy(rows: DataFrame, path: str, n: int, dim: int, id_col: str = "id", col: str = "vec", dtype: str = "<i4") -> None:
-    """One .npy file that all tasks fill in place: rows are 0 to n - 1, and the path is visible to all executors."""
-    np.lib.format.open_memmap(path, mode="w+", dtype=dtype, shape=(n, dim)).flush()
+def _fill(rows: DataFrame, path: str, dtype: np.dtype, offset: int, n: int, field: str | None, id_col: str, col: str) -> None:
+    """All tasks write their rows in place, a batch at a time."""
+
+    def fill(batches):
+        out = np.memmap(path, dtype=dtype, mode="r+", offset=offset, shape=(n,))
+        count = 0
+        for b in batches:
+            at = b.column("_i").to_numpy()
+            x = b.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+            if len(at):
+                (out if field is None else out[field])[at] = x if field else x.astype(dtype.base)
+            count += len(at)
+        out.flush()
+        yield pa.RecordBatch.from_arrays([pa.array([count])], names=["n"])
 
-    def fill(it):
-        x = np.lib.format.open_memmap(path, mode="r+")
-        for d in it:
-            for i, v in zip(d["_i"], d["_v"]):
-                x[i] = v
-        x.flush()
+    rows.select(F.col(id_col).cast("bigint").alias("_i"), F.col(col).alias("_v")).mapInArrow(fill, "n bigint").agg(F.sum("n")).collect()
 
-    rows.select(F.col(id_col).alias("_i"), F.col(col).alias("_v")).foreachPartition(lambda it: fill([{"_i": [r[0]], "_v": [r[1]]} for r in it]))
+
+def write_npy(rows: DataFrame, path: str, n: int, dim: int, id_col: str = "id", col: str = "vec", dtype: str = "<i4") -> None:
+    """One .npy file that all tasks fill in place: rows are 0 to n - 1, and the path is visible to all executors."""
+    x = np.lib.format.open_memmap(path, mode="w+", dtype=dtype, shape=(n, dim))
+    offset = x.offset
+    x.flush()
+    _fill(rows, path, np.dtype((dtype, (dim,))), offset, n, None, id_col, col)
+
+
+def write_vecs(rows: DataFrame, path: str, n: int, dim: int, id_col: str = "id", col: str = "vec") -> None:
+    """One .fvecs, .bvecs or .ivecs file, filled like write_npy: an int32 dimension before each row."""
+    dtype = np.dtype([("d", "<i4"), ("x", {".fvecs": "<f4", ".bvecs": "u1", ".ivecs": "<i4"}[os.path.splitext(path)[1]], (dim,))])
+    x = np.memmap(path, dtype=dtype, mode="w+", shape=(n,))
+    x["d"] = dim
+    x.flush()
+    _fill(rows, path, dtype, 0, n, "x", id_col, col)
 
 
 def write_graph(graph: DataFrame, path: str, n: int, m: int) -> None:

@@ -185,3 +185,101 @@ def test_whole_grid(spark):
     for s in ("", "é", "x" * 23, "y" * 24, "z" * 25, "long text é " * 500):
         r = one(spark, hashing.from_grid(hashing.whole_grid(F.lit(s))).alias("s"), F.size(hashing.whole_grid(F.lit(s))).alias("n"))
         assert r.s == s and r.n == hashing.grid_width(len(s.encode()))
+
+
+def test_files_of_a_folder_are_numbered_in_order_of_their_names(spark, tmp_path):
+    """Spark reads the largest file first; numbers follow the names."""
+    sizes = {"a": 3, "b": 200_000, "c": 100_000}
+    for name, n in sizes.items():
+        (tmp_path / name).write_text("".join(f"{name}{i}\n" for i in range(n)))
+    got = matrix.numbered_lines(spark, str(tmp_path))
+    want = [f"{name}{i}" for name, n in sizes.items() for i in range(n)]
+    assert [r.value for r in got.orderBy("row").collect()] == want
+    assert got.agg(F.min("row"), F.max("row"), F.count_distinct("row")).first() == (0, len(want) - 1, len(want))
+
+
+def test_matrix_by_uri_and_errors(spark, tmp_path):
+    x = np.arange(20, dtype="<f8").reshape(4, 5)
+    np.save(tmp_path / "m.npy", x)
+    got = matrix.npy(spark, f"file://{tmp_path}/m.npy").orderBy("id").collect()
+    assert [r.vec for r in got] == x.tolist()
+    with pytest.raises(ValueError):
+        matrix.npy(spark, str(tmp_path / "m.npy"), 5)
+    with pytest.raises(ValueError):
+        matrix.npy(spark, str(tmp_path / "m.npy"), 4, 6)
+    np.save(tmp_path / "f.npy", np.asfortranarray(x))
+    with pytest.raises(ValueError):
+        matrix.npy(spark, str(tmp_path / "f.npy"))
+
+
+def test_fnv(spark):
+    def fnv(v):
+        h = 14695981039346656037
+        for b in v.to_bytes(8, "little"):
+            h = (h ^ b) * 1099511628211 % 2**64
+        return h
+
+    rows = spark.range(50).select("id", hashing.fnv1a("id").alias("h")).collect()
+    assert all(r.h % 2**64 == fnv(r.id) for r in rows)
+
+
+def test_graph_variants(spark):
+    v = matrix.random_matrix(spark, 120, 8, 3).cache()
+    x = {r.id: np.array(r.vec, float) for r in v.collect()}
+    wide = {r.src: r.nbrs for r in graph.build_wide(v, 4).collect()}
+    assert len(wide) == 120 and all(len(set(n)) == 4 and s not in n for s, n in wide.items())
+    q = graph.quality(v, spark.createDataFrame(list(wide.items()), "src bigint, nbrs array<bigint>"), steps=6, width=8).first()
+    assert q.self_hit > 0.9 and 0 <= q.avg_step <= 6
+    r = {r.src: r.nbrs for r in graph.random_graph(spark, 50, 6, 2).collect()}
+    assert all(len(n) == 6 and s not in n and all(0 <= y < 50 for y in n) for s, n in r.items())
+    assert graph.start_set(v).count() == graph.start_set(v, 5).count() == 10
+    near = sorted(range(1, 9), key=lambda i: ((x[i] - x[0]) ** 2).sum())
+    ids = np.array(near)
+    kept = graph.prune_with_extra(x[0], ids[:4], np.stack([x[i] for i in near[:4]]), near[5], x[near[5]], 4)
+    assert len(kept) <= 4 and set(kept) <= set(near)
+
+
+def test_index_analyzer_and_stems(spark, sf):
+    docs = spark.createDataFrame([(1, "the studies of cats"), (2, "a study of the cat"), (3, "studi"), (4, None), (5, "")], "doc_id bigint, text string")
+    q = spark.createDataFrame([(7, "studies")], "item_id bigint, text string")
+    from ravelin.operators import ranking
+
+    run = lambda **a: {r.doc_id for r in ranking.query_topk(docs, q, ["text"], 10, **a).collect()}
+    assert run() == {1} and run(stem=True) == {1, 2, 3}
+    assert run(stem=True, index_analyzer={}) == {3}
+    tops = {(r.term, r.doc_id) for r in ranking.term_topk(docs, ["text"], 5, stem=True, index_analyzer={}).collect()}
+    assert ("studi", 3) in tops and ("cat", 2) in tops and not any(t == "studies" for t, _ in tops)
+    want: dict = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        import re
+
+        words = [w.lower() for w in re.findall(r"[^\W\d_]+", r.text or "")]
+        for t in {s for w in words if w not in text.STOPWORDS and text.MIN_LEN <= len(s := text.porter(w)) <= text.MAX_LEN}:
+            want[t] = want.get(t, 0) + 1
+    from ravelin.plans.registry import QUERIES
+
+    got = {r.term: r.df for r in QUERIES["stemmed_vocab"](spark, sf).collect()}
+    different = {t for t in got.keys() | want.keys() if got.get(t) != want.get(t)}
+    assert len(different) <= 0.001 * len(want), sorted(different)[:20]
+
+
+def test_command_line_and_evaluation(spark, sf, tmp_path):
+    from ravelin.plans import retrieval
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "source as title", "text as body")
+    q = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("item_id as qid", "text")
+    d.write.parquet(str(tmp_path / "docs"))
+    q.write.parquet(str(tmp_path / "queries"))
+    retrieval.main(["--docs", str(tmp_path / "docs"), "--queries", str(tmp_path / "queries"), "--out", str(tmp_path / "out"), "-k", "5", "10", "--bins", "64"])
+    a = spark.read.json(str(tmp_path / "out" / "bins_10_answers"))
+    assert a.count() == q.count() and a.selectExpr("max(size(doc_ids))").first()[0] == 10
+    assert (tmp_path / "out" / "bins_5_metadata").is_dir()
+    method = retrieval.Bins(d, ["body"], 10, 0, 0, 64)
+    gold = q.selectExpr("qid", "qid as doc_id", "1 as rel")
+    out = retrieval.evaluate(method, q, gold, [5], least=20)
+    assert out[0]["k"] == 5 and 0 <= out[0]["mrr"] <= 1 and out[0]["answered"] == q.count()
+    with pytest.raises(ValueError):
+        retrieval.evaluate(method, q.limit(3), gold, [5])
+    from ravelin.sources.text import datasets
+
+    assert datasets("/x")["scifact"].corpus == "/x/scifact/corpus.jsonl" and set(datasets("/x")) == {"msmarco", "scifact", "debug", "trec-covid"}

@@ -9,7 +9,7 @@ def test_matches_sql(spark, sf, same_as_sql, name):
 
 
 def test_without_sql(spark, sf):
-    assert {n for n in QUERIES if n not in ORACLE_SQL} == {"stemmed_vocab", "graph_build", "graph_search", "pir_hint_parities"}
+    assert {n for n in QUERIES if n not in ORACLE_SQL} == {"stemmed_vocab", "graph_build", "graph_search", "pir_hint_parities", "fnv_hashes", "synthetic_matrix_and_graph"}
     g = QUERIES["graph_build"](spark, sf).collect()
     assert all(len(set(r.nbrs)) == 8 and r.src not in r.nbrs for r in g)
 
