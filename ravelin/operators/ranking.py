@@ -11,25 +11,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.text import terms
-from ravelin.runtime import materialize
+from ravelin.runtime import materialize, spread
 
 K1, B = 1.2, 0.75
 
 
-def exploded(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analyzer) -> DataFrame:
-    """(field, doc_id, dl, term), a row for every token of every field, with the field's length; null and empty fields have none."""
-    per = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f), **analyzer).alias("ts")) for f in fields))).alias("x")
-    return docs.select(F.col(id_col).alias("doc_id"), per).select("x.field", "doc_id", F.size("x.ts").alias("dl"), F.explode("x.ts").alias("term"))
+def _counted(ts: Column) -> Column:
+    """(term, tf) of the distinct terms of an array, by the runs of its sorted form; arrays of one hold what is used repeatedly."""
+    starts = lambda a: F.filter(F.transform(a, lambda w, i: F.when((i == 0) | (w != F.get(a, i - 1)), i)), lambda i: i.isNotNull())
+    runs = lambda a: F.transform(F.array(starts(a)), lambda s: F.transform(s, lambda v, k: F.struct(F.get(a, v).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(a)) - v).cast("bigint").alias("tf"))))[0]
+    return F.transform(F.array(F.sort_array(ts)), runs)[0]
 
 
 def postings(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analyzer) -> DataFrame:
-    """(field, term, doc_id, tf, dl)."""
-    return exploded(docs, fields, id_col, **analyzer).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    """(field, term, doc_id, tf, dl), dl being the field's length in terms; null and empty fields have none. Rows that share an id are one document.
+
+    A text's terms are counted within its row, so that nothing is shuffled unless ids repeat.
+    """
+    per = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f), **analyzer).alias("ts")) for f in fields))).alias("x")
+    x = spread(docs.select(id_col, *fields)).select(F.col(id_col).alias("doc_id"), per).select("x.field", "doc_id", F.size("x.ts").alias("dl"), F.explode(_counted(F.col("x.ts"))).alias("p"))
+    x = x.select("field", F.col("p.term").alias("term"), "doc_id", F.col("p.tf").alias("tf"), "dl")
+    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        return x
+    whole = x.groupBy("field", "doc_id").agg(F.sum("tf").alias("_dl")).select(F.col("field").alias("_f"), F.col("doc_id").alias("_d"), "_dl")
+    one = x.groupBy("field", "term", "doc_id").agg(F.sum("tf").alias("tf"))
+    return one.join(whole, (F.col("field") == F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("field", "term", "doc_id", "tf", F.col("_dl").alias("dl"))
 
 
 def vocabulary(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analyzer) -> DataFrame:
     """(term, df): distinct terms of the fields joined by a space, with their number of documents."""
-    text = docs.select(F.col(id_col).alias("doc_id"), F.concat_ws(" ", *fields).alias("_t"))
+    text = spread(docs.select(F.concat_ws(" ", *fields).alias("_t")))
     return text.select(F.explode(F.array_distinct(terms(F.col("_t"), **analyzer))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 

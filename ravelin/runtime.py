@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 ARROW_BYTES = 8 << 20
 BROADCAST_BYTES = 8 << 20
+#: Estimated bytes up to which a table's rows are dealt out over all cores before heavy work on each row.
+SPREAD_BYTES = 24 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -102,5 +104,13 @@ def small_enough(df: DataFrame, column_bytes: str, limit: int = BROADCAST_BYTES)
     return (df.agg(F.sum(F.expr(column_bytes)).alias("n")).first()["n"] or 0) <= limit
 
 
+def spread(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
+    """df with its rows dealt out over all cores, if Spark estimates it at no more than limit: a small file may be a single row group, which one
+    task would work on alone. A larger table has more row groups than cores and is returned as it is, without a shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if size <= limit and n > 1 else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
