@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.words import slices, tokenize
-from ravelin.runtime import materialize, prepare
+from ravelin.runtime import materialize, prepare, spread
 
 #: Words in a row that count as a leak; an item of fewer words has to be there as a whole.
 MIN_WORDS = 13
@@ -216,7 +216,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
                 cols = [b.column("_id").to_numpy()[dd], t.ids[item], length, t.sizes[item], dpos, ipos]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=schema.replace(" bigint", "").split(", "))
 
-        one = d.mapInArrow(rows, schema)
+        one = spread(d).mapInArrow(rows, schema)
         if not t.alone:
             one = materialize(one, "leaks")
         out = one if out is None else out.union(one)
@@ -236,7 +236,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
                 keep[shard_matches(texts, t)[0]] = False
                 yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(rows, docs.schema)
+        out = spread(out).mapInArrow(rows, docs.schema)
         if not t.alone:
             out = materialize(out, "clean")
     return out

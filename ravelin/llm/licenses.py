@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.words import mix, slices, tokenize
-from ravelin.runtime import prepare
+from ravelin.runtime import prepare, spread
 
 #: Words of a fingerprint, fingerprints of a winnowing window, words by which an alignment may drift.
 GRAM, WINDOW, BAND = 3, 2, 6
@@ -153,4 +153,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col:
             cols = list(zip(*hits)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return d.mapInArrow(rows, "doc_id bigint, license string, template bigint, matched_words bigint, coverage double, start bigint, end bigint")
+    return spread(d).mapInArrow(rows, "doc_id bigint, license string, template bigint, matched_words bigint, coverage double, start bigint, end bigint")

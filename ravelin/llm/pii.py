@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.words import lower, slices
-from ravelin.runtime import prepare
+from ravelin.runtime import prepare, spread
 
 CUES = ("ssn", "social security", "passport", "iban", "account", "acct", "konto", "compte", "cuenta", "card", "driver license")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "mongodb://")
@@ -174,7 +174,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "kind", "start", "end", "value"])
 
-    return d.mapInArrow(rows, "doc_id bigint, kind string, start bigint, end bigint, value string")
+    return spread(d).mapInArrow(rows, "doc_id bigint, kind string, start bigint, end bigint, value string")
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -188,4 +188,4 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([None if z else mask_text(t) for z, t in zip(null, texts)], b.column(at).type)
             yield b.set_column(at, b.schema.field(at).name, new)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return spread(docs).mapInArrow(rows, docs.schema)

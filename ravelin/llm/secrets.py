@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.words import slices
-from ravelin.runtime import prepare
+from ravelin.runtime import prepare, spread
 
 THRESHOLD = 0.6
 _OPERATOR = re.compile(r"[=:]")
@@ -231,4 +231,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
             cols = list(zip(*hits)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return d.mapInArrow(rows, "doc_id bigint, name string, literal_sha256 string, length bigint, start bigint, end bigint, propagated boolean, score double")
+    return spread(d).mapInArrow(rows, "doc_id bigint, name string, literal_sha256 string, length bigint, start bigint, end bigint, propagated boolean, score double")

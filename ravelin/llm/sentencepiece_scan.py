@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.words import slices
-from ravelin.runtime import materialize, prepare
+from ravelin.runtime import materialize, prepare, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 65_536
@@ -394,7 +394,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int32()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
     schema = "doc_id bigint, ids array<int>, n_tokens int, round_trip boolean"
-    short = d.where(~long).mapInArrow(rows, schema)
+    short = spread(d.where(~long)).mapInArrow(rows, schema)
     far = materialize(d.where(long).withColumn("_hash", F.concat(F.md5("_text"), F.lit("-"), F.length("_text").cast("string"))), "giants")
     ids = _giant_ids(far.select("_hash", "_text").dropDuplicates(["_hash"]), model, chunk, fan).withColumnRenamed("_hash", "_of")
 

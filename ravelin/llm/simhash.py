@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.words import mix, slices, tokenize
-from ravelin.runtime import discard, fresh, materialize, prepare
+from ravelin.runtime import discard, fresh, materialize, prepare, spread
 
 SEGMENTS, BITS = 10, 23
 #: Largest Hamming distance, of 256 bits, between the verification bits of near-duplicates.
@@ -363,7 +363,7 @@ def _copies(docs: DataFrame, id_col: str, text_col: str, max_distance: int, bloc
     """near_duplicates, and the written tables that it reads."""
     d = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null and _text is not null")
     longs = ", ".join(f"{c} bigint" for c in SIG + SEG)
-    fp = materialize(d.mapInArrow(_fingerprint_rows, f"_id bigint, {longs}"), "fingerprints")
+    fp = materialize(spread(d).mapInArrow(_fingerprint_rows, f"_id bigint, {longs}"), "fingerprints")
     reps = fp.groupBy(*SIG, *SEG).agg(F.min("_id").alias("_rep"), F.max("_id").alias("_top"))
     reps = materialize(reps, "representatives")
     one = reps.select(F.col("_rep").alias("_id"), *SIG, *SEG)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.words import slices, tokenize
-from ravelin.runtime import prepare
+from ravelin.runtime import prepare, spread
 
 #: Labelled documents of either class that are used, at most: those of least hashed id. Two thirds train.
 MAX_PER_CLASS = 2000
@@ -169,7 +169,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 [b.column("_id").take(pa.array(at)), pa.array(score[at]), pa.array(n[at]), pa.array(np.full(len(at), model.threshold))], names=["doc_id", "score", "windows", "threshold"]
             )
 
-    return d.mapInArrow(rows, schema)
+    return spread(d).mapInArrow(rows, schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", group_col: str = "lang", max_per_class: int = MAX_PER_CLASS) -> DataFrame:
@@ -183,4 +183,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         for b, score, _ in _score_slices(batches, text_col, model):
             yield b.filter(pa.array(score < model.threshold))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return spread(docs).mapInArrow(rows, docs.schema)

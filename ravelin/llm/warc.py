@@ -10,6 +10,8 @@ import html.entities
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.runtime import spread
+
 CRLF = "\r\n"
 #: (pattern, replacement), applied in order; the patterns mean the same to Java's engine and to RE2. What is never shown goes with its
 #: content, each element up to its own closing tag or, if it is never closed, the end; other tags go and their text stays.
@@ -109,7 +111,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     metadata block, whose values have line ends turned into spaces. Repeated responses yield repeated records. Other
     columns of records are ignored, whatever their names.
     """
-    r = records.select("record_id", "target_uri", "warc_date", "http_header", "payload").withColumn("_digest", base32_sha1(F.col("payload")))
+    r = spread(records.select("record_id", "target_uri", "warc_date", "http_header", "payload")).withColumn("_digest", base32_sha1(F.col("payload")))
     title = F.trim(F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)</title>", 1))
     lang = F.regexp_extract("payload", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1)
     status = F.regexp_extract("http_header", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
