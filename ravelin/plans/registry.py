@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import hashing, text, vectors
 from ravelin.operators import bins, evaluation, graph, knn, pir, ranking
 from ravelin.plans import files
-from ravelin.runtime import materialize, small_enough, table
+from ravelin.runtime import materialize, small_enough, spread, table
 from ravelin.sources import sinks
 
 K, TERM_K, THRESHOLD, CHOICES, BINS = 10, 10, 5, 1, 997
@@ -48,18 +48,17 @@ def _run(spark, d, k=K):
 def _qrels(spark, d):
     """Judgements: a document that holds the benchmark text is relevant to it.
 
-    They meet on three words from within the text, the second to the fourth, which a document that holds it has as whole words; texts of fewer than
-    five words, if there are any, are tried on every document as a list whose bytes are checked.
+    They meet on the longest word within the text, its first and last left out, which a document that holds it has as a whole word; texts of fewer
+    than three words, if there are any, are tried on every document as a list whose bytes are checked.
     """
     words = lambda c: F.split(c, r"[ \t\r\n]+")
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("_t")).where("_t is not null").withColumn("_w", words(F.col("_t")))
-    key = F.array_join(F.slice("_w", 2, 3), " ")
+    key = F.array_max(F.transform(F.slice("_w", F.lit(2), F.size("_w") - 2), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     docs = _docs(spark, d).where("text is not null").select("doc_id", "text")
-    w = F.transform(F.array(words(F.col("text"))), lambda ws: F.array_distinct(F.zip_with(F.zip_with(ws, F.slice(ws, F.lit(2), F.size(ws)), lambda x, y: F.concat_ws(" ", x, y)), F.slice(ws, F.lit(3), F.size(ws)), lambda x, y: F.concat_ws(" ", x, y))))[0]
-    long = b.where(F.size("_w") >= 5).select("item_id", "_t", key.alias("_key"))
-    found = docs.select("doc_id", F.explode(w).alias("_gram")).join(long, F.col("_gram") == F.col("_key")).select("item_id", "_t", F.col("doc_id").alias("_doc"))
+    long = b.where(F.size("_w") >= 3).select("item_id", "_t", key.alias("_key"))
+    found = spread(docs).select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("_word")).join(long, F.col("_word") == F.col("_key")).select("item_id", "_t", F.col("doc_id").alias("_doc"))
     found = docs.join(found, (F.col("doc_id") == F.col("_doc")) & F.col("text").contains(F.col("_t"))).select("item_id", "doc_id")
-    short = b.where(F.size("_w") < 5).select("item_id", "_t")
+    short = b.where(F.size("_w") < 3).select("item_id", "_t")
     if not short.isEmpty():
         assert small_enough(short, "octet_length(_t)")
         rows = F.array(*(F.struct(F.lit(r.item_id).alias("i"), F.lit(r["_t"]).alias("t")) for r in short.collect()))
