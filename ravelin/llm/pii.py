@@ -1,12 +1,13 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors: at-signs, URL schemes, identifier cues and digits. Around each anchor a
+An Aho-Corasick automaton finds anchors: at-signs, colons, URL schemes, identifier and telephone cues, and digits. Around each anchor a
 deterministic local parser finds the boundaries of an email address, a network address, a phone or an account number, and
 validates it. Text without anchors costs only the automaton's pass.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,19 +21,23 @@ from ravelin.llm.words import lower, slices
 from ravelin.runtime import prepare, spread
 
 CUES = ("ssn", "social security", "passport", "iban", "account", "acct", "konto", "compte", "cuenta", "card", "driver license")
+PHONE_CUES = ("tel", "phone", "telephone", "telefon", "téléphone", "teléfono", "mobile", "mobil", "handy", "fax")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "mongodb://")
 MASKS = {"email": "[EMAIL]", "phone": "[PHONE]", "ip": "[IP]", "card": "[CARD]", "iban": "[IBAN]", "ssn": "[SSN]", "url_user": "[URL_USER]", "identifier": "[ID]"}
 
+_HEX = frozenset("0123456789abcdefABCDEF:.")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.!#$%&'*+/=?^_`{|}~-")
-_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
+_DOMAIN = re.compile(r"(?:[^\W_](?:(?:[^\W_]|-){0,61}[^\W_])?\.)+(?:xn--[a-z0-9-]{2,59}|[^\W\d_]{2,24})(?![^\W_])")
 _IP = re.compile(r"(?<![\w.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?![\w]|\.\d)", re.A)
 _SSN = re.compile(r"(?<![\w-])(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])", re.A)
 _PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w])|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,10}\)?){1,5}(?!\w)", re.A)
-_NUMBER = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w]|[.-]\d)", re.A)
-_GROUP = re.compile(r"\d+")
+_GROUP = re.compile(r"\d+", re.A)
 #: A short group with a digit right before: the number is the rest of something longer.
 _CONTINUED = re.compile(r"(?<!\w)\w{0,5}\d[ -]$", re.A)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)", re.A)
+_SMALL_IBAN = re.compile(r"(?<!\w)[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]){11,30}(?!\w)", re.A)
+_CUED_SSN = re.compile(r"[\s:#=.]{0,4}(?:no|nr|number|id)?[\s:#=.]{0,4}((?!000|666|9\d\d)\d{3}[ .-]?(?!00)\d\d[ .-]?(?!0000)\d{4})(?![\w-])", re.A | re.I)
+_CUED_PHONE = re.compile(r"[\s.:#=]{0,4}(?:no|nr|number)?[\s.:#=]{0,4}(\+?\(?\d(?:[ ()./-]{0,2}\d){5,14})(?!\w)", re.A | re.I)
 #: Characters of a country's account numbers.
 _IBAN_LENGTHS = {k: n for n, ks in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
                                     25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}.items() for k in ks.split()}
@@ -44,9 +49,10 @@ _IDENT = re.compile(r"[\s:#=.]{0,4}(?:no|nr|number|id)?[\s:#=.]{0,4}([A-Z0-9][A-
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     a.add_word("@", ("@", 1))
+    a.add_word(":", (":", 1))
     for d in "0123456789":
         a.add_word(d, ("#", 1))
-    for kind, words in (("s", SCHEMES), ("c", CUES)):
+    for kind, words in (("s", SCHEMES), ("c", CUES), ("t", PHONE_CUES)):
         for w in words:
             a.add_word(w, (kind, len(w)))
     a.make_automaton()
@@ -74,6 +80,33 @@ def _iban_end(m: re.Match[str]) -> int | None:
     return next((m.start() + e for e in ends if _iban_ok(s[:e])), None)
 
 
+def _small_iban_end(m: re.Match[str]) -> int | None:
+    """The same for a match with lower-case letters: only of a known country's length, since many other codes look like that."""
+    s = m.group()
+    n = _IBAN_LENGTHS.get(s[:2].upper())
+    ends = [i for i in (*range(1, len(s)), len(s)) if i - s.count(" ", 0, i) == n and (i == len(s) or s[i] == " ")]
+    return next((m.start() + e for e in ends if _iban_ok(s[:e])), None)
+
+
+def ipv6_at(text: str, at: int) -> tuple[int, int] | None:
+    """Span of the IPv6 address around a colon: the whole run of its characters, if the standard library reads it as one."""
+    s = e = at
+    while s > 0 and at - s < 40 and text[s - 1] in _HEX:
+        s -= 1
+    while e < len(text) and e - at < 40 and text[e] in _HEX:
+        e += 1
+    while e > at and text[e - 1] == "." or text[at:e].endswith(":") and not text[at:e].endswith("::"):
+        e -= 1
+    run = text[s:e]
+    if run.count(":") < 2 or not any(c.isalnum() for c in run) or s and (text[s - 1].isalnum() or text[s - 1] in "_.") or e < len(text) and (text[e].isalnum() or text[e] == "_"):
+        return None
+    try:
+        ipaddress.IPv6Address(run)
+    except ValueError:
+        return None
+    return s, e
+
+
 def email_at(text: str, at: int) -> tuple[int, int] | None:
     """Span of the address around an at-sign: the longest valid local part before it, the longest valid domain behind it."""
     s = at
@@ -87,12 +120,12 @@ def email_at(text: str, at: int) -> tuple[int, int] | None:
     return (s, m.end()) if m else None
 
 
-def _digits_at(text: str, i: int) -> tuple[str, int, int] | None:
-    """What a digit belongs to, tried from its run's start: network address, social security, phone, IBAN or card number. Digits that validate as none of these are no personal data unless a cue precedes them."""
+def _digits_at(text: str, i: int, fresh: bool = False) -> tuple[str, int, int] | None:
+    """What a digit belongs to, tried from its run's start: network address, social security, phone, IBAN or card number. Digits that validate as none of these are no personal data unless a cue precedes them. fresh: what stands before was found itself."""
     s = i
     for back in range(0, 6):
         p = s - back
-        if p < 0 or (back and text[p] not in "+( ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        if p < 0 or (back and text[p] not in "+( " and not (text[p].isascii() and text[p].isalpha())):
             break
         if back == 0 and (m := _IP.match(text, p)) and all(int(x) <= 255 for x in m.groups()):
             return "ip", m.start(), m.end()
@@ -100,20 +133,39 @@ def _digits_at(text: str, i: int) -> tuple[str, int, int] | None:
             return "ssn", m.start(), m.end()
         if back and text[p] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" and (m := _IBAN.match(text, p)) and (end := _iban_end(m)):
             return "iban", m.start(), end
+        if back and text[p].islower() and (m := _SMALL_IBAN.match(text, p)) and (end := _small_iban_end(m)):
+            return "iban", m.start(), end
         if (back == 0 or text[p] in "+(") and (m := _PHONE.match(text, p)):
             n = sum(c.isdigit() for c in m.group())
             if 8 <= n <= 15 and ("(" in m.group() or "+" in m.group() or n == 10) and not (back == 0 and text[max(0, p - 1) : p] in ("+", "(")):
                 return "phone", m.start(), m.end()
-    if (m := _NUMBER.match(text, s)) and not _CONTINUED.search(text, max(0, s - 9), s):
+    if not (s and (text[s - 1].isalnum() or text[s - 1] in "_.-")) and (fresh or not _CONTINUED.search(text, max(0, s - 9), s)):
         # the longest run of whole groups that validates
-        groups = [g.end() for g in _GROUP.finditer(text, s, m.end())]
-        for end in reversed(groups):
-            d = re.sub(r"\D", "", text[s:end])
-            if 13 <= len(d) <= 19 and d[0] in "23456" and luhn(d):
+        for end, d in reversed(_groups_at(text, s)):
+            if 13 <= len(d) and d[0] in "23456" and luhn(d):
                 return "card", s, end
     return None
 
 
+def _groups_at(text: str, s: int) -> list[tuple[int, str]]:
+    """(end, digits up to it) of the groups of digits from a position on, up to the 19 digits of the longest card number; a group that runs on
+    into something else, and those that hyphens tie to it, don't count."""
+    out, digits, fine = [], "", 0
+    while m := _GROUP.match(text, s):
+        digits += m.group()
+        if len(digits) > 19:
+            return out
+        e = m.end()
+        out.append((e, digits))
+        after = text[e : e + 2]
+        if not after or not (after[0].isalnum() or after[0] == "_" or after[0] in ".-" and after[1:].isdigit()):
+            fine = len(out)
+        if not (after[:1] in (" ", "-") and after[1:].isascii() and after[1:].isdigit()):
+            break
+        s = e + 1
+    return out[:fine]
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all personal data, in order and without overlaps; at equal starts the longest counts."""
     out = []
@@ -123,16 +175,25 @@ def find(text: str) -> list[tuple[str, int, int]]:
         if kind == "#":
             if i <= done or (i and text[i - 1].isdigit()):
                 continue
-            if f := _digits_at(text, i):
+            if f := _digits_at(text, i, i - done <= 2):
                 out.append(f)
                 done = f[2] - 1
         elif kind == "@":
             if f := email_at(text, i):
                 out.append(("email", *f))
                 done = max(done, f[1] - 1)
+        elif kind == ":":
+            if i > done and i + 1 < len(text) and text[i + 1] in _HEX and (text[i + 1] == ":" or i and text[i - 1] in _HEX) and (f := ipv6_at(text, i)):
+                out.append(("ip", *f))
+                done = max(done, f[1] - 1)
+        elif kind == "t":
+            if (i == 0 or not text[i - 1].isalnum()) and (m := _CUED_PHONE.match(text, end + 1)):
+                out.append(("phone", m.start(1), m.end(1)))
         elif kind == "s":
             if m := _USER.match(text, end + 1):
                 out.append(("url_user", m.start(), m.end() - 1))
+        elif text[i].lower() == "s" and (i == 0 or not text[i - 1].isalnum()) and (m := _CUED_SSN.match(text, end + 1)):
+            out.append(("ssn", m.start(1), m.end(1)))
         elif end + 10 >= bare and (i == 0 or not text[i - 1].isalnum()) and (m := _IDENT.match(text, end + 1)):
             if sum(c.isdigit() for c in m.group(1)) >= 4:
                 out.append(("identifier", m.start(1), m.end(1)))

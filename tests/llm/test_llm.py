@@ -313,12 +313,32 @@ def test_pii(spark, sf):
         ("konto nr 1234567890123456789012345", [("identifier", "1234567890123456789012345")]),
         ("account: xx-cardno 12345678", [("identifier", "12345678")]),
         ("a" * 80 + "@b.com", [("email", "a" * 80 + "@b.com")]),
+        ("mail jo@bücher.example and jo@xn--bcher-kva.xn--p1ai.", [("email", "jo@bücher.example"), ("email", "jo@xn--bcher-kva.xn--p1ai")]),
+        ("de89370400440532013000 de89370400440532013001 de89 3704 0044 0532 0130 00 x", [("iban", "de89370400440532013000"), ("iban", "de89 3704 0044 0532 0130 00")]),
+        ("SSN 123 45 6789, ssn: 123456789", [("ssn", "123 45 6789"), ("ssn", "123456789")]),
+        ("tel: 030 1234567 hotel 030 1234567 Fax 0301234567", [("phone", "030 1234567"), ("phone", "0301234567")]),
+        ("at 2001:db8::1, fe80::1%eth0 or ::1: and 12:30:45 a::b::c std::vector 00:1b:44:11:3a:b7", [("ip", "2001:db8::1"), ("ip", "fe80::1"), ("ip", "::1")]),
+        ("2001:0db8:85a3:0000:0000:8a2e:0370:7334 and ::ffff:1.2.3.4.", [("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("ip", "::ffff:1.2.3.4")]),
     ],
 )
 def test_pii_whole_spans(text, want):
     assert [(k, text[s:e]) for k, s, e in pii.find(text)] == want
 
 
+@pytest.mark.parametrize("piece", ["a", "1", "1 ", "1-", "a:", "1:", "::", "@", "a@", "a.", "tel ", "ssn ", "x1", "AB12 ", "ab12", "(1", "+1 ", "http://", "a.b@"])
+def test_pii_time(piece):
+    """Long texts of one piece take time in proportion."""
+    start = time.time()
+    pii.find(piece * (60_000 // len(piece)))
+    assert time.time() - start < 5
+
+
+def test_pii_cards():
+    card = "4111 1111 1111 1111"
+    for text, want in ((card, 1), (card + " 12", 1), (card + " 12.5", 1), (card.replace(" ", "-") + "-2a", 0), (card.replace(" ", "-"), 1), ("x" + card, 0), (card + "a", 0), ("1234 " + card, 0), (card + " " + card, 2), (card + " 1234 5678 9012 3456", 1), ("1.4111111111111111", 0)):
+        assert [k for k, _, _ in pii.find(text)].count("card") == want, text
+
+
 # 5
 
 
