@@ -675,6 +675,32 @@ def test_licenses(spark, sf):
     assert licenses.scan(d.limit(0)).count() == 0 and licenses.scan(d, []).count() == 0
 
 
+def test_license_files(spark):
+    """Whole license files: the longest template that a text holds counts, with its coverage; further ones come from a table."""
+    import pathlib
+
+    mit, bsd = dict(licenses.TEMPLATES)["MIT"], dict(licenses.TEMPLATES)["BSD-3-Clause"]
+    docs = [(1, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit.replace(". ", ".\n\n")), (2, "Copyright B\n" + bsd), (3, mit[: len(mit) // 2])]
+    table = [("Own-1.0", " ".join(f"clause{i}" for i in range(900))), ("Own-1.0", None), (None, "x"), ("Empty", "")]
+    folder = pathlib.Path("/usr/share/common-licenses")
+    known = [x for x in ("Apache-2.0", "MPL-2.0", "LGPL-3") if (folder / x).is_file()]
+    table += [(x, (folder / x).read_text()) for x in known]
+    docs += [(10 + i, "// header\n" + t.replace("  ", " ")) for i, (_, t) in enumerate(table[:1] + table[4:])]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    more = licenses.from_table(spark.createDataFrame(table, "license string, text string"))
+    got: dict = {}
+    for r in licenses.scan(d, [*licenses.TEMPLATES, *more]).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    best = {i: max(rs, key=lambda r: r.matched_words) for i, rs in got.items()}
+    assert best[1].license == "MIT" and best[1].coverage == 1 and best[1].matched_words > 150
+    assert best[2].license == "BSD-3-Clause" and best[2].coverage == 1 and len(got[2]) == 1
+    assert best[3].license == "MIT" and best[3].matched_words < 100
+    for i, name in enumerate(["Own-1.0", *known]):
+        assert best[10 + i].license == name and best[10 + i].coverage == 1 and len(got[10 + i]) == 1
+    with pytest.raises(ValueError):
+        licenses.from_table(spark.createDataFrame(table, "license string, text string"), 100)
+
+
 # 9
 
 
@@ -781,6 +807,27 @@ def test_url_expressions_by_library(spark):
 # pipeline
 
 
+def test_pipeline_of_odd_documents(spark, sf, tmp_path):
+    """Every stage, one after the other, on nulls, empty and very long texts, repeats and clashing names; and on an empty table."""
+    import corpus_pipeline
+
+    docs = odd_docs(spark, "mail me at a.b@c.com please", "mail me at a.b@c.com please", "unlike anything else in this table", "x" * 200_000)
+    for x, n in ((docs, 7), (docs.limit(0), 0)):
+        now = x
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, sf)
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == x.columns, name
+            out.write.parquet(str(tmp_path / f"{name}{n}"))
+            now = spark.read.parquet(str(tmp_path / f"{name}{n}"))
+            if name == "pii" and n:
+                assert {r.text for r in now.where("doc_id >= 100").collect()} == {"mail me at [EMAIL] please", "unlike anything else in this table", "x" * 200_000}
+        rows = now.collect()
+        # 3 is an empty copy of 2, 101 of 100; the repeated row 4 is one document twice
+        assert sorted(str(r.doc_id) for r in rows) == (["1", "100", "102", "103", "2", "4", "4", "5", "None"] if n else [])
+        assert all(r.round_trip is not False for r in rows)
+
+
 def test_pipeline_brute_force(spark, sf):
     """Every stage against a plain version of itself on the same input."""
     import corpus_pipeline
