@@ -40,9 +40,12 @@ def answer(probes: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def materialise(index: DataFrame, vectors: DataFrame, rows: int) -> DataFrame:
-    """(bin, vecs): the vectors (id, vec) of each bin in order of id, document ids taken modulo the number of vectors."""
+    """(bin, vecs): the vectors (id, vec) of each bin in order of id. Whole-numbered document ids are taken modulo the number of
+    vectors; ids of another type have to be those of the vectors."""
+    whole = dict(index.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    at = F.pmod(F.col("doc_id").cast("bigint"), F.lit(rows)) if whole else F.col("doc_id")
     v = vectors.select(F.col("id").alias("_id"), F.col("vec").alias("_vec"))
-    j = index.withColumn("_at", F.pmod(F.col("doc_id").cast("bigint"), F.lit(rows))).join(v, F.col("_at") == F.col("_id"))
+    j = index.withColumn("_at", at).join(v, F.col("_at") == F.col("_id"))
     return j.groupBy("bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("_id", "_vec"))), lambda x: x["_vec"]).alias("vecs"))
 
 

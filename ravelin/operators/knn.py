@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.vectors import l2_squared
-from ravelin.runtime import BROADCAST_BYTES, prepare, small_enough
+from ravelin.runtime import BROADCAST_BYTES, materialize, prepare, small_enough
 
 BLOCK = 4096
 
@@ -40,6 +40,20 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _best(batches: Iterator[pa.RecordBatch], k: int, metric: str, include_self: bool) -> Iterator[pa.RecordBatch]:
+    """The k nearest of every pair of blocks."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            qi, ci = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["c_ids"], np.int64)
+            d = np.round(_distances(np.frombuffer(r["q_x"]).reshape(len(qi), -1), np.frombuffer(r["c_x"]).reshape(len(ci), -1), metric), 6) + 0.0
+            if not include_self:
+                d = np.where(qi[:, None] == ci[None], np.inf, d)
+            order = np.lexsort((np.broadcast_to(ci, d.shape), d), axis=1)[:, :k]
+            dist = np.take_along_axis(d, order, 1).ravel()
+            keep = np.isfinite(dist)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[keep]), pa.array(ci[order].ravel()[keep]), pa.array(dist[keep])], names=["qid", "id", "dist"])
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", include_self: bool = True) -> DataFrame:
     """(qid, rank, id, dist) of the k nearest corpus vectors of every query; both are (id, vec) of one dimension.
 
@@ -53,19 +67,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", inclu
         q = F.broadcast(q)
     pairs = blocks(corpus.select("id", "vec"), "c").crossJoin(q)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                qi, ci = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["c_ids"], np.int64)
-                d = np.round(_distances(np.frombuffer(r["q_x"]).reshape(len(qi), -1), np.frombuffer(r["c_x"]).reshape(len(ci), -1), metric), 6) + 0.0
-                if not include_self:
-                    d = np.where(qi[:, None] == ci[None], np.inf, d)
-                order = np.lexsort((np.broadcast_to(ci, d.shape), d), axis=1)[:, :k]
-                dist = np.take_along_axis(d, order, 1).ravel()
-                keep = np.isfinite(dist)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[keep]), pa.array(ci[order].ravel()[keep]), pa.array(dist[keep])], names=["qid", "id", "dist"])
-
-    near = pairs.mapInArrow(best, "qid bigint, id bigint, dist double")
+    near = pairs.mapInArrow(lambda it: _best(it, k, metric, include_self), "qid bigint, id bigint, dist double")
     w = Window.partitionBy("qid").orderBy("dist", "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
 
@@ -82,3 +84,75 @@ def fetch(ids: DataFrame, rows: DataFrame) -> DataFrame:
     """rows (id, ...) for ids (qid, ids array), order and repeats kept in pos; ids that rows lacks are absent."""
     x = ids.select("qid", F.posexplode("ids").alias("pos", "_want"))
     return x.join(rows, F.col("_want") == F.col("id")).drop("_want")
+
+
+#: Vectors that the cells are fitted on, at most, and cells.
+SAMPLE, MAX_CELLS = 20_000, 4096
+
+
+def fit_cells(vectors: DataFrame, n: int | None = None, seed: int = 0, rounds: int = 8) -> np.ndarray:
+    """Centres of cells, one for every 64 vectors up to MAX_CELLS, by k-means on the SAMPLE vectors of least hashed id."""
+    n = vectors.count() if n is None else n
+    rows = vectors.where("id is not null and vec is not null").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).select("vec").collect()
+    x = np.array([r.vec for r in rows], np.float64)
+    k = max(1, min(MAX_CELLS, n // 64, len(x)))
+    c = x[:k].copy()
+    for _ in range(rounds):
+        home = np.argmin((c**2).sum(1)[None] - 2 * x @ c.T, axis=1)
+        for i in range(k):
+            if (home == i).any():
+                c[i] = x[home == i].mean(0)
+    return c
+
+
+def fit_probe(vectors: DataFrame, k: int, cells: np.ndarray, recall: float = 0.95, queries: int = 256, seed: int = 1) -> int:
+    """How many cells hold the share `recall` of the k nearest neighbours, measured exactly for some vectors of least hashed id."""
+    v = vectors.where("id is not null and vec is not null").select("id", "vec")
+    q = materialize(v.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(queries), "sample")
+    true = knn(q, v, k, include_self=False).select("qid", "id")
+    x = v.select(F.col("id").alias("_n"), F.col("vec").alias("_nv"))
+    rows = true.join(x, F.col("id") == F.col("_n")).join(q.select(F.col("id").alias("_q"), "vec"), F.col("qid") == F.col("_q")).select("vec", "_nv").collect()
+    if not rows:
+        return 1
+    a, b = (np.array([r[i] for r in rows], np.float64) for i in (0, 1))
+    dist = lambda y: (cells**2).sum(1)[None] - 2 * y @ cells.T
+    d, home = dist(a), np.argmin(dist(b), axis=1)
+    rank = (d < d[np.arange(len(d)), home][:, None]).sum(1)
+    return int(np.quantile(rank, recall, method="higher")) + 1
+
+
+def knn_cells(queries: DataFrame, corpus: DataFrame, k: int, probe: int | None = None, cells: np.ndarray | None = None, include_self: bool = True) -> DataFrame:
+    """(qid, rank, id, dist) like knn, looking only into the `probe` cells nearest to each query: approximate. Without probe,
+    as many cells as hold 95 % of the true neighbours of a sample.
+
+    Every vector is in the cell of its nearest centre. Queries meet the corpus by an equi-join on cells, block by block, so
+    that a cell which holds much of the corpus is spread over tasks. Only the centres are sent to every task.
+    """
+    prepare(queries.sparkSession)
+    c = fit_cells(corpus) if cells is None else cells
+    near = min(fit_probe(corpus, k, c) if probe is None else probe, len(c))
+
+    def pack(vectors: DataFrame, prefix: str, cells_of_each: int, block: int) -> DataFrame:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                if not len(ids):
+                    continue
+                d = (c**2).sum(1)[None] - 2 * x @ c.T
+                home = np.argpartition(d, cells_of_each - 1, axis=1)[:, :cells_of_each]
+                row, cell = np.repeat(np.arange(len(ids)), cells_of_each), home.ravel()
+                order = np.argsort(cell, kind="stable")
+                row, cell = row[order], cell[order]
+                starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+                for s, e in zip(starts, np.append(starts[1:], len(cell))):
+                    for at in range(s, e, block):
+                        part = row[at : min(e, at + block)]
+                        yield pa.RecordBatch.from_arrays([pa.array([int(cell[s])]), pa.array([ids[part].tobytes()]), pa.array([x[part].tobytes()])], names=[f"{prefix}_cell", f"{prefix}_ids", f"{prefix}_x"])
+
+        return vectors.where("id is not null and vec is not null").select("id", "vec").mapInArrow(rows, f"{prefix}_cell bigint, {prefix}_ids binary, {prefix}_x binary")
+
+    pairs = pack(queries, "q", near, 1024).join(pack(corpus, "c", 1, BLOCK), F.col("q_cell") == F.col("c_cell")).select("q_ids", "q_x", "c_ids", "c_x")
+    found = pairs.mapInArrow(lambda it: _best(it, k, "l2", include_self), "qid bigint, id bigint, dist double")
+    w = Window.partitionBy("qid").orderBy("dist", "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")

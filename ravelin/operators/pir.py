@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -261,3 +262,41 @@ class BatchClient:
                 c.query(0, real=False)
         self.done += most
         return [got[i] for i in idx]
+
+
+def private_lookup(rows: DataFrame, want: DataFrame, params: BatchParams, width: int, seed: int = 0) -> DataFrame:
+    """(qid, idx, words) for want (qid, idx), each row fetched by the private client of its partition.
+
+    rows (idx, words) hold at most `width` words each, idx being 0 to params.rows - 1, and come back padded with zero words; an index without a
+    row is all zero. Partitions work side by side, each with its own part_rows rows and hints only, and each asks as often as the one
+    with the most distinct indices, by dummies; when its budget is used up, it preprocesses again. Indices outside are an error.
+    """
+    size = params.part_rows
+    r = layout(rows.select("idx", "words"), size).select("part", F.col("off").alias("_off"), "words")
+    ok = F.assert_true((F.col("idx") >= 0) & (F.col("idx") < params.rows), F.lit("index out of range"))
+    distinct = layout(want.select("idx", ok.alias("_ok")).where("_ok is null").select("idx").distinct(), size).select("part", "off")
+    most = distinct.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+
+    def fetch(key: tuple, mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = {"_part": [], "_at": [], "words": []}
+        if len(asked):
+            db = np.zeros((size, width), np.uint64)
+            for off, words in zip(mine["_off"], mine["words"]):
+                db[off, : len(words)] = np.asarray(words, np.int64).view(np.uint64)
+            c = Client(db, Params(max(2, size), width * 8, params.kappa), seed + int(key[0]))
+            for off in sorted(asked["off"]):
+                try:
+                    got = c.query(off)
+                except BudgetError:
+                    c.preprocess()
+                    got = c.query(off)
+                out["_part"].append(int(key[0]))
+                out["_at"].append(off)
+                out["words"].append(got.view(np.int64))
+            for _ in range(most - len(asked)):
+                c.query(0, real=False)
+        return pd.DataFrame(out)
+
+    got = r.groupBy("part").cogroup(distinct.groupBy("part")).applyInPandas(lambda k, a, b: fetch(k, a, b), "_part bigint, _at bigint, words array<bigint>")
+    w = layout(want.select("qid", "idx"), size)
+    return w.join(got, (F.col("part") == F.col("_part")) & (F.col("off") == F.col("_at"))).select("qid", "idx", "words")

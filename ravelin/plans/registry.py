@@ -370,6 +370,19 @@ def graph_search(spark, d):
     return graph.search_converged(v, v, materialize(graph.build(v, M), "graph"), K)
 
 
+@query()
+def graph_candidates_ivf(spark, d):
+    """Approximate candidates from the nearest cells of each vector."""
+    return graph.candidates_by_cells(_vectors(spark, d), M)
+
+
+@query()
+def graph_search_ivf(spark, d):
+    """Search in a graph that was built from approximate candidates."""
+    v = _vectors(spark, d).select("id", "vec")
+    return graph.search_converged(v, v, materialize(graph.build(v, M, exact=False), "graph"), K)
+
+
 # private lookups
 
 
@@ -480,5 +493,26 @@ def bm25_mean_rr(spark, d):
     return evaluation.mrr_at_k(_run(spark, d), _qrels(spark, d), K).agg(F.round(F.avg("rr"), 9).alias("mrr"), F.count("*").alias("queries"))
 
 
+
+@query(f"WITH {_bm25()}, {_TERM_TOP}, {_INDEX}, {_PROBE}, n AS (SELECT count(*) AS n FROM embeddings) SELECT DISTINCT pr.qid, ix.bin, doc_id % n AS doc_id FROM pr JOIN ix ON pr.bin = ix.bin, n")
+def private_bins(spark, d):
+    """The bin index end to end: bins as packed vectors, those of each query's terms fetched privately, and documents told by their vectors."""
+    v = _vectors(spark, d).select("id", "vec")
+    n = v.count()
+    index = materialize(_index(spark, d), "bins")
+    entries = materialize(bins.materialise(index, v, n).select(F.col("bin").alias("idx"), vectors.pack_floats(F.flatten("vecs")).alias("words")), "entries")
+    width = entries.agg(F.max(F.size("words"))).first()[0] or 1
+    want = bins.probe(table(spark, d, "benchmark"), CHOICES, BINS).select("qid", F.col("bin").alias("idx")).distinct()
+    got = pir.private_lookup(entries, want, pir.BatchParams(BINS, 16, width * 8), width)
+
+    def unpack(it):
+        for b in it:
+            rows = [(q, i, x) for q, i, w in zip(b["qid"], b["idx"], b["words"]) for x in vectors.unpack_words(np.asarray(w), 64)]
+            yield pd.DataFrame(rows, columns=["qid", "bin", "vec"])
+
+    found = got.mapInPandas(unpack, "qid bigint, bin bigint, vec array<float>").withColumn("_h", vectors.hash_floats("vec"))
+    return found.join(bins.lookup(v), F.col("_h") == F.col("h")).select("qid", "bin", "doc_id").distinct()
+
+
 QUERIES |= files.QUERIES
 ORACLE_SQL |= files.ORACLE_SQL

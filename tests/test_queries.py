@@ -9,7 +9,7 @@ def test_matches_sql(spark, sf, same_as_sql, name):
 
 
 def test_without_sql(spark, sf):
-    assert {n for n in QUERIES if n not in ORACLE_SQL} == {"stemmed_vocab", "graph_build", "graph_search", "pir_hint_parities", "fnv_hashes", "synthetic_matrix_and_graph"}
+    assert {n for n in QUERIES if n not in ORACLE_SQL} == {"stemmed_vocab", "graph_build", "graph_search", "graph_candidates_ivf", "graph_search_ivf", "pir_hint_parities", "fnv_hashes", "synthetic_matrix_and_graph"}
     g = QUERIES["graph_build"](spark, sf).collect()
     assert all(len(set(r.nbrs)) == 8 and r.src not in r.nbrs for r in g)
 
@@ -31,6 +31,17 @@ def test_graph_search_recall_of_larger_table(spark):
     assert recall >= 0.9, recall
 
 
+def test_approximate_candidates_and_search(spark):
+    """Recall of 0.9 at least against the exact neighbours, of candidates and of a search in the graph built from them."""
+    sf = "/root/testdata/sf0.1"
+    found, truth = QUERIES["graph_candidates_ivf"](spark, sf).toPandas(), QUERIES["graph_candidates"](spark, sf).toPandas()
+    recall = len(found.merge(truth, on=["src", "dst"])) / len(truth)
+    assert recall >= 0.9 and len(found) == len(truth), recall
+    found, truth = QUERIES["graph_search_ivf"](spark, sf).toPandas(), QUERIES["knn_l2"](spark, sf).toPandas()
+    recall = len(found.merge(truth[["qid", "id"]], on=["qid", "id"])) / len(truth)
+    assert recall >= 0.9, recall
+
+
 def test_hint_parities_brute_force(spark, sf):
     import numpy as np
     from pyspark.sql import functions as F
