@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ravelin.llm import decontaminate, pii, sentencepiece_scan, simhash, toxicity
-from ravelin.runtime import materialize, table
+from ravelin.runtime import discard, materialize, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Rows of the last stage; the table of each stage is deleted once the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*last)
+        last = [docs]
     return docs
