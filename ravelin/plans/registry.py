@@ -502,16 +502,18 @@ def private_bins(spark, d):
     index = materialize(_index(spark, d), "bins")
     entries = materialize(bins.materialise(index, v, n).select(F.col("bin").alias("idx"), vectors.pack_floats(F.flatten("vecs")).alias("words")), "entries")
     width = entries.agg(F.max(F.size("words"))).first()[0] or 1
-    want = bins.probe(table(spark, d, "benchmark"), CHOICES, BINS).select("qid", F.col("bin").alias("idx")).distinct()
-    got = pir.private_lookup(entries, want, pir.BatchParams(BINS, 16, width * 8), width)
+    want = bins.probe(table(spark, d, "benchmark"), CHOICES, BINS).select("qid", "bin").distinct()
+    # queries that share a bin share its one private fetch
+    got = pir.private_lookup(entries, want.select(F.col("bin").alias("qid"), F.col("bin").alias("idx")).distinct(), pir.BatchParams(BINS, 16, width * 8), width)
 
     def unpack(it):
         for b in it:
-            rows = [(q, i, x) for q, i, w in zip(b["qid"], b["idx"], b["words"]) for x in vectors.unpack_words(np.asarray(w), 64)]
-            yield pd.DataFrame(rows, columns=["qid", "bin", "vec"])
+            rows = [(i, x) for i, w in zip(b["idx"], b["words"]) for x in vectors.unpack_words(np.asarray(w), 64)]
+            yield pd.DataFrame(rows, columns=["_bin", "vec"])
 
-    found = got.mapInPandas(unpack, "qid bigint, bin bigint, vec array<float>").withColumn("_h", vectors.hash_floats("vec"))
-    return found.join(bins.lookup(v), F.col("_h") == F.col("h")).select("qid", "bin", "doc_id").distinct()
+    found = got.mapInPandas(unpack, "_bin bigint, vec array<float>").distinct().withColumn("_h", vectors.hash_floats("vec"))
+    told = found.join(bins.lookup(v), F.col("_h") == F.col("h")).select("_bin", "doc_id").distinct()
+    return want.join(told, F.col("bin") == F.col("_bin")).select("qid", "bin", "doc_id")
 
 
 QUERIES |= files.QUERIES
