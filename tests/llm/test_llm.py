@@ -849,7 +849,7 @@ def test_pipeline_brute_force(spark, sf):
 
     before, after = seen["toxicity"]
     model = toxicity.fit(docs_of(spark, sf), labels)
-    tc, oc = toxicity._compressor(model.toxic, model.raw[0]), toxicity._compressor(model.ordinary, model.raw[1])
+    tc, oc = toxicity._compressor(model.toxic), toxicity._compressor(model.ordinary)
     assert sorted(ids(after)) == sorted(r.doc_id for r in before if max(toxicity.window_scores(toxicity._codes([r.text])[0], tc, oc)) < model.threshold)
 
     before, after = seen["near_duplicates"]
