@@ -32,6 +32,8 @@ SIG = ["s0", "s1", "s2", "s3"]
 SEG = ["k0", "k1", "k2", "k3", "k4"]
 #: Fingerprints of one key that are compared in one piece; more are cut into such blocks, with the same result.
 BLOCK = 8192
+#: Code points of texts and number of fingerprints worked on at once, which bound a worker's memory.
+TEXT_SLICE, KEY_ROWS = 1_000_000, 4_000
 _GENERATOR = 0b101011100011
 
 
@@ -136,7 +138,7 @@ def keys(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b, texts in slices(batches, "_text"):
+    for b, texts in slices(batches, "_text", TEXT_SLICE):
         sig, seg = fingerprints(texts)
         cols = [sig[:, i].view(np.int64) for i in range(4)] + [seg[:, i] for i in range(len(SEG))]
         yield pa.RecordBatch.from_arrays([b.column("_id"), *map(pa.array, cols)], names=["_id", *SIG, *SEG])
@@ -144,8 +146,8 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
-        for at in range(0, big.num_rows, 20_000):
-            b = big.slice(at, 20_000)
+        for at in range(0, big.num_rows, KEY_ROWS):
+            b = big.slice(at, KEY_ROWS)
             row, key = keys(np.stack([b.column(c).to_numpy() for c in SEG], 1))
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(b.column(c).to_numpy()[row]) for c in ["_id", *SIG])], names=["_key", "_id", *SIG])
 
