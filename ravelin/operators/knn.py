@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +15,12 @@ from ravelin.functions.vectors import l2_squared
 from ravelin.runtime import BROADCAST_BYTES, materialize, prepare, small_enough
 
 BLOCK = 4096
+#: Rows of queries that meet a block of the corpus at once, and queries that one task carries through the corpus at once.
+STRIPE, CARRIED = 512, 4096
 
 
 def blocks(vectors: DataFrame, prefix: str, block: int = BLOCK) -> DataFrame:
-    """Vectors (id, vec) packed, where they are, into rows of (ids, matrix): a join then works on blocks rather than rows."""
+    """Vectors (id, vec) packed, where they are, into rows of (ids, matrix): what works on blocks needn't work on rows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -29,45 +33,178 @@ def blocks(vectors: DataFrame, prefix: str, block: int = BLOCK) -> DataFrame:
     return vectors.where("id is not null and vec is not null").mapInArrow(pack, f"{prefix}_ids binary, {prefix}_x binary")
 
 
-def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        return -(a @ b.T) / np.maximum(np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None], 1e-300)
-    out = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        d = a[:, i, None] - b[None, :, i]
-        d *= d
-        out += d
-    return out
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, x)
+
+
+class Nearest:
+    """The k nearest vectors of each query among the blocks it has met.
+
+    A matrix product tells, within the bound of its rounding errors, which pairs can be among the best k; only the distances of these are
+    computed, component by component in double, so that the results don't depend on the product or the blocks.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, metric: str = "l2", include_self: bool = True):
+        self.ids, self.x, self.k, self.metric, self.include_self = ids, x, k, metric, include_self
+        self.dist, self.found = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.own = _norms(x) if metric == "l2" else np.ones(len(x))
+        self.left = x if metric == "l2" else x / np.sqrt(np.maximum(_norms(x), 1e-300))[:, None]
+        with np.errstate(over="ignore"):
+            self.sides = {t: np.ascontiguousarray(self.left, t) for t in (np.float32, np.float64)}
+
+    def _exact(self, r: np.ndarray, c: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.empty(len(r))
+        for at in range(0, len(r), 1 << 16):
+            a, b = self.x[r[at : at + (1 << 16)]].T, y[c[at : at + (1 << 16)]].T
+            total = [np.zeros(a.shape[1]) for _ in range(1 if self.metric == "l2" else 3)]
+            for u, v in zip(a, b):
+                if self.metric == "l2":
+                    total[0] += (u - v) ** 2
+                else:
+                    for t, w in zip(total, (u * v, u * u, v * v)):
+                        t += w
+            out[at : at + (1 << 16)] = total[0] if self.metric == "l2" else -total[0] / np.maximum(np.sqrt(total[1]) * np.sqrt(total[2]), 1e-300)
+        return np.round(out, 6) + 0.0
+
+    def _possible(self, lo: int, hi: int, ids: np.ndarray, right: np.ndarray, there: np.ndarray, most: float, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of the queries lo to hi, row of the block) that the product of this precision doesn't exclude."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = self.sides[kind][lo:hi] @ right.T
+            s += there
+        # twice what the products of dim terms, their inputs and the sums can be off by
+        off = 4 * (self.x.shape[1] + 4) * np.finfo(kind).eps * (np.sqrt(self.own[lo:hi]) + most) ** 2 + 1e-6
+        limit = self.dist[lo:hi, -1] - self.own[lo:hi] if self.metric == "l2" else self.dist[lo:hi, -1]
+        if not np.isfinite(limit).all():
+            if not self.include_self:
+                s[self.ids[lo:hi, None] == ids] = np.inf
+            if self.k < len(ids):
+                bound = np.partition(s, self.k - 1, axis=1)[:, self.k - 1].astype(np.float64) + off
+                limit = np.where(np.isfinite(limit), limit, np.where(np.isfinite(bound), bound, np.inf))
+        with np.errstate(over="ignore"):
+            top = np.nextafter((limit + off).astype(kind), kind(np.inf))
+        # neither not-a-number nor what overflowed is excluded here
+        at = np.flatnonzero(~(s > top[:, None]) | (s == np.inf)) if not np.isfinite(most) or most > 1e15 else np.flatnonzero(s <= top[:, None])
+        return at // len(ids), at % len(ids)
+
+    def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
+        squares = _norms(y)
+        right = -2 * y if self.metric == "l2" else -y / np.sqrt(np.maximum(squares, 1e-300))[:, None]
+        there, most = (squares, float(np.sqrt(squares.max(initial=0)))) if self.metric == "l2" else (np.zeros(len(y)), 1.0)
+        rights: dict = {}
+        for lo in range(0, len(self.ids), STRIPE):
+            hi = min(lo + STRIPE, len(self.ids))
+            for kind in (np.float32, np.float64):
+                if kind not in rights:
+                    with np.errstate(over="ignore"):
+                        rights[kind] = np.ascontiguousarray(right, kind), there.astype(kind)
+                r, c = self._possible(lo, hi, ids, *rights[kind], most, kind)
+                if len(r) <= 8 * self.k * (hi - lo):
+                    break
+            if not self.include_self:
+                other = self.ids[lo + r] != ids[c]
+                r, c = r[other], c[other]
+            # many pairs at once are ties or odd numbers; the best are kept slice by slice
+            for at in range(0, len(r), 1 << 20):
+                self._merge(lo + r[at : at + (1 << 20)], c[at : at + (1 << 20)], ids, y)
+
+    def _merge(self, r: np.ndarray, c: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+        d, i = self._exact(r, c, y), ids[c]
+        last = self.dist[r, -1]
+        better = (d < last) | (d == last) & (i < self.found[r, -1])
+        better &= np.isfinite(d)
+        r, d, i = r[better], d[better], i[better]
+        if not len(r):
+            return
+        rows = np.unique(r)
+        all_r = np.concatenate([np.repeat(rows, self.k), r])
+        all_d, all_i = np.concatenate([self.dist[rows].ravel(), d]), np.concatenate([self.found[rows].ravel(), i])
+        order = np.lexsort((all_i, all_d, all_r))
+        first = np.searchsorted(all_r[order], rows)
+        take = order[first[:, None] + np.arange(self.k)]
+        self.dist[rows], self.found[rows] = all_d[take], all_i[take]
+
+    def batch(self) -> pa.RecordBatch:
+        keep = np.isfinite(self.dist)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, keep.sum(1))), pa.array(self.found[keep]), pa.array(self.dist[keep])], names=["qid", "id", "dist"])
+
+
+def _matrix(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(ids, np.int64)
+    return i, np.frombuffer(x).reshape(len(i), -1)
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int, metric: str, include_self: bool) -> Iterator[pa.RecordBatch]:
     """The k nearest of every pair of blocks."""
     for batch in batches:
         for r in batch.to_pylist():
-            qi, ci = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["c_ids"], np.int64)
-            d = np.round(_distances(np.frombuffer(r["q_x"]).reshape(len(qi), -1), np.frombuffer(r["c_x"]).reshape(len(ci), -1), metric), 6) + 0.0
-            if not include_self:
-                d = np.where(qi[:, None] == ci[None], np.inf, d)
-            order = np.lexsort((np.broadcast_to(ci, d.shape), d), axis=1)[:, :k]
-            dist = np.take_along_axis(d, order, 1).ravel()
-            keep = np.isfinite(dist)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[keep]), pa.array(ci[order].ravel()[keep]), pa.array(dist[keep])], names=["qid", "id", "dist"])
+            n = Nearest(*_matrix(r["q_ids"], r["q_x"]), k, metric, include_self)
+            n.meet(*_matrix(r["c_ids"], r["c_x"]))
+            yield n.batch()
+
+
+def stored(vectors: DataFrame, prefix: str = "c") -> tuple[DataFrame, list[str]]:
+    """Blocks written to the shared folder, and the files that hold them."""
+    b = materialize(blocks(vectors.select("id", "vec"), prefix), "blocks")
+    return b, b.inputFiles()
+
+
+def read_blocks(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of every stored block, a few at a time."""
+    for path in files:
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_file(name) as f:
+            for b in pq.ParquetFile(f, buffer_size=1 << 20).iter_batches(4):
+                for i, x in zip(b.column(0), b.column(1)):
+                    yield _matrix(i.as_buffer(), x.as_buffer())
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Up to CARRIED vectors (id, vec) at a time."""
+    held, n = [], 0
+    for b in batches:
+        for at in range(0, b.num_rows, CARRIED):
+            part = b.slice(at, CARRIED)
+            if n + part.num_rows > CARRIED:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, n = [], 0
+            ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append((ids, part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)))
+            n += len(ids)
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def dealt(queries: DataFrame, *by: str) -> DataFrame:
+    """Queries over as many tasks as keep all cores busy, with no more than CARRIED of them in each."""
+    n = queries.count()
+    tasks = max(-(-n // CARRIED), min(3 * queries.sparkSession.sparkContext.defaultParallelism, -(-n // STRIPE)), 1)
+    return queries.repartition(tasks, *by)
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", include_self: bool = True) -> DataFrame:
     """(qid, rank, id, dist) of the k nearest corpus vectors of every query; both are (id, vec) of one dimension.
 
     dist is the squared distance, or for 'cosine' the negated similarity, rounded to 6 decimals; ties go to the lower
-    id. Every pair of blocks gives its own best k, of which a window keeps the best. The queries' blocks are broadcast
-    while their bytes, which are counted, are few, and joined by a cartesian product beyond that.
+    id. While the queries' bytes, which are counted, are few, they are broadcast and meet the corpus where it is. Beyond that
+    the corpus is written in blocks, and each task carries some queries through all of them, so that only the best k of each
+    query leave it.
     """
     prepare(queries.sparkSession)
-    q = blocks(queries.select("id", "vec"), "q", 1024)
-    if small_enough(queries, "8L * size(vec)", BROADCAST_BYTES):
-        q = F.broadcast(q)
-    pairs = blocks(corpus.select("id", "vec"), "c").crossJoin(q)
-
-    near = pairs.mapInArrow(lambda it: _best(it, k, metric, include_self), "qid bigint, id bigint, dist double")
+    q = queries.select("id", "vec").where("id is not null and vec is not null")
+    if small_enough(q, "8L * size(vec)", BROADCAST_BYTES):
+        pairs = blocks(corpus.select("id", "vec"), "c").crossJoin(F.broadcast(blocks(q, "q", 1024)))
+        near = pairs.mapInArrow(lambda it: _best(it, k, metric, include_self), "qid bigint, id bigint, dist double")
+    else:
+        _, files = stored(corpus)
+
+        def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, x in _carried(batches):
+                n = Nearest(ids, x, k, metric, include_self)
+                for block in read_blocks(files):
+                    n.meet(*block)
+                yield n.batch()
+
+        near = dealt(q).mapInArrow(through, "qid bigint, id bigint, dist double")
     w = Window.partitionBy("qid").orderBy("dist", "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
 
