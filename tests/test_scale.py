@@ -60,3 +60,23 @@ def test_a_query_leaves_its_task_with_k_rows(spark, sf, monkeypatch, metric):
     assert sorted(map(tuple, knn.knn(v, v, 4, metric).collect())) == here
     pdf = v.toPandas()
     assert here == brute(pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), float), 4, metric, True)
+
+
+def test_cells_copy_no_query(spark, monkeypatch):
+    """A query that looks into many cells is carried to them, not copied for each, and leaves with k rows; with all cells the result is exact."""
+    rng = np.random.default_rng(5)
+    x, cells = rng.normal(size=(900, 8)).astype(np.float32), rng.normal(size=(12, 8))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, vec array<float>").repartition(3)
+    monkeypatch.setattr(knn, "BLOCK", 100)
+    got = knn.knn_cells(v, v, 5, probe=12, cells=cells)
+    assert sorted(map(tuple, got.collect())) == brute(np.arange(900), x.astype(float), 5, "l2", True)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    # only the cells that a query looks into count
+    home = ((x[:, None].astype(float) - cells) ** 2).sum(2)
+    found = knn.knn_cells(v, v, 5, probe=3, cells=cells, include_self=False).toPandas()
+    looks = np.argsort(home, axis=1)[:, :3]
+    assert all(home[i].argmin() in looks[q] for q, i in zip(found["qid"], found["id"]))
+    for q in (0, 450, 899):
+        near = [i for i in range(900) if home[i].argmin() in looks[q] and i != q]
+        want = sorted(near, key=lambda i: (round(((x[q].astype(float) - x[i]) ** 2).sum(), 6), i))[:5]
+        assert found[found["qid"] == q].sort_values("rank")["id"].tolist() == want
