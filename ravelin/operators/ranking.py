@@ -5,22 +5,62 @@ Texts are tokenised once: postings with the lengths of their documents are writt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.functions.text import terms
-from ravelin.runtime import materialize, spread
+from ravelin.functions.text import counted, lowered, terms
+from ravelin.runtime import BROADCAST_BYTES, discard, materialize, prepare, small_enough, spread
 
 K1, B = 1.2, 0.75
 
 
-def _counted(ts: Column) -> Column:
-    """(term, tf) of the distinct terms of an array, by the runs of its sorted form; arrays of one hold what is used repeatedly."""
-    starts = lambda a: F.filter(F.transform(a, lambda w, i: F.when((i == 0) | (w != F.get(a, i - 1)), i)), lambda i: i.isNotNull())
-    runs = lambda a: F.transform(F.array(starts(a)), lambda s: F.transform(s, lambda v, k: F.struct(F.get(a, v).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(a)) - v).cast("bigint").alias("tf"))))[0]
-    return F.transform(F.array(F.sort_array(ts)), runs)[0]
+def _tokenised(docs: DataFrame, fields: list[str], id_col: str, vocab: frozenset[str] | None, **analyzer) -> DataFrame:
+    """(field, doc_id, dl, terms, tfs) of every text that has terms: its length, and its terms, of those of vocab alone if it is given, with their counts.
+
+    The JVM lowers the letters, and one dictionary a text counts its terms, so that nothing is shuffled or sorted.
+    """
+    prepare(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for f, field in enumerate(fields):
+                row, term, tf, dl = [], [], [], []
+                for i, t in enumerate(b.column(f + 1).to_pylist()):
+                    own = counted(t, **analyzer) if t else {}
+                    if own:
+                        row.append(i), dl.append(sum(own.values()))
+                        if vocab is not None:
+                            own = {w: c for w, c in own.items() if w in vocab}
+                        term.append(list(own)), tf.append(list(own.values()))
+                cols = [pa.repeat(pa.scalar(field), len(row)), b.column(0).take(pa.array(row, pa.int64())), pa.array(dl, pa.int32()), pa.array(term, pa.list_(pa.string())), pa.array(tf, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["field", "doc_id", "dl", "terms", "tfs"])
+
+    x = spread(docs.select(id_col, *fields)).select(F.col(id_col).alias("doc_id"), *(lowered(F.col(f)).alias(f"_{i}") for i, f in enumerate(fields)))
+    return x.mapInArrow(count, f"field string, doc_id {x.schema['doc_id'].dataType.simpleString()}, dl int, terms array<string>, tfs array<bigint>")
+
+
+def _repeated(docs: DataFrame, id_col: str) -> bool:
+    return not docs.groupBy(id_col).count().where("count > 1").isEmpty()
+
+
+def _flat(texts: DataFrame) -> DataFrame:
+    return texts.select("field", "doc_id", "dl", F.inline(F.arrays_zip("terms", "tfs"))).select("field", F.col("terms").alias("term"), "doc_id", F.col("tfs").alias("tf"), "dl")
+
+
+def _lengths(texts: DataFrame) -> DataFrame:
+    """(_f, _d, _dl) of documents of several rows."""
+    return texts.groupBy("field", "doc_id").agg(F.sum("dl").alias("_dl")).select(F.col("field").alias("_f"), F.col("doc_id").alias("_d"), "_dl")
+
+
+def _united(texts: DataFrame, lengths: DataFrame) -> DataFrame:
+    one = _flat(texts).groupBy("field", "term", "doc_id").agg(F.sum("tf").alias("tf"))
+    return one.join(lengths, (F.col("field") == F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("field", "term", "doc_id", "tf", F.col("_dl").alias("dl"))
 
 
 def postings(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analyzer) -> DataFrame:
@@ -28,14 +68,8 @@ def postings(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analy
 
     A text's terms are counted within its row, so that nothing is shuffled unless ids repeat.
     """
-    per = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f), **analyzer).alias("ts")) for f in fields))).alias("x")
-    x = spread(docs.select(id_col, *fields)).select(F.col(id_col).alias("doc_id"), per).select("x.field", "doc_id", F.size("x.ts").alias("dl"), F.explode(_counted(F.col("x.ts"))).alias("p"))
-    x = x.select("field", F.col("p.term").alias("term"), "doc_id", F.col("p.tf").alias("tf"), "dl")
-    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        return x
-    whole = x.groupBy("field", "doc_id").agg(F.sum("tf").alias("_dl")).select(F.col("field").alias("_f"), F.col("doc_id").alias("_d"), "_dl")
-    one = x.groupBy("field", "term", "doc_id").agg(F.sum("tf").alias("tf"))
-    return one.join(whole, (F.col("field") == F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("field", "term", "doc_id", "tf", F.col("_dl").alias("dl"))
+    x = _tokenised(docs, fields, id_col, None, **analyzer)
+    return _united(x, _lengths(x)) if _repeated(docs, id_col) else _flat(x)
 
 
 def vocabulary(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analyzer) -> DataFrame:
@@ -51,14 +85,26 @@ class Index:
     postings: DataFrame
     n: int
     average: dict[str, float]
-
-
-def index(docs: DataFrame, fields: list[str], id_col: str = "doc_id", **analyzer) -> Index:
-    """Tokenise docs once and write the postings. Rows that share an id are one document."""
-    p = materialize(postings(docs, fields, id_col, **analyzer), "postings")
-    # a document's length is that of all its postings, so that the sums of tf and of documents give the average
-    sums = p.groupBy("field").agg(F.sum("tf").alias("tokens"), F.count_distinct("doc_id").alias("docs")).collect()
-    return Index(p, docs.count(), {r["field"]: r["tokens"] / r["docs"] for r in sums})
+    #: The same with a row for each text (field, doc_id, dl, terms, tfs), unless a document had several rows.
+    texts: DataFrame | None = None
+
+
+def index(docs: DataFrame, fields: list[str], id_col: str = "doc_id", vocab: DataFrame | None = None, **analyzer) -> Index:
+    """Tokenise docs once and write the postings. Rows that share an id are one document. Of the terms other than those of vocab, if that is small
+    enough to be sent to every task, only the lengths are kept."""
+    only = None
+    if vocab is not None:
+        words = materialize(vocab.select("term").distinct(), "vocabulary")
+        if small_enough(words, "octet_length(term) + 64L"):
+            only = frozenset(r.term for r in words.collect())
+        discard(words)
+    texts = materialize(_tokenised(docs, fields, id_col, only, **analyzer), "texts")
+    lengths = (_lengths(texts) if (repeated := _repeated(docs, id_col)) else texts.select(F.col("field").alias("_f"), F.col("doc_id").alias("_d"), F.col("dl").alias("_dl")))
+    sums = lengths.groupBy("_f").agg(F.sum("_dl").alias("tokens"), F.count("_d").alias("docs")).collect()
+    average = {r["_f"]: r["tokens"] / r["docs"] for r in sums}
+    if repeated:
+        return Index(materialize(_united(texts, lengths), "postings"), docs.count(), average)
+    return Index(_flat(texts), docs.count(), average, texts)
 
 
 def weight(tf: Column, df: Column, dl: Column, avgdl: Column, n: Column) -> Column:
@@ -97,14 +143,78 @@ def term_topk(docs: DataFrame, fields: list[str], k: int, threshold: int = 0, id
     With index_analyzer, documents are indexed by it and only terms that the other analyzer makes of them are looked up.
     """
     vocab = None if index_analyzer is None else vocabulary(docs, fields, id_col, **analyzer)
-    w = weights(index(docs, fields, id_col, **(analyzer if index_analyzer is None else index_analyzer)), vocab, threshold)
+    w = weights(index(docs, fields, id_col, vocab, **(analyzer if index_analyzer is None else index_analyzer)), vocab, threshold)
     return top(w.withColumn("score", F.round("score", 6)), ["term"], k, [F.desc("score"), F.col("doc_id")]).select("term", "hits", "rank", "doc_id", "score")
 
 
+def _scored(ix: Index, queries: DataFrame, k: int) -> DataFrame | None:
+    """(qid, doc_id, score) of the k best documents of every query among those of each task, for queries (qid, term, qtf) and one field; None if the
+    queries or their terms are too many to be sent to every task.
+
+    A document's postings are one row of the written texts, so that its scores are complete before they are compared, and neither postings nor
+    scores are shuffled.
+    """
+    if len(ix.average) != 1 or ix.texts is None or not small_enough(queries, "octet_length(term) + 64L", BROADCAST_BYTES // 4):
+        return None
+    asked = queries.join(ix.postings.groupBy(F.col("term").alias("_t")).agg(F.count("*").alias("df")), F.col("term") == F.col("_t")).select("qid", "term", "qtf", "df").toPandas()
+    if not len(asked):
+        return None
+    kind, (average,), n = queries.schema["qid"].dataType.simpleString(), ix.average.values(), ix.n
+    qids, number = np.unique(asked["qid"].to_numpy(), return_inverse=True)
+    if len(qids) > 4096:
+        return None
+    by = [(w, g.index.to_numpy()) for w, g in asked.groupby("term", sort=False)]
+    terms_ = {w: i for i, (w, _) in enumerate(by)}
+    idf = np.array([np.log(1 + (n - asked["df"].iloc[g[0]] + 0.5) / (asked["df"].iloc[g[0]] + 0.5)) for _, g in by])
+    who, times = [number[g] for _, g in by], [asked["qtf"].to_numpy()[g].astype(float) for _, g in by]
+    long = np.array([len(w) for w in who])
+    first, who, times = np.cumsum(long) - long, np.concatenate(who), np.concatenate(times)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = []
+        for b in batches:
+            n_of = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc, dl = np.repeat(np.arange(b.num_rows), n_of), np.repeat(b.column(1).to_numpy().astype(float), n_of)
+            tf = b.column(3).flatten().to_numpy().astype(float)
+            at = np.array([terms_.get(w, -1) for w in b.column(2).flatten().to_pylist()], np.int64)
+            doc, tf, dl, at = doc[at >= 0], tf[at >= 0], dl[at >= 0], at[at >= 0]
+            if not len(at):
+                continue
+            w = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+            # a row for each posting and query that asks for its term
+            m = long[at]
+            place = np.repeat(first[at] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            pair, inverse = np.unique(np.repeat(doc, m) * np.int64(len(qids)) + who[place], return_inverse=True)
+            total = np.round(np.bincount(inverse, np.repeat(w, m) * times[place], len(pair)), 6)
+            d, q = pair // len(qids), pair % len(qids)
+            best.append((q, total, b.column(0).take(pa.array(d))))
+            if sum(len(x[0]) for x in best) > 4 * k * len(qids):
+                best = [_best_of(best, k)]
+        if best:
+            q, total, ids = _best_of(best, k)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[q]), ids, pa.array(total)], names=["qid", "doc_id", "score"])
+
+    return ix.texts.select("doc_id", "dl", "terms", "tfs").mapInArrow(score, f"qid {kind}, doc_id {ix.postings.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def _best_of(parts: list[tuple], k: int) -> tuple:
+    """The k best of each query, by the lower id at ties."""
+    q, total = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    ids = pa.concat_arrays([p[2] for p in parts])
+    order = pc.sort_indices(pa.table({"q": q, "t": -total, "i": ids}), sort_keys=[("q", "ascending"), ("t", "ascending"), ("i", "ascending")], null_placement="at_start").to_numpy()
+    q = q[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = order[rank < k]
+    return q[rank < k], total[keep], ids.take(pa.array(keep))
+
+
 def query_topk(docs: DataFrame, queries: DataFrame, fields: list[str], k: int, id_col: str = "doc_id", qid: str = "item_id", qtext: str = "text", index_analyzer: dict | None = None, **analyzer) -> DataFrame:
     """(qid, rank, doc_id, score): the k best documents of every query; repeated query terms count repeatedly. Queries go
     through the analyzer, documents through index_analyzer or else the same."""
     q = queries.select(F.col(qid).alias("qid"), F.explode(terms(F.col(qtext), **analyzer)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    w = weights(index(docs, fields, id_col, **(analyzer if index_analyzer is None else index_analyzer)), q)
-    scored = q.withColumnRenamed("term", "_t").join(w, F.col("_t") == F.col("term")).groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("score") * F.col("qtf")), 6).alias("score"))
+    ix = index(docs, fields, id_col, q, **(analyzer if index_analyzer is None else index_analyzer))
+    scored = _scored(ix, q, k)
+    if scored is None:
+        w = weights(ix, q)
+        scored = q.withColumnRenamed("term", "_t").join(w, F.col("_t") == F.col("term")).groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("score") * F.col("qtf")), 6).alias("score"))
     return top(scored, ["qid"], k, [F.desc("score"), F.col("doc_id")]).select("qid", "rank", "doc_id", "score")

@@ -92,3 +92,23 @@ def test_parities_of_equal_sets_are_answered_once(spark, sf, monkeypatch):
     monkeypatch.setattr(pir, "server_parity", lambda rows, sets, *a: made.append(sets.select(F.explode("offsets")).count()) or answer(rows, sets, *a))
     assert registry.QUERIES["xor_chunk_parity"](spark, sf).select("qid").distinct().count() == 500
     assert made == [512]
+
+
+def test_documents_are_scored_where_they_are(spark):
+    """The best of a table of which rows are scored in tasks are those of the joins, and no scores of pairs are shuffled but the best of each task."""
+    from ravelin.operators import ranking
+
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, " ".join(f"wort{chr(97 + j)}" for j in rng.integers(0, 20, rng.integers(0, 9)))) for i in range(400)] + [(400, None)], "doc_id bigint, text string").repartition(4)
+    asked = spark.createDataFrame([(q, " ".join(f"wort{chr(97 + j)}" for j in rng.integers(0, 26, 4))) for q in range(30)], "item_id bigint, text string")
+    got = sorted(map(tuple, ranking.query_topk(docs, asked, ["text"], 5).collect()))
+    scored, ranking._scored = ranking._scored, lambda *a: None
+    try:
+        assert got == sorted(map(tuple, ranking.query_topk(docs, asked, ["text"], 5).collect()))
+        twice = docs.union(docs)
+        joined = sorted(map(tuple, ranking.query_topk(twice, asked, ["text"], 5).collect()))
+    finally:
+        ranking._scored = scored
+    assert joined == sorted(map(tuple, ranking.query_topk(twice, asked, ["text"], 5).collect()))
+    q = spark.createDataFrame([(1, "worta", 1), (2, "wortb", 2)], "qid bigint, term string, qtf bigint")
+    assert scored(ranking.index(docs, ["text"], vocab=q), q, 3).count() <= 2 * 3 * 4 * 4
