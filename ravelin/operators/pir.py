@@ -270,20 +270,25 @@ def private_lookup(rows: DataFrame, want: DataFrame, params: BatchParams, width:
     rows (idx, words) hold at most `width` words each, idx being 0 to params.rows - 1, and come back padded with zero words; an index without a
     row is all zero. Partitions work side by side, each with its own part_rows rows and hints only, and each asks as often as the one
     with the most distinct indices, by dummies; when its budget is used up, it preprocesses again. Indices outside are an error.
+
+    Rows may come in pieces (column piece, counted from 0): every piece has a client of its own and is fetched for every index, so that a task holds
+    the rows and hints of one piece only; the answer has a row for each piece then.
     """
+    pieces = "piece" in rows.columns
+    count = (rows.agg(F.max("piece")).first()[0] or 0) + 1 if pieces else 1
     size = params.part_rows
-    r = layout(rows.select("idx", "words"), size).select("part", F.col("off").alias("_off"), "words")
+    r = layout(rows.select("idx", "words", (F.col("piece") if pieces else F.lit(0)).cast("bigint").alias("piece")), size).select("part", "piece", F.col("off").alias("_off"), "words")
     ok = F.assert_true((F.col("idx") >= 0) & (F.col("idx") < params.rows), F.lit("index out of range"))
     distinct = layout(want.select("idx", ok.alias("_ok")).where("_ok is null").select("idx").distinct(), size).select("part", "off")
     most = distinct.groupBy("part").count().agg(F.max("count")).first()[0] or 0
 
     def fetch(key: tuple, mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"_part": [], "_at": [], "words": []}
+        out = {"_part": [], "_piece": [], "_at": [], "words": []}
         if len(asked):
             db = np.zeros((size, width), np.uint64)
             for off, words in zip(mine["_off"], mine["words"]):
                 db[off, : len(words)] = np.asarray(words, np.int64).view(np.uint64)
-            c = Client(db, Params(max(2, size), width * 8, params.kappa), seed + int(key[0]))
+            c = Client(db, Params(max(2, size), width * 8, params.kappa), seed + int(key[0]) + params.partitions * int(key[1]))
             for off in sorted(asked["off"]):
                 try:
                     got = c.query(off)
@@ -291,12 +296,14 @@ def private_lookup(rows: DataFrame, want: DataFrame, params: BatchParams, width:
                     c.preprocess()
                     got = c.query(off)
                 out["_part"].append(int(key[0]))
+                out["_piece"].append(int(key[1]))
                 out["_at"].append(off)
                 out["words"].append(got.view(np.int64))
             for _ in range(most - len(asked)):
                 c.query(0, real=False)
         return pd.DataFrame(out)
 
-    got = r.groupBy("part").cogroup(distinct.groupBy("part")).applyInPandas(lambda k, a, b: fetch(k, a, b), "_part bigint, _at bigint, words array<bigint>")
+    asked = distinct.select("part", "off", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))).alias("piece"))
+    got = r.groupBy("part", "piece").cogroup(asked.groupBy("part", "piece")).applyInPandas(lambda k, a, b: fetch(k, a, b), "_part bigint, _piece bigint, _at bigint, words array<bigint>")
     w = layout(want.select("qid", "idx"), size)
-    return w.join(got, (F.col("part") == F.col("_part")) & (F.col("off") == F.col("_at"))).select("qid", "idx", "words")
+    return w.join(got, (F.col("part") == F.col("_part")) & (F.col("off") == F.col("_at"))).select("qid", "idx", *([F.col("_piece").alias("piece")] if pieces else []), "words")

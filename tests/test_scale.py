@@ -112,3 +112,13 @@ def test_documents_are_scored_where_they_are(spark):
     assert joined == sorted(map(tuple, ranking.query_topk(twice, asked, ["text"], 5).collect()))
     q = spark.createDataFrame([(1, "worta", 1), (2, "wortb", 2)], "qid bigint, term string, qtf bigint")
     assert scored(ranking.index(docs, ["text"], vocab=q), q, 3).count() <= 2 * 3 * 4 * 4
+
+
+def test_rows_in_pieces_are_fetched_piece_by_piece(spark):
+    """Each piece of a long row has a client of its own, so that no task holds a partition's whole rows; missing pieces are zero."""
+    from ravelin.operators import pir
+
+    rows = [(i, p, [100 * i + 10 * p + j + 1 for j in range(3)]) for i in range(12) for p in range(1 + i % 3)]
+    got = pir.private_lookup(spark.createDataFrame(rows, "idx bigint, piece bigint, words array<bigint>"), spark.createDataFrame([(7, 2), (8, 11), (9, 0)], "qid bigint, idx bigint"), pir.BatchParams(12, 4, 24), 3)
+    there = {(i, p): w for i, p, w in rows}
+    assert sorted((r.qid, r.idx, r.piece, list(r.words)) for r in got.collect()) == [(q, i, p, there.get((i, p), [0, 0, 0])) for q, i in ((7, 2), (8, 11), (9, 0)) for p in range(3)]
