@@ -4,18 +4,22 @@ Vectors are rotated onto their leading principal dimensions, cut into grid cells
 sorted sequence is stored in tiles, and tiles are gathered into intervals of FAN, those again, and so on. The join starts
 from the pairs of the largest intervals and goes down: a pair whose boxes are provably farther apart than epsilon is
 dropped, one whose vectors are provably all within epsilon counts as a whole, and every other one is replaced by the
-pairs of its parts. Only tiles that meet are brought together; within them the same two proofs apply to blocks, and what
-is left is computed.
+pairs of its parts. Only tiles that meet are brought together, by tasks that read them where they are written; within
+them the same two proofs apply to blocks, products of the leading dimensions exclude most of the pairs, and what is left
+is computed.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +31,10 @@ EPSILON = 0.35
 DIMS, BOX_DIMS = 8, 16
 #: Bytes of the vectors of a tile, vectors of a block of it, parts of an interval.
 TILE_BYTES, LEAF, FAN = 4 << 20, 256, 16
-#: Tiles that one task meets with another in a row.
-ROW = 2
+#: Tiles that a task holds, at most, while as many others pass by.
+ROW = 8
+#: Edges that are held before they are reduced to roots, and the share of a block's pairs up to which distances are computed pair by pair.
+EDGES, FEW = 1 << 20, 1 / 64
 
 
 def _principal(vectors: DataFrame, dim: int, dims: int) -> np.ndarray:
@@ -63,6 +69,7 @@ class Tile:
         self.ids, self.x, self.leaf = ids, x, leaf
         self.at = np.arange(0, len(ids), leaf)
         y = x @ axes.T
+        self.y = y
         self.lo, self.hi = np.minimum.reduceat(y, self.at), np.maximum.reduceat(y, self.at)
         self.n = np.diff(np.append(self.at, len(ids)))
         self.centre = np.add.reduceat(x, self.at) / self.n[:, None]
@@ -70,13 +77,56 @@ class Tile:
         self.sq = (x**2).sum(1)
 
 
+class Edges:
+    """Links among numbered nodes; beyond EDGES of them they are reduced to one for each node, which keeps the components."""
+
+    def __init__(self, nodes: int):
+        self.nodes, self.held, self.n = nodes, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append((a, b))
+        self.n += len(a)
+        if self.n > EDGES + self.nodes:
+            root = self.roots()
+            at = np.flatnonzero(root != np.arange(self.nodes))
+            self.held, self.n = [(at, root[at])], len(at)
+
+    def roots(self) -> np.ndarray:
+        if not self.held:
+            return np.arange(self.nodes)
+        return roots_of(self.nodes, *(np.concatenate(x) for x in zip(*self.held)))
+
+
+def _possible(a: Tile, b: Tile, far: float) -> Iterator[np.ndarray | None]:
+    """For each block of a, which of its pairs with the rows of b a product of the leading dimensions doesn't exclude, within the bound of its
+    rounding errors; None if it can't tell."""
+    mid = a.y.mean(0)
+    y, z = a.y - mid, b.y - mid
+    n, m = (y**2).sum(1), (z**2).sum(1)
+    most = (math.sqrt(n.max()) + math.sqrt(m.max())) ** 2
+    kind = np.float32 if most < 1e30 else np.float64
+    # what the products of dims + 2 terms, their inputs in this precision, and the leading dimensions themselves can be off by
+    size = 1e-12 * math.sqrt(max(a.sq.max(), b.sq.max()))
+    off = 4 * (y.shape[1] + 6) * float(np.finfo(kind).eps) * most + size * math.sqrt(most) + size**2
+    top = far * (1 + 1e-6) + off
+    if not top < most:
+        for _ in a.at:
+            yield None
+        return
+    top = np.nextafter(kind(top), kind(np.inf))
+    left = np.column_stack((-2 * y, n, np.ones(len(y)))).astype(kind)
+    right = np.ascontiguousarray(np.column_stack((z, np.ones(len(z)), m)).astype(kind).T)
+    for r, k in zip(a.at, a.n):
+        yield left[r : r + k] @ right <= top
+
+
 def meet(a: Tile, b: Tile, eps: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, links, root) of every vector of a or b with a link between the two tiles: nodes and roots count a's rows and then b's; with
     same, within the one tile, whose rows count once."""
     far, near = _bounds(eps)
     off = 0 if same else len(a.ids)
     links = np.zeros(off + len(b.ids), np.int64)
-    ea, eb = [], []
+    edges = Edges(len(links))
     gap = np.maximum(0, np.maximum(a.lo[:, None] - b.hi[None], b.lo[None] - a.hi[:, None]))
     todo = (gap**2).sum(2) <= far
     if same:
@@ -84,46 +134,76 @@ def meet(a: Tile, b: Tile, eps: float, same: bool) -> tuple[np.ndarray, np.ndarr
     apart = np.sqrt(np.maximum(((a.centre[:, None] - b.centre[None]) ** 2).sum(2), 0))
     reach = a.radius[:, None] + b.radius[None]
     todo &= apart - reach <= math.sqrt(far)
-    for p, q in zip(*np.nonzero(todo)):
-        r0, r1, c0, c1 = a.at[p], a.at[p] + a.n[p], b.at[q], b.at[q] + b.n[q]
-        own = same and p == q
-        if apart[p, q] + reach[p, q] <= near or own and 2 * a.radius[p] <= near:
-            # every vector of the one block is near every one of the other
+    whole = apart + reach <= near
+    if same:
+        np.fill_diagonal(whole, 2 * a.radius <= near)
+    for p, may in enumerate(_possible(a, b, far) if (todo & ~whole).any() else [None] * len(a.at)):
+        r0, r1 = a.at[p], a.at[p] + a.n[p]
+        # every vector of the one block is near every one of the other
+        for q in np.flatnonzero(todo[p] & whole[p]):
+            c0, c1, own = b.at[q], b.at[q] + b.n[q], same and p == q
             links[r0:r1] += b.n[q] - own
             if not own:
                 links[off + c0 : off + c1] += a.n[p]
-            ea += [np.full(b.n[q], r0), np.arange(r0, r1)]
-            eb += [np.arange(off + c0, off + c1), np.full(a.n[p], off + c0)]
-            continue
-        d = a.sq[r0:r1, None] + b.sq[None, c0:c1] - 2 * (a.x[r0:r1] @ b.x[c0:c1].T)
-        room = 1e-12 * (1 + float(a.sq[r0:r1].max() + b.sq[c0:c1].max()))
-        hit = d <= eps * eps + room
-        i, j = np.nonzero(hit & (d >= eps * eps - room))  # too close to call by a product: computed
-        if len(i):
-            hit[i, j] = np.sqrt(((a.x[r0 + i] - b.x[c0 + j]) ** 2).sum(1)) <= eps
-        if own:
-            np.fill_diagonal(hit, False)
-        n = hit.sum(1)
-        if not n.any():
-            continue
-        links[r0:r1] += n
-        if not own:
-            links[off + c0 : off + c1] += hit.sum(0)
-        hub = int(n.argmax())
-        if n[hub] == b.n[q] - own:
-            # one vector is near all of the other block: it and the first partner of every other make the same components
-            i, j = np.flatnonzero(n), hit.argmax(1)[n > 0]
-            i, j = np.append(i, np.full(n[hub], hub)), np.append(j, np.flatnonzero(hit[hub]))
-        else:
-            i, j = np.nonzero(hit)
-        ea.append(r0 + i)
-        eb.append(off + c0 + j)
-    if not ea:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    root = roots_of(len(links), np.concatenate(ea), np.concatenate(eb))
+            edges.add(np.full(b.n[q], r0), np.arange(off + c0, off + c1))
+            edges.add(np.arange(r0, r1), np.full(a.n[p], off + c0))
+        rest = todo[p] & ~whole[p]
+        if may is not None and rest.any():
+            at = np.flatnonzero(may)
+            i, j = at // len(b.ids), at % len(b.ids)
+            held = np.bincount(j // b.leaf, minlength=len(b.at))
+            few = held <= FEW * a.n[p] * b.n
+            take = (rest & few)[j // b.leaf]
+            if same:
+                take &= (j // b.leaf > p) | (r0 + i < j)
+            i, j = r0 + i[take], j[take]
+            ok = np.sqrt(((a.x[i] - b.x[j]) ** 2).sum(1)) <= eps
+            i, j = i[ok], off + j[ok]
+            if len(i):
+                links += np.bincount(i, minlength=len(links)) + np.bincount(j, minlength=len(links))
+                edges.add(i, j)
+            rest &= ~few
+        for q in np.flatnonzero(rest):
+            c0, c1, own = b.at[q], b.at[q] + b.n[q], same and p == q
+            d = a.sq[r0:r1, None] + b.sq[None, c0:c1] - 2 * (a.x[r0:r1] @ b.x[c0:c1].T)
+            room = 1e-12 * (1 + float(a.sq[r0:r1].max() + b.sq[c0:c1].max()))
+            hit = d <= eps * eps + room
+            i, j = np.nonzero(hit & (d >= eps * eps - room))  # too close to call by a product: computed
+            if len(i):
+                hit[i, j] = np.sqrt(((a.x[r0 + i] - b.x[c0 + j]) ** 2).sum(1)) <= eps
+            if own:
+                np.fill_diagonal(hit, False)
+            n = hit.sum(1)
+            if not n.any():
+                continue
+            links[r0:r1] += n
+            if not own:
+                links[off + c0 : off + c1] += hit.sum(0)
+            hub = int(n.argmax())
+            if n[hub] == b.n[q] - own:
+                # one vector is near all of the other block: it and the first partner of every other make the same components
+                i, j = np.flatnonzero(n), hit.argmax(1)[n > 0]
+                i, j = np.append(i, np.full(n[hub], hub)), np.append(j, np.flatnonzero(hit[hub]))
+            else:
+                i, j = np.nonzero(hit)
+            edges.add(r0 + i, off + c0 + j)
     at = np.flatnonzero(links)
-    return at, links[at], root[at]
+    return at, links[at], edges.roots()[at] if len(at) else at
+
+
+def _read(files: list[tuple[int, int, str]], want: list[int]) -> Iterator[tuple[int, np.ndarray, memoryview]]:
+    """(number, ids, bytes of the vectors) of the wanted tiles in order, one at a time. files: first number, number of tiles and path of each."""
+    for start, n, path in files:
+        own = [i for i in want if start <= i < start + n]
+        if not own:
+            continue
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_file(name) as f:
+            for k, b in enumerate(pq.ParquetFile(f, buffer_size=1 << 20).iter_batches(1, columns=["_ids", "_x"])):
+                if start + k in own:
+                    yield start + k, np.frombuffer(b.column("_ids")[0].as_buffer(), np.int64), b.column("_x")[0].as_buffer()
+                if start + k >= own[-1]:
+                    break
 
 
 def _pack(batches: Iterator[pa.RecordBatch], dim: int, axes: np.ndarray, tile: int, kind: str) -> Iterator[pa.RecordBatch]:
@@ -169,6 +249,20 @@ def _parents(children: DataFrame, fan: int) -> DataFrame:
     return children.withColumn("_up", F.floor(F.col("_i") / fan)).groupBy("_up").applyInPandas(lambda d: up(d), META)
 
 
+def _jobs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int]]]:
+    """The pairs (_a, _b) of each _job; those of a job follow each other."""
+    job, met = None, []
+    for b in batches:
+        for j, *pair in zip(*(b.column(c).to_pylist() for c in ("_job", "_a", "_b"))):
+            if j != job and met:
+                yield met
+                met = []
+            job = j
+            met.append(tuple(pair))
+    if met:
+        yield met
+
+
 META = "_i bigint, _n bigint, _rep bigint, _lo array<double>, _hi array<double>, _c array<double>, _r double"
 
 
@@ -256,30 +350,47 @@ def epsilon_classes(vectors: DataFrame, eps: float = EPSILON, id_col: str = "vec
         if level:
             part = lambda c, f=fan, n=sizes[level - 1]: F.explode(F.sequence(F.col(c) * f, F.least(F.col(c) * f + f - 1, F.lit(n - 1))))
             pairs = rest.select("_b", part("_a").alias("_x")).select(F.col("_x").alias("_a"), part("_b").alias("_y")).select("_a", F.col("_y").alias("_b")).where("_a <= _b")
-    work = rest.withColumn("_row", F.floor(F.col("_b") / ROW))
-    box = tiles.select(F.col("_i").alias("_t"), "_ids", "_x")
-    # the first tile of each row goes there once, and says whether it also meets itself
-    left = work.groupBy("_a", "_row").agg(F.max(F.col("_a") == F.col("_b")).alias("_self")).join(box, F.col("_a") == F.col("_t"))
-    left = left.select("_a", "_row", F.lit(-1).cast("bigint").alias("_b"), "_self", "_ids", "_x")
-    right = work.where("_a <> _b").join(box, F.col("_b") == F.col("_t")).select("_a", "_row", "_b", F.lit(False), "_ids", "_x")
+    # the tiles stay where they are written: tasks get numbers of pairs and read the tiles of up to `row` neighbours, past which others are read
+    n_pairs, cores = rest.count(), spark.sparkContext.defaultParallelism
+    row = max(1, min(ROW, math.isqrt(n_pairs // (4 * cores))))
+    first = dict(offsets)
+    kept = stored.groupBy(F.input_file_name().alias("f"), "_p").agg(F.min("_k").alias("k"), F.count("*").alias("n")).collect()
+    files = sorted((first[r["_p"]] + r["k"], r["n"], r["f"]) for r in kept)
+    up, on = F.floor(F.col("_a") / row), F.floor(F.col("_b") / row)
+    work = rest.select((on * (on + 1) / 2 + up).cast("bigint").alias("_job"), "_a", "_b")
+    work = work.repartitionByRange(max(1, -(-n_pairs // (row * row))), "_job").sortWithinPartitions("_job", "_b", "_a")
 
     def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Tile | None = None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i] for c in batch.schema.names}
-                t = Tile(np.frombuffer(r["_ids"].as_buffer(), np.int64), np.frombuffer(r["_x"].as_buffer(), wire).astype(np.float64).reshape(-1, dim), axes, leaf)
-                same = r["_b"].as_py() < 0
-                if same:
-                    held = t
-                    if not r["_self"].as_py():
-                        continue
-                ids = t.ids if same else np.concatenate((held.ids, t.ids))
-                node, n, root = meet(held, t, eps, same)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[node]), pa.array(n), pa.array(ids[root])], names=["id", "n", "to"])
-
-    met = left.union(right).repartition("_a", "_row").sortWithinPartitions("_a", "_row", "_b").mapInArrow(meetings, "id bigint, n bigint, to bigint")
-    found = materialize(met, "links")
+        load = lambda i, ids, x: (i, Tile(ids, np.frombuffer(x, wire).astype(np.float64).reshape(-1, dim), axes, leaf))
+        for met in _jobs(batches):
+            held = dict(load(*t) for t in _read(files, sorted({a for a, _ in met})))
+            start, size = {}, 0
+            for i, t in held.items():
+                start[i] = size
+                size += len(t.ids)
+            others = sorted({b for _, b in met})
+            missing = [i for i in others if i not in held]
+            passing = ((i, held[i]) for i in others if i in held)
+            ids, links = [t.ids for t in held.values()], np.zeros(size, np.int64)
+            edges = Edges(size)
+            for b, t in itertools.chain(passing, (load(*t) for t in _read(files, missing))):
+                if b not in start:
+                    start[b], size = size, size + len(t.ids)
+                    ids.append(t.ids)
+                    links = np.append(links, np.zeros(len(t.ids), np.int64))
+                    edges.nodes = size
+                for a in (a for a, other in met if other == b):
+                    node, n, root = meet(held[a], t, eps, a == b)
+                    place = np.arange(start[a], start[a] + len(held[a].ids))
+                    if a != b:
+                        place = np.append(place, np.arange(start[b], start[b] + len(t.ids)))
+                    links[place[node]] += n
+                    edges.add(place[node], place[root])
+            at = np.flatnonzero(links)
+            every = np.concatenate(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(every[at]), pa.array(links[at]), pa.array(every[edges.roots()[at]])], names=["id", "n", "to"])
+
+    found = materialize(work.mapInArrow(meetings, "id bigint, n bigint, to bigint"), "links")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

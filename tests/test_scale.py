@@ -122,3 +122,20 @@ def test_rows_in_pieces_are_fetched_piece_by_piece(spark):
     got = pir.private_lookup(spark.createDataFrame(rows, "idx bigint, piece bigint, words array<bigint>"), spark.createDataFrame([(7, 2), (8, 11), (9, 0)], "qid bigint, idx bigint"), pir.BatchParams(12, 4, 24), 3)
     there = {(i, p): w for i, p, w in rows}
     assert sorted((r.qid, r.idx, r.piece, list(r.words)) for r in got.collect()) == [(q, i, p, there.get((i, p), [0, 0, 0])) for q, i in ((7, 2), (8, 11), (9, 0)) for p in range(3)]
+
+
+def test_tiles_that_meet_are_not_shuffled(spark):
+    """Vectors that boxes don't tell apart: all tiles meet, but what is shuffled and written is a few times the table, not its square."""
+    from ravelin.llm import epsilon_join
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 24))
+    x = np.vstack([x, x[:1000] + rng.normal(size=(1000, 24)) * 0.02, x[:40]])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T, 0)) <= 0.35
+    moved = lambda: sum(e.totalShuffleWrite() for e in (lambda seq: [seq.apply(i) for i in range(seq.length())])(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    before = moved()
+    got = epsilon_join.epsilon_classes(v, 0.35, tile=64, leaf=16).toPandas().sort_values("vec_id")
+    assert got["links"].tolist() == (d.sum(1) - 1).tolist()
+    assert got["class_id"].tolist() == d.argmax(1).tolist()
+    assert moved() - before < 4 * x.nbytes
