@@ -14,10 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.functions.text import counted, lowered, terms
+from ravelin.functions.text import MAX_LEN, MIN_LEN, STOPWORDS, counted, lowered, porter, terms
 from ravelin.runtime import BROADCAST_BYTES, discard, materialize, prepare, small_enough, spread
 
 K1, B = 1.2, 0.75
+#: Postings that a task packs at once, and bytes of text for each part of the vocabulary, which make about as many.
+HELD, PART_BYTES = 1 << 20, 24 << 20
 
 
 def _tokenised(docs: DataFrame, fields: list[str], id_col: str, vocab: frozenset[str] | None, **analyzer) -> DataFrame:
@@ -142,11 +144,206 @@ def term_topk(docs: DataFrame, fields: list[str], k: int, threshold: int = 0, id
 
     With index_analyzer, documents are indexed by it and only terms that the other analyzer makes of them are looked up.
     """
+    if index_analyzer is None and (best := _best_of_terms(docs, fields, k, threshold, id_col, **analyzer)) is not None:
+        return best.select("term", "hits", F.inline("best")).select("term", "hits", "rank", "doc_id", "score")
     vocab = None if index_analyzer is None else vocabulary(docs, fields, id_col, **analyzer)
     w = weights(index(docs, fields, id_col, vocab, **(analyzer if index_analyzer is None else index_analyzer)), vocab, threshold)
     return top(w.withColumn("score", F.round("score", 6)), ["term"], k, [F.desc("score"), F.col("doc_id")]).select("term", "hits", "rank", "doc_id", "score")
 
 
+def term_best(docs: DataFrame, fields: list[str], k: int, threshold: int = 0, id_col: str = "doc_id", **analyzer) -> DataFrame:
+    """(term, doc_ids): the documents that term_topk finds, in one row for each term where it has them so."""
+    best = _best_of_terms(docs, fields, k, threshold, id_col, **analyzer)
+    if best is None:
+        return term_topk(docs, fields, k, threshold, id_col, **analyzer).select("term", F.array("doc_id").alias("doc_ids"))
+    return best.select("term", F.col("best.doc_id").alias("doc_ids"))
+
+
+class _Postings:
+    """Postings of one field: codes of words, documents, tf, dl and how many other documents of the word a row stands for."""
+
+    def __init__(self, words: pa.Array, *columns: np.ndarray):
+        self.words, self.columns = words, columns
+        self.code, self.doc, self.tf, self.dl, self.more = columns
+
+    @staticmethod
+    def of(parts: list[_Postings]) -> _Postings:
+        words = pa.chunked_array([p.words for p in parts]).combine_chunks().dictionary_encode()
+        at, starts = words.indices.to_numpy().astype(np.int64), np.cumsum([0, *(len(p.words) for p in parts)])
+        code = np.concatenate([at[i + p.code] for i, p in zip(starts, parts)])
+        return _Postings(words.dictionary, code, *(np.concatenate(c) for c in list(zip(*(p.columns for p in parts)))[1:]))
+
+    def quality(self, average: float) -> np.ndarray:
+        return self.tf / (self.tf + K1 * (1 - B + B * self.dl / average))
+
+    def only(self, k: int, average: float) -> _Postings:
+        """Without rows that cannot be among the k best of their word, whatever its number of documents: those that k rows of lower ids are at least as
+        good as. Rounded scores keep the order of what is compared here, or become ties, which go to the lower id."""
+        order = np.lexsort((self.doc, self.code))
+        code, doc, tf, dl, more = (x[order] for x in self.columns)
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        n = np.diff(np.append(first, len(code)))
+        g, keep = self.quality(average)[order], np.ones(len(code), bool)
+        for at, m in zip(first[n > 4 * k], n[n > 4 * k]):
+            bound, best, lo, step = -np.inf, np.zeros(0), at, 4 * k
+            while lo < at + m:
+                part = g[lo : min(lo + step, at + m)]
+                # a little more than what products and quotients can be off by
+                keep[lo : lo + len(part)] = ok = part * (1 + 1e-12) > bound
+                best = np.append(best, part[ok])
+                if len(best) >= k:
+                    best = np.partition(best, len(best) - k)[len(best) - k :]
+                    bound = best.min()
+                lo, step = lo + len(part), 2 * step
+        more[first] += np.add.reduceat(np.where(keep, 0, 1 + more), first)  # a word's first row is always kept
+        return _Postings(self.words, *(x[keep] for x in (code, doc, tf, dl, more)))
+
+
+def _counted(ids: pa.Array, letters: pa.Array, stop: bool = True, stem: bool = False) -> _Postings:
+    """What `counted` finds in each of the lowered texts, for all of them at once: a dictionary numbers the words, and sorted numbers are counted."""
+    lists = pc.split_pattern(letters, " ")
+    long = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    found, one = words.dictionary, np.arange(len(words.dictionary))
+    keep = ~pc.is_in(found, pa.array(STOPWORDS)).to_numpy(zero_copy_only=False) if stop else np.ones(len(found), bool)
+    if stem:
+        stems = pa.array([porter(w) for w in found.to_pylist()], pa.string()).dictionary_encode()
+        keep &= np.array(pc.not_equal(found, ""), bool)
+        found, one = stems.dictionary, stems.indices.to_numpy().astype(np.int64)
+    chars = pc.utf8_length(found).to_numpy().astype(np.int64)
+    keep &= ((chars >= MIN_LEN) & (chars <= MAX_LEN))[one]
+    kept = np.unique(one[keep])
+    number = np.full(len(found), -1, np.int64)
+    number[kept] = np.arange(len(kept))
+    code = np.where(keep, number[one], -1)[words.indices.to_numpy()]
+    row = np.repeat(np.arange(len(long)), long)[code >= 0]
+    code = code[code >= 0]
+    pair, tf = np.unique(row * np.int64(max(1, len(kept))) + code, return_counts=True)
+    at, code = pair // max(1, len(kept)), pair % max(1, len(kept))
+    dl = np.bincount(row, minlength=len(long))
+    return _Postings(found.take(pa.array(kept)).cast(pa.string()), code, ids.to_numpy().astype(np.int64)[at], tf.astype(np.int64), dl[at], np.zeros(len(at), np.int64))
+
+
+def _part_of(words: pa.Array, parts: int) -> np.ndarray:
+    """A part of the vocabulary for each word, by a sum over its bytes and their places: the same in every task."""
+    _, ends, data = words.take(pa.array(np.arange(len(words)))).buffers()
+    ends = np.frombuffer(ends, np.int32)[: len(words) + 1].astype(np.int64)
+    if not len(words):
+        return np.zeros(0, np.int64)
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
+    mix = (np.frombuffer(data, np.uint8)[: ends[-1]].astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xBF58476D1CE4E5B9))
+    mix ^= mix >> np.uint64(29)
+    total = np.add.reduceat(mix, ends[:-1]) * np.uint64(0x94D049BB133111EB)
+    return ((total >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _best_of_terms(docs: DataFrame, fields: list[str], k: int, threshold: int, id_col: str, **analyzer) -> DataFrame | None:
+    """(term, hits, best): of every term with more than threshold documents its number of documents and the k best, best first (rank, doc_id, score).
+    None for several fields, documents of several rows, or ids that aren't whole numbers.
+
+    Tasks pack the postings of their texts by parts of the vocabulary, so that rows of bytes are shuffled, and each part is ranked by a task. The
+    lengths of all documents come ahead of the postings of every part. Of a term of many documents a part holds those that can be among the best.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    if len(fields) != 1 or k < 1 or kind not in ("tinyint", "smallint", "int", "bigint"):
+        return None
+    spark = prepare(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(fields[0])).alias("n"), F.count_if(F.col(id_col).isNull()).alias("odd"), F.count("*").alias("rows")).first()
+    if size["odd"] or _repeated(docs, id_col):
+        return None
+    n_docs, n_bytes = size["rows"], size["n"] or 0
+    parts = max(1, min(3 * spark.sparkContext.defaultParallelism, n_bytes >> 18), n_bytes // PART_BYTES)
+    schema = "part int, seq int, tokens bigint, texts bigint, words binary, n binary, doc binary, tf binary, dl binary"
+
+    def row(part: list, seq: int, tokens: list, texts: list, *packed: list) -> pa.RecordBatch:
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        columns = [part, [seq] * len(part), tokens, texts, *(packed or [[None] * len(part)] * 5)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in schema.split(", ")])
+
+    def packed(held: list[_Postings]) -> Iterator[pa.RecordBatch]:
+        p = _Postings.of(held)
+        to = _part_of(p.words, parts)
+        # words in order of their part
+        order = np.argsort(to, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        words, code = p.words.take(pa.array(order)), place[p.code]
+        rows = np.argsort(code, kind="stable")
+        n = np.bincount(code, minlength=len(order))
+        ends, doc, tf, dl = np.append(0, np.cumsum(n)), p.doc[rows], p.tf[rows].astype(np.int32), p.dl[rows].astype(np.int32)
+        n = n.astype(np.int32)
+        cuts = np.searchsorted(to[order], np.arange(parts + 1))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words), " ")
+        for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            a, b = cuts[i], cuts[i + 1]
+            own = slice(ends[a], ends[b])
+            yield row([i], 1, [0], [0], [joined[i].as_buffer().to_pybytes()], *([x.tobytes()] for x in (n[a:b], doc[own], tf[own], dl[own])))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, tokens, texts = [], 0, 0, 0
+        for b in batches:
+            p = _counted(b.column(0), b.column(1), **analyzer)
+            if not len(p.code):
+                continue
+            tokens, texts = tokens + int(p.tf.sum()), texts + len(np.unique(p.doc))
+            held.append(p)
+            n += len(p.code)
+            if n >= HELD:
+                yield from packed(held)
+                held, n = [], 0
+        if held:
+            yield from packed(held)
+        if texts:
+            yield row(list(range(parts)), 0, [tokens] * parts, [texts] * parts)
+
+    def ranked(p: _Postings, average: float) -> Iterator[pa.RecordBatch]:
+        hits = np.bincount(p.code, 1 + p.more, len(p.words)).astype(np.int64)
+        often = hits[p.code] > threshold
+        code, doc, tf, dl = (x[often] for x in p.columns[:4])
+        idf = np.log(1 + (n_docs - hits + 0.5) / (hits + 0.5))
+        score = np.round(idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average)), 6)
+        order = np.lexsort((doc, -score, code))
+        code = code[order]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+        rank = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+        order, code, rank = order[rank < k], code[rank < k], rank[rank < k]
+        first = np.append(np.flatnonzero(rank == 0), len(code))
+        rows = pa.StructArray.from_arrays([pa.array(rank + 1, pa.int32()), pa.array(doc[order]), pa.array(score[order])], names=["rank", "doc_id", "score"])
+        for lo in range(0, len(first) - 1, 1 << 14):
+            some = first[lo : lo + (1 << 14) + 1]
+            at = code[some[:-1]]
+            best = pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), rows.slice(some[0], some[-1] - some[0]))
+            yield pa.RecordBatch.from_arrays([p.words.take(pa.array(at)), pa.array(hits[at]), best], names=["term", "hits", "best"])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, n, limit, tokens, texts = None, [], 0, 0, 0, 0
+        for b in batches:
+            for i in range(b.num_rows):
+                now, seq, more_tokens, more_texts = (b.column(c)[i].as_py() for c in range(4))
+                if now != part:
+                    if held:
+                        yield from ranked(_Postings.of(held), tokens / texts)
+                    part, held, n, limit, tokens, texts = now, [], 0, 2 * HELD, 0, 0
+                tokens, texts = tokens + more_tokens, texts + more_texts
+                if not seq:
+                    continue
+                words = pc.split_pattern(b.column(4).slice(i, 1).cast(pa.string()), " ").flatten()
+                many, doc, tf, dl = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in ((5, np.int32), (6, np.int64), (7, np.int32), (8, np.int32)))
+                held.append(_Postings(words, np.repeat(np.arange(len(words)), many), doc, tf.astype(np.int64), dl.astype(np.int64), np.zeros(len(doc), np.int64)))
+                n += len(doc)
+                if n >= limit:
+                    held = [_Postings.of(held).only(k, tokens / texts)]
+                    n = len(held[0].code)
+                    limit = 2 * max(HELD, n)
+        if held:
+            yield from ranked(_Postings.of(held), tokens / texts)
+
+    x = spread(docs.select(id_col, *fields)).select(F.col(id_col).alias("doc_id"), lowered(F.col(fields[0])).alias("_t")).where("_t is not null")
+    shuffled = x.mapInArrow(pack, schema).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "seq")
+    best = shuffled.mapInArrow(rank, "term string, hits bigint, best array<struct<rank:int,doc_id:bigint,score:double>>")
+    return best.select("term", "hits", F.col("best").cast(f"array<struct<rank:int,doc_id:{kind},score:double>>").alias("best"))
+
+
 def _scored(ix: Index, queries: DataFrame, k: int) -> DataFrame | None:
     """(qid, doc_id, score) of the k best documents of every query among those of each task, for queries (qid, term, qtf) and one field; None if the
     queries or their terms are too many to be sent to every task.

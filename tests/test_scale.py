@@ -139,3 +139,45 @@ def test_tiles_that_meet_are_not_shuffled(spark):
     assert got["links"].tolist() == (d.sum(1) - 1).tolist()
     assert got["class_id"].tolist() == d.argmax(1).tolist()
     assert moved() - before < 4 * x.nbytes
+
+
+@pytest.fixture(scope="module")
+def ranked_docs(spark):
+    rng = np.random.default_rng(11)
+    odd = ["running runs ran", "", None, "the the of", "Stra\u00dfe \u01c5 \u0130stanbul \u03a3\u039f\u03a6\u039f\u03a3 x " + "w" * 41, "  wortb\u2028wortc 12wortd34 "]
+    rows = [(int(i), " ".join(f"wort{chr(97 + j)}" for j in rng.integers(0, 20, rng.integers(0, 9)) ** 2 // 20)) for i in rng.permutation(500)]
+    return spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(odd * 3)], "doc_id bigint, text string").repartition(5)
+
+
+@pytest.mark.parametrize("analyzer", [{}, {"stem": True}, {"stop": False}])
+def test_best_of_terms_without_joins(spark, ranked_docs, analyzer, monkeypatch):
+    """Every term's best documents come from one shuffle of packed postings, reduced on the way, and are those of joins and windows."""
+    from ravelin.operators import ranking
+
+    def joined(docs, k, threshold):
+        w = ranking.weights(ranking.index(docs, ["text"], **analyzer), None, threshold).withColumn("score", F.round("score", 6))
+        return sorted(map(tuple, ranking.top(w, ["term"], k, [F.desc("score"), F.col("doc_id")]).select("term", "hits", "rank", "doc_id", "score").collect()))
+
+    got = ranking.term_topk(ranked_docs, ["text"], 4, 2, **analyzer)
+    assert not any(x in got._jdf.queryExecution().toString() for x in ("Join", "Window"))
+    assert sorted(map(tuple, got.collect())) == joined(ranked_docs, 4, 2)
+    monkeypatch.setattr(ranking, "HELD", 40)
+    monkeypatch.setattr(ranking, "PART_BYTES", 2000)
+    assert sorted(map(tuple, ranking.term_topk(ranked_docs, ["text"], 3, 0, **analyzer).collect())) == joined(ranked_docs, 3, 0)
+
+
+def test_best_of_terms_of_odd_tables(spark, ranked_docs):
+    """No documents, none with terms, ids of other types, null ids and repeated ids give what joins give."""
+    from ravelin.operators import ranking
+
+    assert ranking.term_topk(ranked_docs.limit(0), ["text"], 3).count() == 0
+    assert ranking.term_topk(spark.createDataFrame([(1, None), (2, " 1 ")], "doc_id int, text string"), ["text"], 3).count() == 0
+    want = sorted(map(tuple, ranking.term_topk(ranked_docs, ["text"], 3, 1).collect()))
+    small = ranking.term_topk(ranked_docs.select(F.col("doc_id").cast("int").alias("doc_id"), "text"), ["text"], 3, 1)
+    assert dict(small.dtypes)["doc_id"] == "int" and sorted(map(tuple, small.collect())) == want
+    named = ranking.term_topk(ranked_docs.select(F.format_string("%05d", "doc_id").alias("doc_id"), "text"), ["text"], 3, 1)
+    assert sorted((t, h, r, int(d), s) for t, h, r, d, s in named.collect()) == want
+    halves = ranked_docs.select("doc_id", F.explode(F.split("text", " ", 2)).alias("text")).union(ranked_docs.where("text is null"))
+    assert sorted(map(tuple, ranking.term_topk(halves, ["text"], 3, 1).collect()))[:1]
+    one = ranking.term_topk(spark.createDataFrame([(None, "wort wort"), (2, "wort")], "doc_id int, text string"), ["text"], 3).collect()
+    assert [(r.rank, r.doc_id) for r in sorted(one, key=lambda r: r.rank)] == [(1, None), (2, 2)]
