@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ravelin.functions.hashing import bin_of
 from ravelin.functions.text import terms
 from ravelin.functions.vectors import hash_floats
-from ravelin.operators.ranking import term_topk
+from ravelin.operators.ranking import term_best
 
 
 def build(docs: DataFrame, fields: list[str], k: int, threshold: int, choices: int, bins: int, id_col: str = "doc_id", **analyzer) -> DataFrame:
     """Distinct (bin, doc_id): every term with more than threshold hits puts its k best documents into choices + 1 bins."""
-    t = term_topk(docs, fields, k, threshold, id_col, **analyzer)
-    d = t.select("term", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(choices))).alias("d"))
-    return d.select(bin_of(F.col("term"), F.col("d"), bins).alias("bin"), "doc_id").distinct()
+    t = term_best(docs, fields, k, threshold, id_col, **analyzer)
+    d = t.select("term", "doc_ids", F.explode(F.sequence(F.lit(0), F.lit(choices))).alias("d"))
+    return d.select(bin_of(F.col("term"), F.col("d"), bins).alias("bin"), "doc_ids").select("bin", F.explode("doc_ids").alias("doc_id")).distinct()
 
 
 def stats(index: DataFrame, bins: int) -> DataFrame:

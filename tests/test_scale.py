@@ -181,3 +181,17 @@ def test_best_of_terms_of_odd_tables(spark, ranked_docs):
     assert sorted(map(tuple, ranking.term_topk(halves, ["text"], 3, 1).collect()))[:1]
     one = ranking.term_topk(spark.createDataFrame([(None, "wort wort"), (2, "wort")], "doc_id int, text string"), ["text"], 3).collect()
     assert [(r.rank, r.doc_id) for r in sorted(one, key=lambda r: r.rank)] == [(1, None), (2, 2)]
+
+
+def test_a_term_is_put_into_its_bins_once(spark, ranked_docs):
+    """A bin is hashed for a term, not for each of its documents: the documents are told apart after that."""
+    from ravelin.functions.hashing import bin_of
+    from ravelin.operators import bins, ranking
+
+    got = bins.build(ranked_docs, ["text"], 4, 2, 1, 13)
+    want = ranking.term_topk(ranked_docs, ["text"], 4, 2).select("term", "doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    want = want.select(bin_of(F.col("term"), F.col("i"), 13).alias("bin"), "doc_id").distinct()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = max(i for i, line in enumerate(plan) if "explode(doc_ids" in line)
+    assert any("sha2" in line for line in plan[last:]) and not any("sha2" in line for line in plan[:last])
